@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, pii, quality_rules, secrets_scan
+from . import decontaminate, language_id, license_scan, pii, quality_rules, secrets_scan, sentencepiece_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_secrets": secrets_scan.op2_secrets,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_language_id": language_id.op5_language_id,
+        "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
         "op8_pii": pii.op8_pii,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontaminate": decontaminate.ORACLE}

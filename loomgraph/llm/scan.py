@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
@@ -66,7 +67,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20)
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)))
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
