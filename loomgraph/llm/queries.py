@@ -6,20 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, pii, quality_rules, secrets_scan, sentencepiece_codec
+from . import decontaminate, language_id, license_scan, near_dup, pii, quality_classifier, quality_rules, secrets_scan, sentencepiece_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_secrets": secrets_scan.op2_secrets,
+        "op3_near_dup": near_dup.op3_near_dup,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_language_id": language_id.op5_language_id,
         "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
         "op8_pii": pii.op8_pii,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE}
+    return {"op3_near_dup": near_dup.ORACLE, "op4_decontaminate": decontaminate.ORACLE}
