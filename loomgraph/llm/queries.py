@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, near_dup, pii, quality_classifier, quality_rules, secrets_scan, sentencepiece_codec
+from . import decontaminate, language_id, license_scan, near_dup, pii, quality_classifier, quality_rules, secrets_scan, sentencepiece_codec, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_language_id": language_id.op5_language_id,
         "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_pii": pii.op8_pii,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
