@@ -135,36 +135,31 @@ def _rule(n_hit: int, n_words: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def _one_pass(index, cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
-    """Per row (key, text): the counts, the runs of hit words and the items; with ``cut`` also the text without the runs."""
+def hit_runs(flag: np.ndarray, first: np.ndarray) -> list[list[int]]:
+    """Start and end, in words, of each run of hit words of each text."""
+    total = np.concatenate([[0], np.cumsum(flag)])
+    runs: list[list[int]] = [[] for _ in first[1:]]
+    for t in np.flatnonzero(total[first[1:]] > total[first[:-1]]):
+        own = np.flatnonzero(flag[first[t] : first[t + 1]])
+        edges = np.flatnonzero(np.diff(own) > 1)
+        runs[t] = [x for s, e in zip(own[np.r_[0, edges + 1]], own[np.r_[edges, len(own) - 1]] + 1, strict=True) for x in (int(s), int(e))]
+    return runs
+
+
+def _one_pass(index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """Per row: its other columns, the counts, the runs of hit words and the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scan.pieces_of(batches, "_text"):
             original, offsets = scan.texts_of(b.column("_text"))
-            starts, ends, first, flag, items = hits(index.value, scan.LOWER[original], offsets)
+            _, _, first, flag, items = hits(index.value, scan.LOWER[original], offsets)
             total = np.concatenate([[0], np.cumsum(flag)])
-            n_hit, n_words = total[first[1:]] - total[first[:-1]], np.diff(first)
-            runs, texts = [[] for _ in n_hit], []
-            for t in np.flatnonzero(n_hit):
-                own = np.flatnonzero(flag[first[t] : first[t + 1]])
-                edges = np.flatnonzero(np.diff(own) > 1)
-                runs[t] = [x for s, e in zip(own[np.r_[0, edges + 1]], own[np.r_[edges, len(own) - 1]] + 1, strict=True) for x in (int(s), int(e))]
-            if cut:
-                raw, column = original.tobytes(), b.column("_text").to_pylist()
-                for t, old in enumerate(column):
-                    if runs[t]:
-                        at, out = offsets[t], []
-                        for s, e in zip(runs[t][::2], runs[t][1::2], strict=True):
-                            out.append(raw[at : starts[first[t] + s]])
-                            at = ends[first[t] + e - 1]
-                        old = b"".join([*out, raw[at : offsets[t + 1]]]).decode()
-                    texts.append(old)
             names = index.value.items
-            found = [[names[i] for i in items.get(t, ())] for t in range(len(n_hit))]
-            out = {c: b.column(c) for c in b.schema.names if c != "_text"} | {"n_words": pa.array(n_words), "n_hit": pa.array(n_hit), "runs": pa.array(runs, pa.list_(pa.int64())), "items": pa.array(found, pa.list_(pa.string()))}
-            if cut:
-                out["_text"] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_pydict(out)
+            found = [[names[i] for i in items.get(t, ())] for t in range(len(first) - 1)]
+            own = {c: b.column(c) for c in b.schema.names if c != "_text"}
+            yield pa.RecordBatch.from_pydict(
+                own | {"n_words": pa.array(np.diff(first)), "n_hit": pa.array(total[first[1:]] - total[first[:-1]]), "runs": pa.array(hit_runs(flag, first), pa.list_(pa.int64())), "items": pa.array(found, pa.list_(pa.string()))}
+            )
 
     return run
 
@@ -180,7 +175,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
         index = spark.sparkContext.broadcast(build(parts[0]))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _one_pass(index, False)(batches):
+            for b in _one_pass(index)(batches):
                 items, hit, n = b.column("items").to_pylist(), b.column("n_hit").to_pylist(), b.column("n_words").to_pylist()
                 empty = _digest([])
                 yield pa.RecordBatch.from_pydict(
@@ -190,7 +185,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
         return own.mapInArrow(whole, f"`{key}` {kind}, {SCHEMA}")
     # several passes: hits are merged by (key, text), which identifies a row and its copies
     own = own.withColumn("_same", F.md5(F.coalesce("_text", F.lit(""))))
-    passes = [own.mapInArrow(_one_pass(spark.sparkContext.broadcast(build(p)), False), f"`{key}` {kind}, _same string, n_words long, n_hit long, runs array<long>, items array<string>") for p in parts]
+    passes = [own.mapInArrow(_one_pass(spark.sparkContext.broadcast(build(p))), f"`{key}` {kind}, _same string, n_words long, n_hit long, runs array<long>, items array<string>") for p in parts]
     some = passes[0].where("n_hit > 0")
     for p in passes[1:]:
         some = some.unionByName(p.where("n_hit > 0"))
@@ -207,9 +202,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
 
 def remove(docs: DataFrame, benchmark: DataFrame, how: str = "documents", text: str = "text", item: str = "item_id", item_text: str = "text", most: int = MOST_BYTES) -> DataFrame:
     """``docs`` without contaminated documents ("documents") or without the hit words ("spans"); the same columns."""
-    spark, names = docs.sparkSession, docs.columns
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    out = docs
+    spark = docs.sparkSession
     ship(spark)
     if how == "documents":
         parts = blocks(benchmark, item, item_text, most)
@@ -229,11 +222,27 @@ def remove(docs: DataFrame, benchmark: DataFrame, how: str = "documents", text:
         return docs.mapInArrow(clean, docs.schema)
     if how != "spans":
         raise ValueError(f"how must be documents or spans, not {how!r}")
-    for p in blocks(benchmark, item, item_text, most):
-        index = spark.sparkContext.broadcast(build(p))
-        rest = ", ".join(f"`{c}` {kinds[c]}" for c in names if c != text)
-        out = out.withColumnRenamed(text, "_text").mapInArrow(_one_pass(index, True), f"{rest}, n_words long, n_hit long, runs array<long>, items array<string>, _text string").withColumnRenamed("_text", text).select(*names)
-    return out
+    indices = [spark.sparkContext.broadcast(build(p)) for p in blocks(benchmark, item, item_text, most)]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in scan.pieces_of(batches, text):
+            original, offsets = scan.texts_of(b.column(text))
+            flag, found = None, None
+            for index in indices:
+                found = hits(index.value, scan.LOWER[original], offsets)
+                flag = found[3] if flag is None else flag | found[3]
+            starts, ends, first = found[:3]
+            raw, texts = original.tobytes(), b.column(text).to_pylist()
+            for t, runs in enumerate(hit_runs(flag, first)):
+                if runs:
+                    at, out = offsets[t], []
+                    for s, e in zip(runs[::2], runs[1::2], strict=True):
+                        out.append(raw[at : starts[first[t] + s]])
+                        at = ends[first[t] + e - 1]
+                    texts[t] = b"".join([*out, raw[at : offsets[t + 1]]]).decode()
+            yield b.set_column(b.schema.get_field_index(text), b.schema.field(text), pa.array(texts, b.schema.field(text).type))
+
+    return docs.mapInArrow(cut, docs.schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

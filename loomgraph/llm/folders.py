@@ -7,11 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir and read from there; its lineage ends."""
-    spark: SparkSession = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; where it is unset, one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints_"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints_"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there; its lineage ends."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)

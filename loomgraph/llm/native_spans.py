@@ -7,7 +7,7 @@ match's place in code points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,kind:int,s:string>>"
@@ -31,6 +31,25 @@ def found(text: str, pattern: str, kind: int, needs: Column | None = None) -> Co
     return F.when(there, placed).otherwise(F.array().cast(SPAN))
 
 
+def packed(df: DataFrame, text: str, without: tuple[str, ...]) -> DataFrame:
+    """(row, _t): all columns but ``without`` as one struct, so that no name can clash, and the text, "" for null."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in {w.lower() for w in without}]
+    return df.select(F.struct(*kept, F.lit(None).cast("int").alias("__")).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
+
+
+def unpacked(df: DataFrame, added: tuple[str, ...]) -> DataFrame:
+    """The columns of ``row`` and the added ones."""
+    kept = [f.name for f in df.schema["row"].dataType.fields if f.name != "__"]
+    return df.select(*[F.col("row")[c].alias(c) for c in kept], *added)
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A name that no column of ``df`` has."""
+    while stem.lower() in {c.lower() for c in df.columns}:
+        stem = "_" + stem
+    return stem
+
+
 def listed(spans: Column, kinds: list[str]) -> Column:
     """kind:start:end of each span, by start and then by the order of ``kinds``, comma-joined."""
     names = F.array(*[F.lit(k) for k in kinds])

@@ -33,10 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import minhash, scan
 from .components import components
 from .folders import checkpointed
+from .native_spans import fresh
 from .shipping import ship
 
 INDEXED = 64
@@ -279,6 +281,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return out.select(F.col("d").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("d").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each group of near duplicates: of its document with the smallest key.  Same columns.
+
+    Of several rows with that key, one stays (the first by text); rows with a null key all stay.
+    """
+    name, rank = fresh(docs, "_kept"), fresh(docs, "_rank")
+    kept = near_duplicates(docs, text, key).where(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias(name)).distinct()
+    own = docs.join(kept, F.col(f"`{key}`") == F.col(name), "left_semi")
+    first = own.withColumn(rank, F.row_number().over(W.partitionBy(key).orderBy(text))).where(F.col(rank) == 1).drop(rank)
+    return first.unionByName(docs.where(F.col(f"`{key}`").isNull()))
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

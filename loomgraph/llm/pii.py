@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .native_spans import SPAN, found, listed, ordered
+from .native_spans import SPAN, found, fresh, listed, ordered, packed, unpacked
 
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE = 4
@@ -64,9 +64,7 @@ def mod97(code: Column) -> Column:
 
 def with_spans(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """``df`` with the spans of every kind: array of (start, end, kind, s, score), by start and kind."""
-    own = df.select(*[F.col(f"`{c}`") for c in df.columns if c != into], F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    digit = F.regexp_like("_t", F.lit("[0-9]"))
-    own = own.withColumn("_d", digit)
+    own = packed(df, text, (into,)).withColumn("_d", F.regexp_like("_t", F.lit("[0-9]")))
     n = lambda s: F.length(digits(s))
     own = own.withColumns(
         {
@@ -88,7 +86,7 @@ def with_spans(df: DataFrame, text: str = "text", into: str = "pii") -> DataFram
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["s"].alias("s"), score.alias("score"))
 
     own = own.withColumn(into, F.when(F.size("_a") > 0, F.filter(F.transform("_a", scored), lambda x: (x["kind"] < BASE) | (x["score"] >= THRESHOLD))).otherwise(F.array().cast(SPAN.replace("s:string", "s:string,score:double"))))
-    return own.drop("_t", "_d", "_a", *[f"_{k}" for k in range(len(KINDS))])
+    return unpacked(own, (into,))
 
 
 def redacted(text: str, spans: str) -> Column:
@@ -107,7 +105,8 @@ def redacted(text: str, spans: str) -> Column:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with its personal data replaced; same columns, in the same order."""
-    return with_spans(df, text, "_pii").withColumn(text, redacted(text, "_pii")).select(*[F.col(f"`{c}`") for c in df.columns])
+    spans = fresh(df, "_pii")
+    return with_spans(df, text, spans).withColumn(text, redacted(text, spans)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .native_spans import packed, unpacked
+
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals")
@@ -55,7 +57,7 @@ POLICIES = {
 
 
 def _measured(df: DataFrame, text: str) -> DataFrame:
-    own = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (*MEASURES, "failed_bits", "base_failed")], F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    own = packed(df, text, (*MEASURES, "failed_bits"))
     trimmed = F.regexp_replace("_t", rf"^{SPACE}+|{SPACE}+\z", "")
     own = own.withColumn("_w", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+")))
     own = own.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -78,7 +80,7 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
             "n_capitals": lost("[A-Z]").cast("long"),
         }
     )
-    return own.drop("_t", "_w", "_l", "_g", "_s", "_p")
+    return own.withColumn("failed_bits", failed_bits())
 
 
 def failed_bits() -> Column:
@@ -90,7 +92,7 @@ def failed_bits() -> Column:
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the measurements and ``failed_bits`` (bit i: rule i of RULES failed)."""
-    return _measured(df, text).withColumn("failed_bits", failed_bits())
+    return unpacked(_measured(df, text), (*MEASURES, "failed_bits"))
 
 
 def apply_policy(book: DataFrame, policy: str = "v2", into: str = "kept") -> DataFrame:

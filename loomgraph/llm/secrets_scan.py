@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .native_spans import found, listed, ordered
+from .native_spans import found, listed, ordered, packed, unpacked
 
 KINDS = ["assign", "access", "hex", "markov"]
 BASE = 3
@@ -92,8 +92,7 @@ def llr(s: Column, table: Column) -> Column:
 def with_spans(df: DataFrame, text: str = "text", into: str = "secrets", model: Column | None = None, per_char: float = PER_CHAR) -> DataFrame:
     """``df`` with all secrets: array of (start, end, kind, s), by start and kind."""
     table = trained(samples(df.sparkSession)) if model is None else model
-    own = df.select(*[F.col(f"`{c}`") for c in df.columns if c != into], F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    own = own.withColumns(
+    own = packed(df, text, (into,)).withColumns(
         {
             "_0": F.filter(found("_t", ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 1)) >= 8),
             "_1": found("_t", ACCESS, 1, F.contains("_t", F.lit("AKIA"))),
@@ -103,7 +102,7 @@ def with_spans(df: DataFrame, text: str = "text", into: str = "secrets", model:
     )
     own = own.withColumn("_b", ordered(F.col("_0"), F.col("_1"), F.col("_2")))
     new = F.filter("_3", lambda x: ~F.exists("_b", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (llr(x["s"], table) >= per_char))
-    return own.withColumn(into, F.when(F.size("_3") > 0, ordered(F.col("_b"), new)).otherwise(F.col("_b"))).drop("_t", "_0", "_1", "_2", "_3", "_b")
+    return unpacked(own.withColumn(into, F.when(F.size("_3") > 0, ordered(F.col("_b"), new)).otherwise(F.col("_b"))), (into,))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
