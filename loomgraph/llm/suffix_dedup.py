@@ -174,7 +174,7 @@ def _send(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         pieces = [(p[2], *_keyed(*p)) for p in _pieces(texts)] if texts.num_rows else []
         if not pieces:
-            return _sent([], [], [], [], [], [], [], 0)
+            return _sent([], [], [], [], [], 0)
         anchor, key = np.concatenate([s.anchor for _, s, _ in pieces]), np.concatenate([k for _, _, k in pieces])
         bucket, distinct, _ = _distinct_anchors(anchor, key, buckets)
         start, end = _cuts(bucket)
@@ -191,7 +191,7 @@ def _send(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         place = np.concatenate([s.start for _, s, _ in pieces])[take]
         order = np.lexsort((content, _by_bucket(anchor, buckets)))
         if not len(order):
-            return _sent([], [], [], [], [], [], [], 0)
+            return _sent([], [], [], [], [], 0)
         first = np.flatnonzero(np.r_[True, content[order][1:] != content[order][:-1]])
         lo, hi, one = np.minimum.reduceat(key[order], first), np.maximum.reduceat(key[order], first), order[first]
         start, end = _cuts(_by_bucket(anchor[one], buckets))
@@ -202,22 +202,32 @@ def _send(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             own = np.flatnonzero(piece[one] == k)
             raw[scan.ranges(out_at[own], size[own])] = buf[scan.ranges(place[one[own]], size[own])]
         edge = np.r_[out_at, len(raw)]
-        cols = [[], [], [], [], [], [], []]
+        cols = [[], [], [], [], []]
         for s, e in zip(start.tolist(), end.tolist(), strict=True):
             own = one[s:e]
-            for c, v in zip(cols, (int(_by_bucket(anchor[own[:1]], buckets)[0]), anchor[own], windows[own].astype(np.uint8), content[own], lo[s:e], hi[s:e], raw[edge[s] : edge[e]]), strict=True):
+            for c, v in zip(cols, (int(_by_bucket(anchor[own[:1]], buckets)[0]), windows[own].astype(np.uint8), lo[s:e], hi[s:e], raw[edge[s] : edge[e]]), strict=True):
                 c.append(v if isinstance(v, int) else v.tobytes())
         return _sent(*cols, texts["shard"][0].as_py())
 
     return run
 
 
-_SENT = "bucket long, shard long, anchor binary, windows binary, content binary, lo binary, hi binary, raw binary"
+_SENT = "bucket long, shard long, windows binary, lo binary, hi binary, raw binary"
 
 
-def _sent(bucket: list, anchor: list, windows: list, content: list, lo: list, hi: list, raw: list, shard: int) -> pa.Table:
+def _sent(bucket: list, windows: list, lo: list, hi: list, raw: list, shard: int) -> pa.Table:
     blob = lambda x: pa.array(x, pa.binary())
-    return pa.table({"bucket": pa.array(bucket, pa.int64()), "shard": pa.array([shard] * len(bucket), pa.int64()), "anchor": blob(anchor), "windows": blob(windows), "content": blob(content), "lo": blob(lo), "hi": blob(hi), "raw": blob(raw)})
+    return pa.table({"bucket": pa.array(bucket, pa.int64()), "shard": pa.array([shard] * len(bucket), pa.int64()), "windows": blob(windows), "lo": blob(lo), "hi": blob(hi), "raw": blob(raw)})
+
+
+def hashes_of(raw: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor and content hash of segments that stand one after the other; cheaper made again than sent."""
+    size = windows + LENGTH - 1
+    at = np.cumsum(size) - size
+    sums = scan.prefix_sums(raw)
+    n = len(raw) - K + 1
+    low = sliding_min(scan.mix((sums[K:] - sums[:-K]) * scan.powers(len(sums), "down")[:n]), LENGTH - K + 1)
+    return low[at], scan.substring(sums, at, at + size)
 
 
 def smallest_holders(anchor: np.ndarray, windows: np.ndarray, content: np.ndarray, lo: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,8 +259,9 @@ def _answer(table: pa.Table) -> pa.Table:
     """For each shard of a bucket: (content, first window, end, smallest key) where some holder's key is larger."""
     col = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
     windows = col("windows", np.uint8).astype(np.int64)
-    content, lo, hi = col("content", np.uint64), col("lo", np.int64), col("hi", np.int64)
-    of, begin, smallest = smallest_holders(col("anchor", np.uint64), windows, content, lo, col("raw", np.uint8))
+    lo, hi, raw = col("lo", np.int64), col("hi", np.int64), col("raw", np.uint8)
+    anchor, content = hashes_of(raw, windows)
+    of, begin, smallest = smallest_holders(anchor, windows, content, lo, raw)
     per = np.array([len(x) for x in table["windows"].to_pylist()])
     shard = np.repeat(np.arange(len(per)), per)
     key = smallest[scan.ranges(begin[of], windows)]
