@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan
-from .shipping import ship
+from ..shipping import ship
 
 N = 13
 MOST_BYTES = 64 << 20

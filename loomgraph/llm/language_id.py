@@ -31,11 +31,13 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import scan
 from .folders import checkpointed
-from .shipping import ship
+from ..shipping import ship
 
 TRAIN_ROWS = 1500
 ROUNDS = 2
 BLOCK = 32
+#: Text bytes scored at once: bounds the forward tables of a worker.
+PIECE_BYTES = 1 << 20
 LONGEST = 12
 FLOOR = 1e-7
 START = 1
@@ -65,8 +67,8 @@ def vocabulary(path: str | None = None) -> list[bytes]:
 
 
 @lru_cache(maxsize=1)
-def _trie(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Transitions (node, byte) -> node, 0 for none (the root is never a target), and each node's piece."""
+def _trie(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The root's children by byte, a column for each byte, transitions (node, column) -> node with 0 for none, each node's piece."""
     pieces = [bytes.fromhex(x.decode()) for x in joined.split(b",")]
     nodes: list[dict[int, int]] = [{}]
     piece_of = {}
@@ -78,19 +80,27 @@ def _trie(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
                 nodes[at][b] = len(nodes) - 1
             at = nodes[at][b]
         piece_of[at] = k
-    step = np.zeros((len(nodes), 256), np.int32)
+    # only bytes that occur within pieces have columns of their own; the others share one, which leads nowhere
+    used = sorted({b for own in nodes[1:] for b in own})
+    column = np.zeros(256, np.uint8)
+    column[used] = np.arange(1, len(used) + 1)
+    step = np.zeros((len(nodes), len(used) + 1), np.int32)
+    first = np.zeros(256, np.int32)
     for n, own in enumerate(nodes):
         for b, to in own.items():
-            step[n, b] = to
-    return step, np.array([piece_of.get(n, len(pieces)) for n in range(len(nodes))], np.int32)
+            if n:
+                step[n, column[b]] = to
+            else:
+                first[b] = to
+    return first, column, step, np.array([piece_of.get(n, len(pieces)) for n in range(len(nodes))], np.int32)
 
 
 class Words:
     """Distinct words of a batch, sorted by falling length: the piece at every (place, length)."""
 
-    def __init__(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trie: tuple[np.ndarray, np.ndarray]) -> None:
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trie: tuple[np.ndarray, ...]) -> None:
         """Word w is raw[starts[w] : starts[w] + lengths[w]], with the start mark put before it."""
-        step, piece_of = trie
+        first, column, step, piece_of = trie
         none = int(piece_of.max()) if len(piece_of) else 0
         self.lengths = lengths + 1
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
@@ -102,7 +112,8 @@ class Words:
         for k in range(LONGEST):
             inside = place + k < ends[place]
             place, node = place[inside], node[inside]
-            node = step[node, buf[place + k]]
+            byte = buf[place + k]
+            node = step[node, column[byte]] if k else first[byte]
             place, node = place[node > 0], node[node > 0]
             self.pieces[k, place] = piece_of[node]
         self.active = [int(np.searchsorted(-self.lengths, -j, "right")) for j in range(int(self.lengths.max()) + 1)] if len(lengths) else []
@@ -184,7 +195,7 @@ def train(docs: DataFrame, pieces: list[bytes], text: str = "text", lang: str =
 
         def count(batches: Iterator[pa.RecordBatch], given=given, n=len(pieces)) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             trie, sums = _trie(packed), {}
-            for b in scan.pieces_of(batches, "text"):
+            for b in scan.pieces_of(batches, "text", PIECE_BYTES):
                 for k in pc.unique(b.column("l")).to_pylist():
                     buf, starts, lengths, _ = _runs(b.filter(pc.equal(b.column("l"), k)).column("text"))
                     one, of = _distinct(buf, starts, lengths)
@@ -211,7 +222,7 @@ def train(docs: DataFrame, pieces: list[bytes], text: str = "text", lang: str =
     return langs, p
 
 
-def scores(column: pa.Array, trie: tuple[np.ndarray, np.ndarray], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def scores(column: pa.Array, trie: tuple[np.ndarray, ...], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best language of each text (-1: no letter) and its posterior under equal priors."""
     buf, starts, lengths, first = _runs(column)
     n = len(first) - 1
@@ -241,7 +252,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: list[b
     kept = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in scan.pieces_of(batches, text):
+        for b in scan.pieces_of(batches, text, PIECE_BYTES):
             best, score = scores(b.column(text), _trie(packed), given.value)
             names = pa.array([langs[k] if k >= 0 else "und" for k in best.tolist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, names, pa.array(score)], [*b.schema.names, "lang_pred", "score"])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import scan
-from .shipping import ship
+from ..shipping import ship
 
 TRAIN_ROWS = 3000
 DIMS = 1 << 12

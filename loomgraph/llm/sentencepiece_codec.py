@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import scan
-from .shipping import ship
+from ..shipping import ship
 
 BLANK = "▁"
 LONG = 48
+#: Text bytes encoded at once: bounds a worker's memory.
+PIECE_BYTES = 1 << 20
 NEVER = np.iinfo(np.int32).max
 
 
@@ -255,7 +257,7 @@ def encoded(docs: DataFrame, text: str = "text", proto: bytes | None = None, ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = agenda(model.value)
-        for b in scan.pieces_of(batches, text):
+        for b in scan.pieces_of(batches, text, PIECE_BYTES):
             out, offsets = encode([t or "" for t in b.column(text).to_pylist()], a, verify)
             columns, names = [*b.columns, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))], [*b.schema.names, ids]
             if decoded:
@@ -281,7 +283,7 @@ def digests(docs: DataFrame, text: str = "text", proto: bytes | None = None, ver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = agenda(model.value)
-        for b in scan.pieces_of(batches, text):
+        for b in scan.pieces_of(batches, text, PIECE_BYTES):
             out, offsets = encode([t or "" for t in b.column(text).to_pylist()], a, verify)
             raw, hashes, texts = out.astype("<u4"), [], []
             for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import scan
 from .run_index import RunIndex
-from .shipping import ship
+from ..shipping import ship
 
 LENGTH = 50
 K = 20
