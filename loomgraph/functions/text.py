@@ -123,7 +123,7 @@ def has_any(text: Column, cues: list[str]) -> Column:
 
 def negated(c: Column) -> Column:
     """Whether the sentence holds a negation cue."""
-    return c.rlike(r"(?i)\b(no|not|without|neither|failed to|did not|wasn't|were not)\b")
+    return c.rlike(r"(?iU)\b(no|not|without|neither|failed to|did not|wasn't|were not)\b")
 
 
 def intent(question: Column) -> Column:

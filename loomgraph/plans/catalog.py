@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import graph_queries, text_queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return text_queries.best_relation(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return text_queries.QUERIES | graph_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return text_queries.ORACLE | graph_queries.ORACLE
