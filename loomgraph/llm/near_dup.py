@@ -39,7 +39,7 @@ from . import minhash, scan
 from .components import components
 from .folders import checkpointed
 from .native_spans import fresh
-from .shipping import ship
+from ..shipping import ship
 
 INDEXED = 64
 CHUNKS = 18
@@ -257,8 +257,9 @@ def candidates(reps: DataFrame) -> DataFrame:
 def links(docs: DataFrame, canopies: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Confirmed links (a, b): a spanning forest of each canopy's (of each pair of its tiles)."""
     canopies = checkpointed(canopies)
-    tiles = canopies.groupBy("c").agg(F.ceil(F.count("*") / SET_TILE).cast("int").alias("tiles"))
-    places = canopies.join(tiles, "c").groupBy("x").agg(F.collect_list(F.struct("c", "tiles")).alias("places"))
+    tiles = canopies.groupBy(F.col("c").alias("k")).agg(F.ceil(F.count("*") / SET_TILE).cast("int").alias("tiles"))
+    # the second key makes Spark deal both sides out anew, so that it can split a large canopy
+    places = canopies.join(tiles, (F.col("c") == F.col("k")) & (F.col("c") % 1 == F.col("k") % 1)).groupBy("x").agg(F.collect_list(F.struct("c", "tiles")).alias("places"))
     texts = docs.select(F.col(key).cast("long").alias("x"), F.col(text).alias("t")).join(places, "x")
     sets = texts.mapInArrow(_sets, "c long, i int, j int, x long, s binary")
     return sets.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "x").mapInArrow(_links, "a long, b long")
