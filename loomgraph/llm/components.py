@@ -1,9 +1,9 @@
 """Connected components of an edge table, without ever gathering it in one place.
 
-Every round contracts: each node points at the smallest of itself and its neighbours, edges are
-rewritten to what their ends point at, and edges within a node vanish.  Any node with a
-smaller neighbour disappears, so the rounds are few (logarithmic at worst).  Rounds are
-checkpointed to the shared folder.
+Every round contracts: each node points at the smallest of itself and its neighbours, pointers are
+followed to their ends by doubling, edges are rewritten to the ends, and edges within a node
+vanish.  Any node with a smaller neighbour disappears, so the rounds are logarithmic, and so are
+the doublings of each.  Rounds are checkpointed to the shared folder.
 """
 
 from __future__ import annotations
@@ -32,6 +32,11 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(left.select(F.col("a").alias("node"), F.col("a").alias("to")))
         step = checkpointed(both.groupBy("node").agg(F.min("to").alias("to")))
+        while True:  # a chain of pointers halves with every turn; most are stars, which one turn confirms
+            jump = checkpointed(_looked_up(step.withColumn("was", F.col("to")), "to", step))
+            if jump.where("was <> to").isEmpty():
+                break
+            step = jump.select("node", "to")
         left = _looked_up(_looked_up(left, "a", step), "b", step)
         left = checkpointed(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         # every end of an edge that is left is what some node points at, so the nodes stay the same
