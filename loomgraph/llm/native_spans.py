@@ -38,9 +38,15 @@ def packed(df: DataFrame, text: str, without: tuple[str, ...]) -> DataFrame:
 
 
 def unpacked(df: DataFrame, added: tuple[str, ...]) -> DataFrame:
-    """The columns of ``row`` and the added ones."""
+    """The columns of ``row`` and the added ones.
+
+    A condition that a caller puts on them must not be pushed below the expressions that make them, where
+    they would be copied into it, once for each mention: the last of them is tied to the partition, which
+    keeps conditions above.
+    """
     kept = [f.name for f in df.schema["row"].dataType.fields if f.name != "__"]
-    return df.select(*[F.col("row")[c].alias(c) for c in kept], *added)
+    here = F.when(F.spark_partition_id() >= 0, F.col(added[-1])).alias(added[-1])
+    return df.select(*[F.col("row")[c].alias(c) for c in kept], *added[:-1], here)
 
 
 def fresh(df: DataFrame, stem: str) -> str:
