@@ -127,8 +127,11 @@ def _distinct_anchors(anchor: np.ndarray, key: np.ndarray, buckets: int) -> tupl
 
 
 def _cuts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-    return start, np.r_[start[1:], len(bucket)].astype(np.int64)
+    """Starts and ends of the runs of equal values."""
+    if not len(bucket):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    return start, np.r_[start[1:], len(bucket)]
 
 
 def _short(x: np.ndarray) -> bytes:
