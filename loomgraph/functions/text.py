@@ -94,7 +94,7 @@ def first_of(*cs: Column) -> Column:
 def authors(c: Column) -> Column:
     """Names split at semicolons if there are any, else at commas."""
     parts = F.split(F.coalesce(c, F.lit("")), F.when(F.contains(c, F.lit(";")), F.lit(";")).otherwise(F.lit(",")))
-    return F.filter(F.transform(parts, F.btrim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.btrim(x)), lambda x: x != "")
 
 
 def parts(c: Column) -> Column:
@@ -216,7 +216,7 @@ def answer_mentions(answer: Column, source: Column, type_: Column, target: Colum
 
 def byte_size(n: Column) -> Column:
     """Bytes as B, or as KB or MB (of 1,024) with one decimal."""
-    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1024**2, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / 1024.0**2))
+    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1024**2, F.format_string("%.1f KB", F.bround(n / 1024.0, 1))).otherwise(F.format_string("%.1f MB", F.bround(n / 1024.0**2, 1)))
 
 
 def evidence_kind(reason: Column, text: Column) -> Column:

@@ -109,38 +109,46 @@ def connectors(groups: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int
 
 
 def path_score(steps: Column, q: dict[str, Column], coverage: Column) -> Column:
-    """Score of a path from its steps (source, target, type, text, confidence, labels) and the question's columns."""
+    """Score of a path from its steps (ends, overlap, related, confidence, type, drug) and the question's columns."""
     n = F.size(steps)
-    ends = T.normalize_term(F.array_join(F.flatten(F.transform(steps, lambda s: F.array(s["source"], s["target"]))), " "))
-    edge = F.array_max(F.transform(steps, lambda s: T.overlap(q["terms"], T.normalize_term(F.concat_ws(" ", s["source"], s["target"], s["type"], s["text"])))))
-    related = F.array_max(F.transform(steps, lambda s: T.relevance(s["type"], q["n"])))
-    least = F.array_min(F.transform(steps, lambda s: F.coalesce(s["confidence"], F.lit(0.0))))
-    kinds = F.array_distinct(F.transform(steps, lambda s: F.upper(s["type"])))
+    ends = F.array_join(F.transform(steps, lambda s: s["ends"]), " ")
+    edge, related, least = F.array_max(F.transform(steps, lambda s: s["overlap"])), F.array_max(F.transform(steps, lambda s: s["related"])), F.array_min(F.transform(steps, lambda s: s["confidence"]))
+    kinds = F.array_distinct(F.transform(steps, lambda s: s["type"]))
     acts = F.size(F.array_intersect(kinds, F.array(F.lit("INCREASES"), F.lit("REDUCES"))))
     action = F.when(~q["wants_lipids"], 0.0).when(acts > 0, F.least(F.lit(1.0), acts / 2)).when(kinds == F.array(F.lit("ASSOCIATED_WITH")), -0.5).otherwise(0.0)
     long = n > 1
     bonus = F.when(long & q["wants_path"], F.when(coverage < 1.0, 0.08 - 0.25).otherwise(0.08)).when(long, -0.05).otherwise(0.03)
-    has_drug = F.exists(steps, lambda s: F.lower(F.concat_ws(" ", s["source_label"], s["target_label"])).contains("drug"))
-    connector = F.when(long & q["wants_drug"], F.when(has_drug, 0.25).otherwise(-0.10)).otherwise(0.0)
+    connector = F.when(long & q["wants_drug"], F.when(F.exists(steps, lambda s: s["drug"]), 0.25).otherwise(-0.10)).otherwise(0.0)
     return F.round(0.20 * T.overlap(q["terms"], ends) + 0.30 * coverage + 0.25 * edge + 0.15 * related + 0.15 * action + 0.10 * least + bonus + connector, 6)
 
 
 def scored(paths: DataFrame, edges: DataFrame, nodes: DataFrame, questions: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """(q, path_id, rels, length, score, best): each path once, with its score and its largest confidence."""
-    each = paths.select("q", "rels", F.posexplode("rels").alias("pos", "_e"))
+    """(q, path_id, rels, length, score, best): each path once, with its score and its largest confidence.
+
+    What depends on an edge and the question alone is computed once for each such pair, not for every path.
+    """
+    paths = paths.select("q", "rels").distinct()
+    each = paths.select("q", "rels", F.posexplode("rels").alias("pos", "edge"))
+    asked = questions.select("q", "n", "terms", "wants_path", "wants_drug", "wants_lipids")
     facts = G.triples(edges.select(F.col("id").alias("edge"), "type", "src", "dst", "confidence", *(["evidence"] if "evidence" in edges.columns else [F.lit("").alias("evidence")])), nodes)
-    step = F.struct("pos", F.coalesce("src_name", F.lit("")).alias("source"), F.coalesce("dst_name", F.lit("")).alias("target"), "type", F.coalesce("evidence", F.lit("")).alias("text"), "confidence", F.col("src_label").alias("source_label"), F.col("dst_label").alias("target_label"))
-    full = each.join(facts, F.col("_e") == F.col("edge")).groupBy("q", "rels").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    full = full.join(questions.select("q", "n", "terms", "wants_path", "wants_drug", "wants_lipids"), "q")
+    facts = each.select("q", "edge").distinct().join(facts, "edge").join(F.broadcast(asked.select("q", "n", "terms")), "q")  # the batch of questions
+    told = T.normalize_term(F.concat_ws(" ", "src_name", "dst_name", "type", "evidence"))
+    facts = facts.select(
+        "q", "edge", F.upper("type").alias("type"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), T.normalize_term(F.concat_ws(" ", "src_name", "dst_name")).alias("ends"), T.overlap(F.col("terms"), told).alias("overlap"), T.relevance(F.col("type"), F.col("n")).alias("related"),
+        ((F.lower("src_label") == "drug") | (F.lower("dst_label") == "drug")).alias("drug"),
+    )
+    step = F.struct("pos", "ends", "overlap", "related", "confidence", "type", "drug")
+    full = each.join(facts, ["q", "edge"]).groupBy("q", "rels").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    full = full.join(F.broadcast(asked), "q")
     coverage = F.lit(1.0)
     if groups is not None:
         own = groups.groupBy("q").agg(F.collect_list("values").alias("_g"))
         full = full.join(own, "q", "left")
-        ends = T.normalize_term(F.array_join(F.flatten(F.transform("steps", lambda s: F.array(s["source"], s["target"]))), " "))
+        ends = F.array_join(F.transform("steps", lambda s: s["ends"]), " ")
         hit = F.size(F.filter("_g", lambda g: F.exists(g, lambda v: F.contains(ends, v))))
         coverage = F.when(F.coalesce(F.size("_g"), F.lit(0)) <= 0, 1.0).otherwise(hit / F.size("_g"))
-    score = path_score(F.col("steps"), {c: F.col(c) for c in ("n", "terms", "wants_path", "wants_drug", "wants_lipids")}, coverage)
-    best = F.array_max(F.transform("steps", lambda s: F.coalesce(s["confidence"], F.lit(0.0))))
+    score = path_score(F.col("steps"), {c: F.col(c) for c in ("terms", "wants_path", "wants_drug", "wants_lipids")}, coverage)
+    best = F.array_max(F.transform("steps", lambda s: s["confidence"]))
     return full.select("q", F.concat(F.lit("path:"), F.sha1(F.array_join("rels", "|"))).alias("path_id"), "rels", F.size("rels").alias("length"), score.alias("score"), best.alias("best"))
 
 
