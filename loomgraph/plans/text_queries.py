@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import text as T
 from ..operators import chunking as C
-from ..operators import evaluate, extract
+from ..operators import evaluate, extract, plugins
 from ..operators import retrieve as R
 from .tables import table
 
@@ -222,3 +222,10 @@ def assembled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     out = evaluate.assembled(docs.select("doc_id"), C.chunks(docs, "doc_id", size=600, overlap=50).select("doc_id", "ord", "start"), "doc_id")
     return out.select("doc_id", F.coalesce(F.greatest(F.size("chunks"), F.lit(0)), F.lit(0)).cast("long").alias("n_chunks"), F.coalesce(F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", c["ord"], c["start"])), ","), F.lit("")).alias("chunks"))
+
+
+@query("window_semantics")
+def window_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the documents against the relationship prototypes, by the offline embedder."""
+    w = C.lines(_docs(spark, sf_dir), "doc_id").select("doc_id", F.col("ord").alias("w"), F.col("text").alias("window"))
+    return plugins.window_semantics(w, "doc_id", plugins.hashing_embedder()).where("semantic > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import dims
 from loomgraph.functions import text as T
-from loomgraph.operators import answer, artifacts, chunking, evaluate, extract, graph, retrieve, review, validate
+from loomgraph.operators import answer, artifacts, chunking, evaluate, extract, graph, plugins, retrieve, review, validate
 from loomgraph.sources import readers, rest, sinks
 from loomgraph.streaming import jobs
 
@@ -285,3 +285,38 @@ def test_jobs(spark, tmp_path):
         j.write.mode("append").parquet(folder)
         jobs.work(spark, folder, "job_id int, status string, submitted_at int, error string", lambda b, n: seen.append(b.count()), str(tmp_path / "cp"))
     assert sum(seen) == 4
+
+
+def test_plugins(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, "Aspirin helps"), (2, None)], "k int, text string")
+    plugins.register(plugins.EXTRACTORS, "Lexicon", plugins.dictionary_extractor([("Drug", "Aspirin", "aspirin")]))
+    assert [(r["k"], r["start"]) for r in plugins.get(plugins.EXTRACTORS, " lexicon")(chunks, "k").collect()] == [(1, 0)]
+    assert plugins.noop_extractor(chunks, "k").count() == 0
+
+    def load():
+        return lambda texts: [[{"type": "Drug", "name": t, "alias": t, "start": 0, "end": len(t)}] if t else [] for t in texts]
+
+    from pyspark import cloudpickle
+    import sys
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    try:
+        assert [r["name"] for r in plugins.batch_extractor(load)(chunks, "k").collect()] == ["Aspirin helps"]
+
+        def generate(text):
+            if "bad" in text:
+                raise ValueError("no")
+            return text.upper()
+
+        calls = plugins.model_calls(spark.createDataFrame([(1, "good"), (2, "bad")], "q int, prompt string"), generate, "test", "m")
+        assert {r["q"]: (r["answer"], r["status"], r["error"]) for r in calls.collect()} == {"1": ("GOOD", "ok", ""), "2": (None, "error", "no")}
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
+    w = spark.createDataFrame([(1, 0, "A drug lowers a biomarker level."), (1, 1, "")], "k int, w int, window string")
+    got = {(r["w"], r["type"]): r["semantic"] for r in plugins.window_semantics(w, "k", plugins.hashing_embedder()).collect()}
+    assert got[0, "REDUCES"] == 1.0 and got[1, "REDUCES"] == 0.0 and len(got) == 22
+    assert one(spark, plugins.prompt("Q: {q} E: {e}", q=F.col("c"), e=F.lit(None)), c="why") == "Q: why E: "
+    monkeypatch.setenv("MODEL_TIMEOUT", "7")
+    assert plugins.profile("none", provider="x") == {"name": "noop", "provider": "x", "model": "noop", "retriever": "graph", "timeout": 7}
+    with pytest.raises(ValueError):
+        plugins.get(plugins.MODELS, "other")
