@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Document statuses that count as done, and what a restart tells.
 DONE = ["completed", "failed", "skipped"]
-INTERRUPTED = "Ingestion was interrupted by an API restart."
+INTERRUPTED = "Ingestion job was interrupted before completion, likely because the API restarted."
 #: Which states a job may move to.
 MOVES = {"queued": ["running", "cancelled"], "running": ["completed", "failed"], "completed": [], "failed": [], "cancelled": []}
 
