@@ -32,17 +32,15 @@ WIDTH = len(ALPHABET) + 1
 PER_CHAR = 0.35
 #: Parts of ordinary identifiers, for the labelled sample.
 PARTS = (
-    "account action active address admin agent alert amount annotation answer api archive array asset async audit author balance batch bucket buffer build bytes cache call "
-    "channel check child client cluster code column command comment commit component config connection container content context control count create current customer data "
-    "database date default delete deploy description detail device digest document domain download driver duration element email enable endpoint entity entry error event example "
-    "executor export factory feature field file filter folder format frame function global group handler header height history host image import index input instance integer "
-    "interface internal invoice item job journal key label language layer length level library license limit line link list load local location lock logger login manager map "
-    "message method metric mode model module monitor name network node notification number object offset operation option order output owner package page parameter parent parser "
-    "partition path payment pending permission person plan platform policy pool port position prefix process product profile project property provider public query queue range "
-    "rate reader record reference region register release remote render report request resource response result return role root route row rule runtime sample schedule schema "
-    "scope search section security segment select sender sequence server service session setting shared signal size source stage start state status storage stream string subject "
-    "summary support switch symbol system table tag target task template test text thread time title token total trace transaction transform type update upload user valid value "
-    "variable vector version view volume warning weight widget width window worker writer zone"
+    "account action address admin amount annotation answer api archive array async author batch buffer build bytes call channel check client cluster code "
+    "column command comment commit config connection container content context control create current customer data database date default delete "
+    "description detail document domain email enable entity entry error event example export field file filter folder format function group handler header "
+    "height history host image import index input interface internal item job key label language layer length library limit line link list load local "
+    "location logger manager message method metric model module name network node notification number option order output owner package page parameter "
+    "parent parser partition path payment person position process product profile project property public query queue range rate reader record reference "
+    "release render report request resource response result return role root route row schema search security sequence server service session setting size "
+    "source stage start state status storage stream string subject switch system table tag target task test text thread time title total transaction type "
+    "update upload user valid value version view worker writer"
 ).split()
 
 
