@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dup": near_dup.ORACLE, "op4_decontaminate": decontaminate.ORACLE}
+    return {"op3_near_dup": near_dup.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op7_suffix_dedup": suffix_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE}

@@ -329,3 +329,16 @@ def repeated_strings(docs: DataFrame, text: str = "text", key: str = "doc_id", s
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_strings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", (F.size("runs") / 2).cast("long").alias("n_spans"), "kept_sha256")
+
+
+ORACLE = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, substring(x, 2 * p + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS p FROM h WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+b AS (SELECT DISTINCT w.doc_id, w.p FROM w JOIN f ON w.s = f.s WHERE m < w.doc_id),
+q AS (SELECT doc_id, p, substring(x, 2 * p + 1, 2) AS c FROM (SELECT doc_id, x, unnest(range(0, n)) AS p FROM h)),
+g AS (SELECT q.doc_id, q.p, c, max(CASE WHEN b.p IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY q.doc_id ORDER BY q.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM q LEFT JOIN b ON q.doc_id = b.doc_id AND q.p = b.p),
+r AS (SELECT doc_id, p, c, gone, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) AS was FROM g),
+a AS (SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (WHERE gone = 1 AND was = 0) AS n_spans, string_agg(c, '' ORDER BY p) FILTER (WHERE gone = 0) AS kept FROM r GROUP BY doc_id)
+SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN a ON h.doc_id = a.doc_id
+"""
