@@ -106,3 +106,21 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_ROWS = ", ".join(
+    f"({i}, '{label}', {str(i < len(PHRASES)).lower()}, {repr(must[0]) if must else 'NULL'}, '{text}')" for i, (label, text, *must) in enumerate([*PHRASES.items(), *TEMPLATES])
+)
+ORACLE = rf"""
+WITH t(t, label, base, must, text) AS (VALUES {_ROWS}),
+tg AS (SELECT t, label, base, must, len(w) - 2 AS n_grams, p - 1 AS tpos, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT t, label, base, must, w, unnest(range(1, len(w) - 1)) AS p FROM (SELECT *, string_split(text, ' ') AS w FROM t))),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dg AS (SELECT doc_id, p - 1 AS pos, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= {K})),
+h AS (SELECT doc_id, t, label, base, must, n_grams, tpos, pos, pos - tpos AS diagonal, dg.g AS g FROM dg JOIN tg ON dg.g = tg.g),
+v AS (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS gap FROM (SELECT DISTINCT doc_id, t, base, diagonal FROM h)),
+c AS (SELECT doc_id, t, diagonal, sum(CASE WHEN base OR gap IS NULL OR gap > {SLACK} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS cluster FROM v),
+j AS (SELECT h.doc_id, h.t, label, base, n_grams, cluster, count(DISTINCT tpos) AS k, min(pos) AS start, coalesce(bool_or(g = must), true) AS named FROM h JOIN c ON h.doc_id = c.doc_id AND h.t = c.t AND h.diagonal = c.diagonal GROUP BY h.doc_id, h.t, label, base, n_grams, cluster),
+ok AS (SELECT *, k / n_grams AS score FROM j WHERE CASE WHEN base THEN k = n_grams ELSE k / n_grams >= {COVER} AND named END),
+a AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM ok GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
