@@ -3,6 +3,8 @@
 import math
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -14,7 +16,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the test tables a
 
 
 def cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return "null"
     if isinstance(v, float):
         return repr(round(v, 6) + 0.0)
@@ -25,7 +27,7 @@ def rows(df):
     cols = sorted(df.columns)
     out = []
     for r in df[cols].itertuples(index=False):
-        out.append(tuple(cell(float(v)) if isinstance(v, int | float) and not isinstance(v, bool) else cell(v) for v in r))
+        out.append(tuple(cell(float(v)) if isinstance(v, int | float | np.number) and not isinstance(v, bool) else cell(v) for v in r))
     return cols, sorted(out)
 
 
