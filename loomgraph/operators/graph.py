@@ -34,8 +34,8 @@ def attach(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges whose two ends exist, and (attempted, written): an edge without both ends is counted but not written."""
     ids = nodes.select(F.col("id").alias("_n"))
     good = edges.join(ids, F.col("src") == F.col("_n"), "left_semi").join(ids, F.col("dst") == F.col("_n"), "left_semi")
-    counts = edges.where("type <> 'MENTIONS'").agg(F.count("*").alias("attempted")).crossJoin(good.where("type <> 'MENTIONS'").agg(F.count("*").alias("written")))  # one row each
-    return good, counts
+    tally = lambda rows, a, w: rows.where("type <> 'MENTIONS'").select(F.lit(a).alias("attempted"), F.lit(w).alias("written"))
+    return good, tally(edges, 1, 0).unionByName(tally(good, 0, 1)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("attempted", "written")])
 
 
 def mention_edges(found: DataFrame) -> DataFrame:

@@ -68,8 +68,9 @@ def containing(questions: DataFrame, names: DataFrame, limit: int = ANCHORS) ->
     Names are first made distinct, and each is tested within its own row against the questions'
     terms, a stated set held in the plan by one array.
     """
-    terms = questions.groupBy().agg(F.collect_list(F.struct("q", "terms")).alias("_qs"))
-    d = names.where("label <> 'Paper' and name is not null").select("id", "name").crossJoin(F.broadcast(terms))  # one row
+    asked = [(r["q"], r["terms"]) for r in questions.select("q", "terms").collect()]  # the stated batch of questions
+    batch = F.array(*[F.struct(F.lit(q).alias("q"), F.array(*[F.lit(t) for t in ts]).cast("array<string>").alias("terms")) for q, ts in asked])
+    d = names.where("label <> 'Paper' and name is not null").select("id", "name", batch.alias("_qs"))
     low = F.lower("name")
     hit = d.select("id", "name", F.explode(F.filter("_qs", lambda x: F.exists(x["terms"], lambda t: F.contains(low, t) | F.contains(t, low)))).alias("x"))
     by = W.partitionBy("x.q").orderBy("name", "id")

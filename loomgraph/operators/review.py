@@ -104,12 +104,16 @@ def issues(chunks: DataFrame, entities: DataFrame, relations: DataFrame, entity_
 def summary(documents: DataFrame, chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Ten counts in one row; each table is read once."""
     open_ = unresolved() | status("annotation_decision").isin("", "needs_review")
-    return (
-        documents.agg(F.count("*").alias("document_count"))
-        .crossJoin(chunks.agg(F.count("*").alias("chunk_count")))
-        .crossJoin(entities.agg(F.count("*").alias("entity_rows"), F.count_if(entity_accepted()).alias("accepted_entities"), F.count_if(status("annotation_status") == "rejected").alias("rejected_entities"), F.count_if(unresolved()).alias("unresolved_entities")))
-        .crossJoin(relations.agg(F.count("*").alias("relationship_rows"), F.count_if(relation_accepted()).alias("accepted_relationships"), F.count_if((status("annotation_status") == "rejected") | (status("annotation_decision") == "exclude")).alias("rejected_relationships"), F.count_if(open_).alias("unresolved_relationships")))
-    )
+    each = [
+        documents.agg(F.count("*").alias("document_count")),
+        chunks.agg(F.count("*").alias("chunk_count")),
+        entities.agg(F.count("*").alias("entity_rows"), F.count_if(entity_accepted()).alias("accepted_entities"), F.count_if(status("annotation_status") == "rejected").alias("rejected_entities"), F.count_if(unresolved()).alias("unresolved_entities")),
+        relations.agg(F.count("*").alias("relationship_rows"), F.count_if(relation_accepted()).alias("accepted_relationships"), F.count_if((status("annotation_status") == "rejected") | (status("annotation_decision") == "exclude")).alias("rejected_relationships"), F.count_if(open_).alias("unresolved_relationships")),
+    ]
+    rows = each[0]
+    for r in each[1:]:
+        rows = rows.unionByName(r, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def coverage(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:

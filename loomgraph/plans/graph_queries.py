@@ -118,7 +118,8 @@ def mentions_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tagged_delete", f"WITH {GRAPH_SQL}, kept AS (SELECT * FROM nodes WHERE NOT (label = 'Drug' AND name LIKE 'red%')) SELECT (SELECT count(*) FROM kept) AS n_nodes, count(*) AS n_edges FROM edges WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)")
 def tagged_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = G.without(nodes(spark, sf_dir), edges(spark, sf_dir), (F.col("label") == "Drug") & F.col("name").startswith("red"))
-    return n.agg(F.count("*").alias("n_nodes")).crossJoin(e.agg(F.count("*").alias("n_edges")))  # one row each
+    tally = lambda rows, a, b: rows.select(F.lit(a).alias("n_nodes"), F.lit(b).alias("n_edges"))
+    return tally(n, 1, 0).unionByName(tally(e, 0, 1)).agg(F.sum("n_nodes").alias("n_nodes"), F.sum("n_edges").alias("n_edges"))
 
 
 @query("unique_violations", "SELECT p_name, count(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY p_name HAVING count(*) > 1")

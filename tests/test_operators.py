@@ -190,6 +190,13 @@ def test_question_analysis(spark):
     with pytest.raises(ValueError):
         retrieve.get_retriever("x")
     assert retrieve.budgets(12) == (3, 9)
+    qs = spark.createDataFrame([(1, ["fish"]), (2, ["fish oil capsule"]), (3, [])], "q int, terms array<string>")
+    names = spark.createDataFrame([("a", "Drug", "Fish oil"), ("b", "Paper", "Fish"), ("c", "Drug", None)], "id string, label string, name string")
+    assert sorted(tuple(r) for r in retrieve.containing(qs, names).collect()) == [(1, "a"), (2, "a")]
+    groups = retrieve.matched_groups(spark.createDataFrame([(1, "does fish oil help ldl"), (2, "fishoil")], "q int, n string"), spark.createDataFrame([(0, "Fish-Oil", ["omega"]), (1, "LDL", [])], "c int, name string, aliases array<string>"))
+    assert sorted((r["q"], r["c"]) for r in groups.collect()) == [(1, 0), (1, 1)]
+    d = retrieve.definitions(spark.createDataFrame([(1, "what is ldl")], "q int, n string"), spark.createDataFrame([(0, "LDL", [], "a lipoprotein")], "c int, name string, aliases array<string>, definition string"), 3).first()
+    assert (d["definition"], d["score"]) == ("a lipoprotein", 2.0) and len(d["id"]) == len("definition:") + 16
 
 
 def test_greedy_packing(spark):
