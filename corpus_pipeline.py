@@ -54,10 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what each returns is written to the shared folder and read from there."""
+    """All stages; what each returns is written to the shared folder and read from there.
+
+    A stage's folder goes when the next one's is complete, so two are there at most; the last stays.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{folders.shared(spark)}/pipeline_{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}_{name}")
         docs = spark.read.parquet(f"{top}/{k}_{name}")
+        if k:
+            folders.remove(spark, f"{top}/{k - 1}_{STAGES[k - 1][0]}")
     return docs

@@ -19,3 +19,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there; its lineage ends."""
     shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of our own, in whatever store it is."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
