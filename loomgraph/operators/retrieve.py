@@ -31,12 +31,13 @@ def analysed(questions: DataFrame, text: str = "question") -> DataFrame:
 def matched_groups(questions: DataFrame, concepts: DataFrame) -> DataFrame:
     """(q, c, values): concepts (c, name, aliases) one of whose normalised names stands in the question as words.
 
-    Names are joined to the questions' word n-grams by equality, so no pair is compared that shares none.
+    Names are joined to the questions' word n-grams by equality, so no pair is compared that shares none.  N-grams
+    are built for the word counts that names have, however long; these counts alone are broadcast.
     """
     c = concepts.select("c", F.array_distinct(F.filter(F.transform(F.concat(F.array("name"), "aliases"), T.normalize_term), lambda x: x != "")).alias("values"))
     names = c.select("c", F.explode("values").alias("value")).withColumn("k", F.size(F.split("value", " ")))
     words = questions.select("q", F.split("n", " ").alias("w"))
-    grams = words.select("q", F.explode(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(8)))).alias("k"), "w")
+    grams = words.join(F.broadcast(names.select("k").distinct()), F.size("w") >= F.col("k"))
     grams = grams.select("q", "k", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.array_join(F.slice("w", i, F.col("k")), " "))).alias("value"))
     hit = grams.join(names, ["k", "value"]).select("q", "c").distinct()
     return hit.join(c, "c").select("q", "c", "values")

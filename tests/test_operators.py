@@ -199,6 +199,16 @@ def test_question_analysis(spark):
     assert (d["definition"], d["score"]) == ("a lipoprotein", 2.0) and len(d["id"]) == len("definition:") + 16
 
 
+def test_long_concept_names(spark):
+    """Names of any number of words match as whole words."""
+    nine, long = "one two three four five six seven eight nine", " ".join(f"w{k}" for k in range(40))
+    names = [(0, "Short", ["One-two three-four five-six seven-eight nine"]), (1, long, []), (2, long + " more", []), (3, "ne two", [])]
+    concepts = spark.createDataFrame([(*c, "text") for c in names], "c int, name string, aliases array<string>, definition string")
+    asked = spark.createDataFrame([(1, f"is {nine} here"), (2, nine), (3, f"a {long}"), (4, nine.replace("five", "fife")), (5, "")], "q int, n string")
+    assert sorted((r["q"], r["c"]) for r in retrieve.matched_groups(asked, concepts).collect()) == [(1, 0), (2, 0), (3, 1)]
+    assert sorted((r["q"], r["name"]) for r in retrieve.definitions(asked, concepts, 3).collect()) == [(1, "Short"), (2, "Short"), (3, long)]
+
+
 def test_greedy_packing(spark):
     rng, rows = random.Random(3), []
     for q in range(60):
