@@ -9,7 +9,7 @@ occurrences, then ``ROUNDS`` of expectation-maximisation (forward-backward) over
 The sample is bounded: about ``TRAIN_ROWS`` documents a language, chosen by a hash of the row's
 text and key, and every language with labelled rows is learned.  Scoring covers every
 document and whole texts: words are letter runs; distinct words of a batch are scored once, all
-languages together.  A run of more than ``BLOCK`` bytes is scored in blocks of that size.
+languages together.  Words of any length are scored whole, with rescaled probabilities.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows with a null key
 or language are never learned from, but are predicted; with nothing to learn from, all are
@@ -35,8 +35,11 @@ from ..shipping import ship
 
 TRAIN_ROWS = 1500
 ROUNDS = 2
-BLOCK = 32
-#: Text bytes scored at once: bounds the forward tables of a worker.
+#: Words worked on at once, and the bytes of each of them: bounds the tables of the forward pass.
+GROUP, SEGMENT = 2048, 128
+#: Steps after which the forward probabilities are scaled, so that no long word underflows.
+RESCALE = 8
+#: Text bytes read at once.
 PIECE_BYTES = 1 << 20
 LONGEST = 12
 FLOOR = 1e-7
@@ -67,8 +70,9 @@ def vocabulary(path: str | None = None) -> list[bytes]:
 
 
 @lru_cache(maxsize=1)
-def _trie(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The root's children by byte, a column for each byte, transitions (node, column) -> node with 0 for none, each node's piece."""
+def _trie(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """The root's children by byte, a column for each byte, transitions (node, column) -> node with 0 for none, each node's
+    piece, and the length of the longest piece."""
     pieces = [bytes.fromhex(x.decode()) for x in joined.split(b",")]
     nodes: list[dict[int, int]] = [{}]
     piece_of = {}
@@ -92,73 +96,123 @@ def _trie(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
                 step[n, column[b]] = to
             else:
                 first[b] = to
-    return first, column, step, np.array([piece_of.get(n, len(pieces)) for n in range(len(nodes))], np.int32)
+    return first, column, step, np.array([piece_of.get(n, len(pieces)) for n in range(len(nodes))], np.int32), max(map(len, pieces))
 
 
 class Words:
-    """Distinct words of a batch, sorted by falling length: the piece at every (place, length)."""
+    """Distinct words of a batch, sorted by falling length, with the sums over their segmentations.
 
-    def __init__(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trie: tuple[np.ndarray, ...]) -> None:
+    Words are worked on in groups, and a group in segments of ``SEGMENT`` bytes of each word, so that the
+    tables are bounded however long a word is.
+    """
+
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trie: tuple) -> None:
         """Word w is raw[starts[w] : starts[w] + lengths[w]], with the start mark put before it."""
-        first, column, step, piece_of = trie
-        none = int(piece_of.max()) if len(piece_of) else 0
+        self.trie = trie
         self.lengths = lengths + 1
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
-        buf = np.full(int(self.offsets[-1]), START, np.uint8)
-        buf[scan.ranges(self.offsets[:-1] + 1, lengths)] = raw[scan.ranges(starts, lengths)]
-        ends = np.repeat(self.offsets[1:], self.lengths)
-        self.pieces = np.full((LONGEST, len(buf)), none, np.int32)
-        place, node = np.arange(len(buf)), np.zeros(len(buf), np.int32)
-        for k in range(LONGEST):
-            inside = place + k < ends[place]
+        self.buf = np.full(int(self.offsets[-1]), START, np.uint8)
+        self.buf[scan.ranges(self.offsets[:-1] + 1, lengths)] = raw[scan.ranges(starts, lengths)]
+
+    def groups(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Slices of words, with the number of words of at least j bytes for each j."""
+        for at in range(0, len(self.lengths), GROUP):
+            own = slice(at, min(at + GROUP, len(self.lengths)))
+            yield own, np.searchsorted(-self.lengths[own], -np.arange(int(self.lengths[at]) + 2), "right")
+
+    def segment(self, own: slice, active: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """ends[-k, c]: the piece of k bytes that ends at column c; each word's column of byte ``at``; the number of
+        bytes before it.  A segment has these bytes too, since pieces that end in it may begin there."""
+        first, column, step, piece_of, longest = self.trie
+        n, before = int(active[at + 1]), min(at, longest - 1)
+        start = self.offsets[own][:n] + at - before
+        size = np.minimum(self.lengths[own][:n], at + SEGMENT) - at + before
+        buf, stop = self.buf[scan.ranges(start, size)], np.cumsum(size)
+        ends = np.full((longest, len(buf)), piece_of[0], np.int32)  # the root is no piece
+        place, node, limit = np.arange(len(buf)), np.zeros(len(buf), np.int32), np.repeat(stop, size)
+        for k in range(longest):
+            inside = place + k < limit[place]
             place, node = place[inside], node[inside]
             byte = buf[place + k]
             node = step[node, column[byte]] if k else first[byte]
             place, node = place[node > 0], node[node > 0]
-            self.pieces[k, place] = piece_of[node]
-        self.active = [int(np.searchsorted(-self.lengths, -j, "right")) for j in range(int(self.lengths.max()) + 1)] if len(lengths) else []
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[j, word, language]: probability of the first j bytes; p[piece, language], last row zero."""
-        alpha = np.zeros((len(self.active), len(self.lengths), p.shape[1]))
-        alpha[0] = 1
-        for j in range(1, len(self.active)):
-            n = self.active[j]
-            for k in range(min(j, LONGEST)):
-                alpha[j, :n] += alpha[j - 1 - k, :n] * p[self.pieces[k, self.offsets[:n] + j - 1 - k]]
-        return alpha
+            ends[longest - 1 - k, place + k] = piece_of[node]
+        return ends, stop - size + before, before
+
+    def counts(self, weight: np.ndarray, n: int) -> np.ndarray:
+        """Occurrences of each of ``n`` pieces at all places; weight: occurrences of each word."""
+        out = np.zeros(n)
+        for own, active in self.groups():
+            for at in range(0, len(active) - 2, SEGMENT):
+                ends, col, before = self.segment(own, active, at)
+                size = np.diff(np.append(col, ends.shape[1] + before)) - before
+                here = scan.ranges(col, size)
+                times = np.repeat(weight[own][: len(col)], size)
+                for row in ends:
+                    out += np.bincount(row[here], times, n)
+        return out
+
+    def forward(self, own: slice, active: np.ndarray, p: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """j, alpha and its log scale [word, language] for every j, of the words of at least j bytes: alpha times exp(scale)
+        is the probability of the first j bytes; p[piece, language], last row zero."""
+        longest, n = self.trie[4], own.stop - own.start
+        past = np.zeros((longest + SEGMENT, n, p.shape[1]))  # past[longest - 1] is the alpha before the segment
+        past[longest - 1], scale = 1, np.zeros((n, p.shape[1]))
+        for at in range(0, len(active) - 2, SEGMENT):
+            ends, col, _ = self.segment(own, active, at)
+            for i in range(min(SEGMENT, len(active) - 2 - at)):
+                j, n = at + i + 1, int(active[at + i + 1])
+                k = min(j, longest)
+                piece = ends[longest - k :, col[:n] + i]
+                now = np.einsum("knl,knl->nl", past[i + longest - k : i + longest, :n], p[piece])
+                past[i + longest, :n] = now
+                yield j, now, scale[:n]
+                if j % RESCALE == 0:
+                    n = int(active[j + 1])
+                    past[i + 1 : i + longest + 1, :n] /= now[:n]
+                    scale[:n] += np.log(now[:n])
+            past[:longest] = past[SEGMENT:]
 
     def likelihood(self, p: np.ndarray) -> np.ndarray:
         """log P(word | language), over all segmentations."""
-        if not len(self.lengths):
-            return np.zeros((0, p.shape[1]))
-        return np.log(self.forward(p)[self.lengths, np.arange(len(self.lengths))])
+        out = np.zeros((len(self.lengths), p.shape[1]))
+        for own, active in self.groups():
+            for j, alpha, scale in self.forward(own, active, p):
+                done = int(active[j + 1])
+                out[own][done : len(alpha)] = np.log(alpha[done:]) + scale[done:]
+        return out
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece, for one language; weight: occurrences of each word."""
-        out = np.zeros(len(p))
-        alpha = self.forward(p)[:, :, 0]
-        total = alpha[self.lengths, np.arange(len(self.lengths))]
-        beta = np.zeros_like(alpha)
-        beta[self.lengths, np.arange(len(self.lengths))] = weight / total
-        for j in range(len(self.active) - 1, 0, -1):  # beta[j] is whole: give to the starts of pieces that end at j
-            n = self.active[j]
-            for k in range(min(j, LONGEST)):
-                piece = self.pieces[k, self.offsets[:n] + j - 1 - k]
-                share = p[piece, 0] * beta[j, :n]
-                beta[j - 1 - k, :n] += share
-                out += np.bincount(piece, alpha[j - 1 - k, :n] * share, len(p))
+        longest, out = self.trie[4], np.zeros(len(p))
+        with np.errstate(divide="ignore"):
+            log_p = np.log(p[:, 0])
+        for own, active in self.groups():
+            size = self.lengths[own] + 1
+            base = np.cumsum(size) - size
+            log_alpha, uses = np.zeros(int(size.sum())), np.zeros(int(size.sum()))
+            for j, alpha, scale in self.forward(own, active, p):
+                log_alpha[base[: len(alpha)] + j] = np.log(alpha[:, 0]) + scale[:, 0]
+            uses[base + self.lengths[own]] = weight[own]
+            for at in reversed(range(0, len(active) - 2, SEGMENT)):
+                ends, col, _ = self.segment(own, active, at)
+                shares = np.zeros(ends.shape)
+                for i in reversed(range(min(SEGMENT, len(active) - 2 - at))):  # uses of place j are whole: give to the starts of pieces that end there
+                    j, n = at + i + 1, int(active[at + i + 1])
+                    k = min(j, longest)
+                    place = base[:n] + j
+                    start = place - np.arange(k, 0, -1)[:, None]
+                    share = uses[place] * np.exp(log_alpha[start] + log_p[ends[longest - k :, col[:n] + i]] - log_alpha[place])
+                    uses[start] += share
+                    shares[longest - k :, col[:n] + i] = share
+                out += np.bincount(ends.ravel(), shares.ravel(), len(p))
         return out
 
 
 def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, starts and lengths of the letter runs in blocks, and the first run of each text."""
+    """Lower-cased bytes, starts and lengths of the letter runs, and the first run of each text."""
     buf, offsets = scan.texts_of(pc.utf8_lower(column.cast(pa.large_string())))
     starts, ends = scan.spans(buf, offsets, LETTER)
-    n = -(-(ends - starts) // BLOCK)
-    if len(n) and n.max() > 1:
-        at = np.repeat(starts, n) + BLOCK * scan.ranges(np.zeros(len(n), np.int64), n)
-        starts, ends = at, np.minimum(at + BLOCK, np.repeat(ends, n))
     return buf, starts, ends - starts, np.searchsorted(starts, offsets)
 
 
@@ -203,8 +257,7 @@ def train(docs: DataFrame, pieces: list[bytes], text: str = "text", lang: str =
                         continue
                     words, weight = Words(buf, starts[one], lengths[one], trie), np.bincount(of, minlength=len(one))
                     if given.value is None:
-                        per_place = np.repeat(weight, words.lengths)
-                        own = sum(np.bincount(words.pieces[j], per_place, n + 1) for j in range(LONGEST))
+                        own = words.counts(weight, n + 1)
                     else:
                         own = words.expected(given.value[:, [k]], weight)
                     sums[k] = sums.get(k, 0) + own[:n]

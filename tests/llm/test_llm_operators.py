@@ -283,6 +283,46 @@ def test_language_forward_algorithm():
     assert np.allclose(got, [[np.log(total(b"\x01" + w, k)) for k in (0, 1)] for w in order])
 
 
+def test_language_long_runs():
+    """Runs of any length are one word: scores and expected counts equal a plain forward-backward pass with exact numbers."""
+    from fractions import Fraction
+
+    import pyarrow as pa
+
+    pieces = [bytes([b]) for b in range(256)] + [b"ab", b"abc", b"bc", b"\x01a", b"ca", "日本".encode(), b"abcabcabca"]
+    rng = np.random.default_rng(5)
+    p = rng.random((len(pieces) + 1, 2)) * 1e-6
+    p[-1] = 0
+    words = sorted([b"abc" * 300 + b"x", "日本語".encode() * 30, b"ab" * 64, b"a" * 127, b"abcab", b"c"], key=len, reverse=True)
+    raw, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    own = language_id.Words(raw, np.cumsum(size) - size, size, language_id._trie(language_id._pack(pieces)))
+    want, uses, weight = [], np.zeros(len(p)), np.arange(1.0, len(words) + 1)
+    for w, times in zip(words, weight, strict=True):
+        w, logs = b"\x01" + w, []
+        at = [[(i, len(x)) for i, x in enumerate(pieces) if w.startswith(x, j)] for j in range(len(w))]
+        for lang in (1, 0):
+            q = [Fraction(int(x * (1 << 60)), 1 << 60) for x in p[:, lang]]
+            alpha = [Fraction(1)] + [Fraction(0)] * len(w)
+            for j in range(len(w)):
+                for i, n in at[j]:
+                    alpha[j + n] += alpha[j] * q[i]
+            a = alpha[-1]
+            shift = a.denominator.bit_length() - a.numerator.bit_length()
+            logs.append(np.log(float(a * 2**shift)) - shift * np.log(2))
+        beta = [Fraction(0)] * len(w) + [Fraction(1)]
+        for j in reversed(range(len(w))):
+            for i, n in at[j]:
+                beta[j] += q[i] * beta[j + n]
+                uses[i] += times * float(alpha[j] * q[i] * beta[j + n] / alpha[-1])
+        want.append(logs[::-1])
+    assert np.allclose(own.likelihood(p), want, rtol=1e-9)
+    assert np.allclose(own.expected(p[:, :1], weight), uses, rtol=1e-6)
+    counts = [sum(t * sum((b"\x01" + w).startswith(x, j) for j in range(len(w) + 1)) for w, t in zip(words, weight, strict=True)) for x in pieces]
+    assert np.allclose(own.counts(weight, len(p))[:-1], counts)
+    buf, starts, lengths, first = language_id._runs(pa.array(["x" * 100 + " y", None, "日本語" * 40]))
+    assert lengths.tolist() == [100, 1, 360] and first.tolist() == [0, 2, 2, 3]
+
+
 def test_language_id(spark):
     import zlib
 
