@@ -41,7 +41,6 @@ GROUP, SEGMENT = 2048, 128
 RESCALE = 8
 #: Text bytes read at once.
 PIECE_BYTES = 1 << 20
-LONGEST = 12
 FLOOR = 1e-7
 START = 1
 LETTER = np.zeros(256, bool)
@@ -49,7 +48,7 @@ LETTER[97:123] = LETTER[128:] = True
 
 
 def vocabulary(path: str | None = None) -> list[bytes]:
-    """Single bytes, then the vocabulary's lower-case letter pieces of at most LONGEST bytes."""
+    """Single bytes, then the vocabulary's lower-case letter pieces of whatever length."""
     import sentencepiece
 
     if path is None:
@@ -64,7 +63,7 @@ def vocabulary(path: str | None = None) -> list[bytes]:
         s = sp.id_to_piece(i)
         bare = s.removeprefix("▁")
         raw = (b"\x01" if bare != s else b"") + bare.encode()
-        if bare.isalpha() and bare == bare.lower() and 1 < len(raw) <= LONGEST:
+        if bare.isalpha() and bare == bare.lower() and len(raw) > 1:
             pieces.append(raw)
     return list(dict.fromkeys(pieces))
 

@@ -323,6 +323,19 @@ def test_language_long_runs():
     assert lengths.tolist() == [100, 1, 360] and first.tolist() == [0, 2, 2, 3]
 
 
+def test_language_vocabulary_is_whole():
+    """Long pieces count: each eligible piece is in the vocabulary, and a word of one such piece has its probability."""
+    pieces = language_id.vocabulary()
+    long = [b"\x01" + w.encode() for w in ("international", "которых", "деревня")]
+    assert set(long) <= set(pieces) and sum(len(x) > 12 for x in pieces) == 304 and len(pieces) == 256 + 22213
+    p = np.full((len(pieces) + 1, 1), 1e-7)
+    p[[pieces.index(x) for x in long]], p[-1] = 0.1, 0
+    words = sorted((x[1:] for x in long), key=len, reverse=True)
+    raw, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    got = language_id.Words(raw, np.cumsum(size) - size, size, language_id._trie(language_id._pack(pieces))).likelihood(p)
+    assert np.allclose(got, np.log(0.1), atol=1e-3)
+
+
 def test_language_id(spark):
     import zlib
 
