@@ -11,7 +11,7 @@ document and whole texts, in Arrow batches cut by bytes.
 
 Defined cases: a null or empty text has all features zero and gets the score of that point; rows
 with a null key or label are never learned from, and those with a null key count as not held
-out; several labels of a document are as many training rows; with no labels or only one kind
+out; several labels of a document are as many training rows, repeats of a document are one; with no labels or only one kind
 the score is the smoothed share of label 1; repeated rows have equal results; other columns are ignored.
 """
 
@@ -120,7 +120,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     ship(spark)
     own = labels.select(F.col(key).alias("_k"), F.col(label).cast("double").alias("y")).where("_k is not null and y is not null")
     sample = own.orderBy(F.xxhash64(F.col("_k").cast("string"), F.lit(3)), "_k", "y").limit(rows)  # a top-k: each task sends that many rows at most
-    given = docs.select(F.col(key).alias("_d"), F.col(text).alias("t")).join(F.broadcast(sample), F.col("_d") == F.col("_k")).select("t", "y")
+    own = docs.select(F.col(key).alias("_d"), F.col(text).alias("t")).join(F.broadcast(sample.select("_k").distinct()), F.col("_d") == F.col("_k"), "left_semi").distinct()
+    place = F.xxhash64(F.col("_d").cast("string"), "t")
+    given = own.join(F.broadcast(sample), F.col("_d") == F.col("_k")).select("t", "y", place.alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scan.pieces_of(batches, "t"):
@@ -128,10 +130,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             cuts = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32)))
             values = pa.ListArray.from_arrays(pa.array(cuts), pa.array(value.astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([b.column("y"), lists, values, pa.array(list(stats), pa.list_(pa.float64()))], ["y", "b", "v", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("h"), lists, values, pa.array(list(stats), pa.list_(pa.float64()))], ["y", "h", "b", "v", "s"])
 
-    # a document may be repeated: the limit bounds what the driver takes
-    got = given.mapInArrow(run, "y double, b array<int>, v array<float>, s array<double>").orderBy("y", F.xxhash64("b", "v")).limit(rows).toArrow()
+    # a key may have several texts: the limit bounds what the driver takes, in an order that does not favour a label
+    got = given.mapInArrow(run, "y double, h long, b array<int>, v array<float>, s array<double>").orderBy("h", F.xxhash64("h", "y")).limit(rows).toArrow()
     x = np.zeros((got.num_rows, DIMS), np.float32)
     for i, (b, v) in enumerate(zip(got["b"], got["v"], strict=True)):
         x[i, np.asarray(b.values)] = np.asarray(v.values)

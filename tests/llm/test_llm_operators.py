@@ -452,3 +452,17 @@ def test_quality_classifier(spark):
         assert np.isclose(model.raw(2, row, bucket, value, stats)[t], model.w0 + x[t] @ model.w + pairs)
     alone = quality_classifier.train(df, lb.where("quality = 1"))
     assert 0.5 < quality_classifier.scored(df, alone).first()["score"] <= 1
+
+
+def test_quality_training_rows_of_repeated_documents(spark, monkeypatch):
+    """Repeats of documents and many texts of one key do not change the share of labels that is learned from."""
+    docs = spark.createDataFrame([(d, f"text {d}") for d in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d % 7 > 0)) for d in range(100)], "doc_id long, quality int")
+    seen, fit = [], quality_classifier.Machine.fit
+    monkeypatch.setattr(quality_classifier.Machine, "fit", lambda self, x, stats, y: (seen.append(y), fit(self, x, stats, y))[1])
+    once = quality_classifier.train(docs, labels, rows=100)
+    twice = quality_classifier.train(docs.unionByName(docs), labels, rows=100)
+    assert [(len(y), int(y.sum())) for y in seen] == [(100, 85), (100, 85)] and np.allclose(once.w, twice.w)
+    many = spark.range(300).selectExpr("0L as doc_id", "concat('other ', id) as text")
+    quality_classifier.train(docs.unionByName(many), labels, rows=100)
+    assert len(seen[-1]) == 100 and 0 < seen[-1].sum() < 100
