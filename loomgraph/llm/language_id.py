@@ -274,6 +274,16 @@ def train(docs: DataFrame, pieces: list[bytes], text: str = "text", lang: str =
     return langs, p
 
 
+def has_letter(column: pa.Array) -> np.ndarray:
+    """Whether each text has a letter."""
+    buf, offsets = scan.texts_of(pc.utf8_lower(column.cast(pa.large_string())))
+    ascii_letter, beyond = (np.concatenate([[0], np.cumsum(inside)]) for inside in ((buf >= 97) & (buf <= 122), buf >= 128))
+    has = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
+    for t in np.flatnonzero(~has & (beyond[offsets[1:]] > beyond[offsets[:-1]])):  # only characters beyond ASCII: are any of them letters?
+        has[t] = any(c.isalpha() for c in column[int(t)].as_py())
+    return has
+
+
 def scores(column: pa.Array, trie: tuple[np.ndarray, ...], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best language of each text (-1: no letter) and its posterior under equal priors."""
     buf, starts, lengths, first = _runs(column)
@@ -285,11 +295,7 @@ def scores(column: pa.Array, trie: tuple[np.ndarray, ...], p: np.ndarray) -> tup
     own = Words(buf, starts[one], lengths[one], trie).likelihood(p)
     text = np.repeat(np.arange(n), np.diff(first))
     total = np.stack([np.bincount(text, own[of, k], n) for k in range(p.shape[1])], 1)
-    ascii_letter = np.concatenate([[0], np.cumsum((buf >= 97) & (buf <= 122))])
-    offsets = scan.texts_of(pc.utf8_lower(column.cast(pa.large_string())))[1]
-    has = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
-    for t in np.flatnonzero(~has & (np.diff(first) > 0)):  # only characters beyond ASCII: are any of them letters?
-        has[t] = any(c.isalpha() for c in column[int(t)].as_py())
+    has = has_letter(column)
     top = total.max(1, keepdims=True)
     best[has] = total.argmax(1)[has]
     score[has] = (1 / np.exp(total - top).sum(1))[has]
@@ -314,9 +320,17 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: list[b
 
 
 def accepted(docs: DataFrame, pieces: list[bytes] | None = None) -> DataFrame:
-    """The documents that have a language; same columns.  Only those without any letter are rejected."""
+    """The documents that have a language; same columns.  Only those without any letter are rejected, also if there is
+    nothing to learn languages from."""
     pieces = vocabulary() if pieces is None else pieces
     model = train(docs, pieces)
+    if not model[0]:
+
+        def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in scan.pieces_of(batches, "text", PIECE_BYTES):
+                yield b.filter(pa.array(has_letter(b.column("text"))))
+
+        return docs.mapInArrow(lettered, docs.schema)
     names = {c: f"_{i}_{c}" for i, c in enumerate(docs.columns) if c in ("lang_pred", "score")}
     out = predict(docs.withColumnsRenamed(names), model, pieces).where("lang_pred <> 'und'").drop("lang_pred", "score")
     return out.withColumnsRenamed({v: k for k, v in names.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])

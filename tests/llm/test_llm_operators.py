@@ -357,6 +357,12 @@ def test_language_id(spark):
     assert language_id.predict(df, language_id.train(df.limit(0), pieces), pieces).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_accepted_without_labels(spark):
+    """With nothing to learn from, documents with a letter stay."""
+    df = spark.createDataFrame([(1, "the fox", None), (2, "12 !? 34", None), (3, "日本", None), (4, "— … 。", None), (5, None, None), (6, "", None)], "doc_id long, text string, lang string")
+    assert sorted((r["doc_id"], r["text"]) for r in language_id.accepted(df).collect()) == [(1, "the fox"), (3, "日本")]
+
+
 def test_sentencepiece(spark, docs, rows):
     a = sentencepiece_codec.agenda(sentencepiece_codec.model_bytes())
     rng, al = random.Random(1), "ab \n▁é日😀the\t\x00"
