@@ -1,12 +1,13 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and length.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum v_if x_i)^2 - sum v_if^2 x_i^2]): the pairwise part
 in linear time by the sum-of-squares identity.  Features: counts of words hashed to DIMS
 buckets, scaled to unit length, and STATS (symbol, capital, digit and repetition shares, word
-and text lengths), standardised.  Labels, language, source and keys are never inputs.
+and text lengths) and metadata columns (METADATA, as far as ``docs`` has them; signed logarithms),
+standardised; missing metadata count as the mean.  Labels, language, source and keys are never inputs.
 
 The model is fitted on the driver from at most ``TRAIN_ROWS`` labelled rows, chosen by a hash of
-the key, so the matrix is bounded (TRAIN_ROWS x (DIMS + STATS) floats); scoring covers every
+the key, so the matrix is bounded (TRAIN_ROWS x (DIMS + STATS + METADATA) floats); scoring covers every
 document and whole texts, in Arrow batches cut by bytes.
 
 Defined cases: a null or empty text has all features zero and gets the score of that point; rows
@@ -17,10 +18,11 @@ the score is the smoothed share of label 1; repeated rows have equal results; ot
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -37,6 +39,7 @@ RATE = 0.02
 DECAY = 1e-3
 CUT = 0.3
 STATS = ("symbols", "capitals", "digits", "spaces", "lines", "word_bytes", "repeats", "log_words", "non_ascii", "any")
+METADATA = ("n_chars",)
 _CLASSES = {"symbols": b"#*$%&|<>!{}[]~^=", "capitals": bytes(range(65, 91)), "digits": b"0123456789", "spaces": b" \t\r\v\f", "lines": b"\n", "non_ascii": bytes(range(128, 256))}
 
 
@@ -63,16 +66,30 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return row, bucket, value / norm[row], stats * (count > 0)[:, None]
 
 
+def with_metadata(stats: np.ndarray, columns: Sequence[pa.Array]) -> np.ndarray:
+    """The statistics, then the signed logarithm of each metadata column, NaN where it is missing or not finite."""
+    out = [stats]
+    for c in columns:
+        x = np.asarray(pc.fill_null(c.cast(pa.float64()), np.nan), float)
+        out.append(np.where(np.isfinite(x), np.sign(x) * np.log1p(np.abs(x)), np.nan)[:, None])
+    return np.hstack(out)
+
+
 class Machine:
-    """w0, w, v over DIMS + STATS features; mean and scale of the statistics."""
+    """w0, w, v over DIMS + STATS + metadata features; mean and scale of all but the words."""
 
-    def __init__(self, rank: int = RANK) -> None:
-        d = DIMS + len(STATS)
+    def __init__(self, rank: int = RANK, meta: Sequence[str] = ()) -> None:
+        self.meta, n = tuple(meta), len(STATS) + len(meta)
+        d = DIMS + n
         self.w0, self.w, self.v = 0.0, np.zeros(d), np.random.default_rng(7).normal(0, 0.01, (d, rank))
-        self.mean, self.scale = np.zeros(len(STATS)), np.ones(len(STATS))
+        self.mean, self.scale = np.zeros(n), np.ones(n)
+
+    def standard(self, stats: np.ndarray) -> np.ndarray:
+        s = (stats - self.mean) / self.scale
+        return np.clip(np.where(np.isnan(s), 0, s), -8, 8)
 
     def raw(self, n: int, row: np.ndarray, bucket: np.ndarray, value: np.ndarray, stats: np.ndarray) -> np.ndarray:
-        s = np.clip((stats - self.mean) / self.scale, -8, 8)
+        s = self.standard(stats)
         out = self.w0 + np.bincount(row, self.w[bucket] * value, n) + s @ self.w[DIMS:]
         for f in range(self.v.shape[1]):
             x = self.v[bucket, f] * value
@@ -86,8 +103,10 @@ class Machine:
             self.w0 = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
             self.v[:] = 0
             return self
-        self.mean, self.scale = stats.mean(0), stats.std(0) + 1e-6
-        x = np.hstack([x, np.clip((stats - self.mean) / self.scale, -8, 8).astype(np.float32)])
+        there = ~np.isnan(stats)
+        self.mean = np.where(there, stats, 0).sum(0) / np.maximum(there.sum(0), 1)
+        self.scale = np.sqrt((np.where(there, stats - self.mean, 0) ** 2).sum(0) / np.maximum(there.sum(0), 1)) + 1e-6
+        x = np.hstack([x, self.standard(stats).astype(np.float32)])
         w0, w, v = np.array([np.log(y.mean() / (1 - y.mean()))]), self.w.copy(), self.v.copy()
         state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w0, w, v)]
         rng, t = np.random.default_rng(11), 0
@@ -105,28 +124,31 @@ class Machine:
         return self
 
     def pack(self) -> tuple:
-        return self.w0, self.w, self.v, self.mean, self.scale
+        return self.w0, self.w, self.v, self.mean, self.scale, self.meta
 
     @classmethod
     def of(cls, packed: tuple) -> Machine:
         m = cls(1)
-        m.w0, m.w, m.v, m.mean, m.scale = packed
+        m.w0, m.w, m.v, m.mean, m.scale, m.meta = packed
         return m
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS) -> Machine:
-    """A machine fitted on at most ``rows`` labelled rows."""
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS, meta: Sequence[str] | None = None) -> Machine:
+    """A machine fitted on at most ``rows`` labelled rows; ``meta``: numeric columns of ``docs``, those of METADATA by default."""
+    meta = [c for c in METADATA if c in docs.columns] if meta is None else list(meta)
+    numbers = [f"m{i}" for i in range(len(meta))]
     spark = docs.sparkSession
     ship(spark)
     own = labels.select(F.col(key).alias("_k"), F.col(label).cast("double").alias("y")).where("_k is not null and y is not null")
     sample = own.orderBy(F.xxhash64(F.col("_k").cast("string"), F.lit(3)), "_k", "y").limit(rows)  # a top-k: each task sends that many rows at most
-    own = docs.select(F.col(key).alias("_d"), F.col(text).alias("t")).join(F.broadcast(sample.select("_k").distinct()), F.col("_d") == F.col("_k"), "left_semi").distinct()
-    place = F.xxhash64(F.col("_d").cast("string"), "t")
-    given = own.join(F.broadcast(sample), F.col("_d") == F.col("_k")).select("t", "y", place.alias("h"))
+    own = docs.select(F.col(key).alias("_d"), F.col(text).alias("t"), *[F.col(c).cast("double").alias(m) for c, m in zip(meta, numbers, strict=True)]).join(F.broadcast(sample.select("_k").distinct()), F.col("_d") == F.col("_k"), "left_semi").distinct()
+    place = F.xxhash64(F.col("_d").cast("string"), "t", *numbers)
+    given = own.join(F.broadcast(sample), F.col("_d") == F.col("_k")).select("t", "y", place.alias("h"), *numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scan.pieces_of(batches, "t"):
             row, bucket, value, stats = features(b.column("t"))
+            stats = with_metadata(stats, [b.column(m) for m in numbers])
             cuts = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32)))
             values = pa.ListArray.from_arrays(pa.array(cuts), pa.array(value.astype(np.float32)))
@@ -137,12 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     x = np.zeros((got.num_rows, DIMS), np.float32)
     for i, (b, v) in enumerate(zip(got["b"], got["v"], strict=True)):
         x[i, np.asarray(b.values)] = np.asarray(v.values)
-    stats = np.array(got["s"].to_pylist(), float).reshape(got.num_rows, len(STATS))
-    return Machine().fit(x, stats, np.asarray(got["y"], float))
+    stats = np.array(got["s"].to_pylist(), float).reshape(got.num_rows, len(STATS) + len(meta))
+    return Machine(meta=meta).fit(x, stats, np.asarray(got["y"], float))
 
 
 def scored(docs: DataFrame, model: Machine, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1."""
+    """``docs`` with the probability of label 1; they have the metadata columns that the model learned from."""
     ship(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast(model.pack())
     kept = docs.drop(into)
@@ -150,7 +172,8 @@ def scored(docs: DataFrame, model: Machine, text: str = "text", into: str = "sco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Machine.of(packed.value)
         for b in scan.pieces_of(batches, text):
-            raw = m.raw(b.num_rows, *features(b.column(text)))
+            row, bucket, value, stats = features(b.column(text))
+            raw = m.raw(b.num_rows, row, bucket, value, with_metadata(stats, [b.column(c) for c in m.meta]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))))], [*b.schema.names, into])
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(into, DoubleType())]))
@@ -161,7 +184,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *METADATA)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs.where(~held_out()), labels.where(~held_out()))
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))

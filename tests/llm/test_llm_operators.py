@@ -460,6 +460,19 @@ def test_quality_classifier(spark):
     assert 0.5 < quality_classifier.scored(df, alone).first()["score"] <= 1
 
 
+def test_quality_metadata(spark):
+    """Metadata alone can decide; a missing value counts as the mean; documents without such columns are scored by their text."""
+    rows = [(d, f"word {d % 5}", (10 if d % 2 else 5000) + d, float(d % 2)) for d in range(200)]
+    docs = spark.createDataFrame([*rows, (900, "word 1", None, None)], "doc_id long, text string, n_chars long, other double")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(200)], "doc_id long, quality int")
+    for meta in (None, ["other"], ["n_chars", "other"]):
+        model = quality_classifier.train(docs, labels, meta=meta)
+        got = {r["doc_id"]: r["score"] for r in quality_classifier.scored(docs, model).collect()}
+        assert model.meta == tuple(meta or ["n_chars"]) and all((got[d] > 0.5) == (d % 2 == 1) for d in range(200)) and 0 < got[900] < 1
+    plain = quality_classifier.train(docs.drop("n_chars"), labels)
+    assert plain.meta == () and len(plain.mean) == len(quality_classifier.STATS)
+
+
 def test_quality_training_rows_of_repeated_documents(spark, monkeypatch):
     """Repeats of documents and many texts of one key do not change the share of labels that is learned from."""
     docs = spark.createDataFrame([(d, f"text {d}") for d in range(100)], "doc_id long, text string")
