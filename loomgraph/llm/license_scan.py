@@ -7,11 +7,16 @@ base phrase stands where one diagonal holds all its grams.  For the longer templ
 at most ``SLACK`` apart are merged (inserted or lost words shift the diagonal), and a merged
 span is verified if the template grams it covers make up ``COVER`` of the template.
 
-Only DataFrame functions.  Hits alone are shuffled; documents without any are never moved but
-for one small row each.  A row is identified by (doc_id, md5 of text), so repeated rows, also
-of one doc_id with other texts, get their own results.  A null text counts as empty: no words,
-no labels, score 0.  Null keys pass through; an empty table gives an empty result; other
-columns are ignored.
+Only DataFrame functions.  One pass over the texts counts words and keeps, within the row, the
+grams whose hash is among the templates' (a fixed set); this small table is written to the
+shared folder, and only documents that have such grams take part in the join.
+
+A row is identified by (doc_id, md5 of text), so repeated rows, also of one doc_id with other
+texts, get their own results.  A null or empty text has no words, no labels and score 0.  Null
+keys pass through; an empty table gives an empty result; other columns are ignored, whatever
+their names.  Very long texts, and very long runs of one kind of character in them, take time
+and memory in proportion to their length.  Ties: equal grams of several templates vote for each
+of them; a gram that stands at several places of a template votes for each place.
 """
 
 from __future__ import annotations
@@ -20,10 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .folders import checkpointed
+
 K = 3
 SLACK = 3
 COVER = 0.6
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The characters of GAP, but for the capitals, which are lower-cased before.
+GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 #: The base phrases.
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 #: Further notices in common use, by label; some with a gram that must be there (it names the version).
@@ -44,6 +53,37 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
+        "to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+        "noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of "
+        "or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the "
+        "above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+        "disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied "
+        "warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be "
+        "liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or "
+        "business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this "
+        "software even if advised of the possibility of such damage",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear "
+        "in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event "
+        "shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+        "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted "
+        "to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    ),
 ]
 
 
@@ -58,24 +98,28 @@ def template_grams(spark: SparkSession) -> DataFrame:
 
 def license_words(text: str) -> Column:
     """Lower-cased words (A-Z only: the two characters that lower() would turn into ASCII are masked first)."""
-    t = F.lower(F.replace(F.replace(text, F.lit("K"), F.lit("é")), F.lit("İ"), F.lit("é")))
-    t = F.regexp_replace(t, rf"^{GAP}|{GAP}\z", "")
+    t = F.lower(F.replace(F.replace(text, F.lit("K"), F.lit("é")), F.lit("İ"), F.lit("é")))
+    t = F.btrim(t, F.lit(GAPS))  # looks at each end once, however long a run of other characters stands elsewhere
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, GAP))
 
 
-def _keyed(df: DataFrame, text: str, key: str) -> DataFrame:
-    t = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.col(key).alias("_id"), t.alias("_t")).withColumn("_key", F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("-")), F.md5("_t")))
+def gram_hits(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(_id, _key, n_words, grams): one row per row of ``df``; grams: (pos, h, gram) of those that a template has."""
+    known = [r["h"] for r in template_grams(df.sparkSession).select("h").distinct().collect()]  # of the fixed templates
+    own = df.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_w", license_words("_t"))
+    rolled = F.transform("_w", lambda w, i: F.struct(i.alias("pos"), F.xxhash64(w, *[F.get("_w", i + k) for k in range(1, K)]).alias("h")))
+    some = F.filter(rolled, lambda x: x["h"].isin(known))
+    grams = F.transform(some, lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"), F.array_join(F.slice("_w", x["pos"] + 1, K), " ").alias("gram")))
+    own = own.withColumn("grams", grams)
+    name = F.when(F.size("grams") > 0, F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("-")), F.md5("_t")))
+    return checkpointed(own.select("_id", name.alias("_key"), F.size("_w").cast("long").alias("n_words"), "grams"))
 
 
-def spans(df: DataFrame, text: str = "text", key: str = "doc_id", cover: float = COVER) -> DataFrame:
-    """Verified spans: (_key, label, base, start, end in words, score), of the documents that have any."""
-    grams = template_grams(df.sparkSession)
-    docs = _keyed(df, text, key).select("_key", license_words("_t").alias("_w"))
-    rolled = F.transform("_w", lambda w, i: F.xxhash64(w, *[F.get("_w", i + k) for k in range(1, K)]))
-    each = docs.select("_key", "_w", F.posexplode(rolled).alias("pos", "h"))
-    same = (each["h"] == grams["h"]) & (F.array_join(F.slice(each["_w"], each["pos"] + 1, K), " ") == grams["gram"])
-    hits = each.join(F.broadcast(grams), same).select("_key", "t", "label", "base", "n_grams", "pos", "tpos", (F.col("gram") == F.col("must")).alias("must"))
+def spans(found: DataFrame, cover: float = COVER) -> DataFrame:
+    """Verified spans: (_key, label, base, start, end in words, score), of the rows of ``gram_hits`` that have any."""
+    grams = template_grams(found.sparkSession).withColumnsRenamed({"h": "_h", "gram": "_gram"})
+    each = found.where("_key is not null").select("_key", F.explode("grams").alias("x")).select("_key", "x.*")
+    hits = each.join(F.broadcast(grams), (F.col("h") == F.col("_h")) & (F.col("gram") == F.col("_gram"))).select("_key", "t", "label", "base", "n_grams", "pos", "tpos", (F.col("gram") == F.col("must")).alias("must"))
     votes = hits.groupBy("_key", "t", "label", "base", "n_grams", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("covered"), F.bool_or("must").alias("must"))
     by = W.partitionBy("_key", "t").orderBy("diagonal")
     near = F.when(F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > SLACK, F.lit(True)), 1).otherwise(0)
@@ -90,7 +134,8 @@ def spans(df: DataFrame, text: str = "text", key: str = "doc_id", cover: float =
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: key, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     base = F.col("base")
-    found = spans(df, text, key).groupBy("_key").agg(
+    docs = gram_hits(df, text, key)
+    found = spans(docs).groupBy("_key").agg(
         F.count_if(base).alias("n_base"),
         F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
@@ -98,10 +143,10 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("score").alias("score"),
     )
-    docs = _keyed(df, text, key).select("_key", "_id", F.size(license_words("_t")).cast("long").alias("n_words"))
-    none = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
-    out = docs.join(found, "_key", "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
-    return out.select(F.col("_id").alias(key), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    none = {"n_base": F.lit(0).cast("long"), "first_word": F.lit(None).cast("long"), "last_word": F.lit(None).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
+    hit = docs.where("_key is not null").select("_key", "_id", "n_words").join(found, "_key", "left").select("_id", "n_words", *[F.coalesce(c, v).alias(c) for c, v in none.items()])
+    rest = docs.where("_key is null").select("_id", "n_words", *[v.alias(c) for c, v in none.items()])
+    return hit.unionByName(rest).withColumnRenamed("_id", key)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
