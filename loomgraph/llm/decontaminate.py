@@ -2,16 +2,23 @@
 
 A window is ``N`` consecutive words of an item (a shorter item is one window).  Documents are
 scanned in Arrow batches: the hashes of all their windows come from running sums, a bit table
-drops nearly all of them, the rest are looked up and every hit is verified word by word.
+drops nearly all of them, the rest are looked up and every hit is verified byte by byte, all of
+a batch together.
 
-The benchmark is broadcast only up to ``MOST_BYTES`` of text.  A larger one is split into blocks
-of items by hash; each block is broadcast and scanned in its own pass and the hits of the passes
-are merged by document, so no set without a proven bound is ever broadcast.
+The benchmark is first normalised on the executors, and long items are cut into parts of at most
+``PART_WORDS`` words that overlap by ``N - 1`` words, so that they have the same windows.  Parts are
+dealt into blocks of at most about ``MOST_BYTES`` of words.  The driver and every worker hold one
+block's index at a time: it consists of flat arrays, 7 bytes a byte of words (measured: 70 MB for 10 MB of words, built in 6 s within 0.5 GB; 8 MB are the default
+limit).  Usually there is one block.  With several, each is collected, broadcast and scanned
+in its own pass, the pass's hits are written to the shared folder and the index is dropped before the next
+block; the hits of the passes are merged by document, or by text in ``remove``.
 
 Defined cases: a null or empty text has no words and is never contaminated; an item without
 words has no window; an item_id that is null counts as the empty id; repeated items count once;
 repeated documents each get their own, equal row; null doc_ids pass through; an empty benchmark
-leaves every document clean; other columns are ignored, or kept by ``remove``.
+leaves every document clean; windows that several items share count for each of them, whatever their
+order.  Very long texts are scanned whole, in time in proportion to their words and hits.  Other columns are ignored by
+``find``, and kept by ``remove`` whatever their names.
 """
 
 from __future__ import annotations
@@ -22,35 +29,49 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan
+from .folders import checkpointed
+from .native_spans import fresh
 from ..shipping import ship
 
 N = 13
-MOST_BYTES = 64 << 20
-BITS = 22
+PART_WORDS = 1 << 15
+MOST_BYTES = 8 << 20
+#: The bit table has 2 ** BITS places for the most, 16 for each window at least.
+BITS = 24
+#: Hits verified at once.
+VERIFIED = 1 << 14
 
 
 @dataclass
-class Index:
-    """Windows of a block of items: by length, sorted hashes; then per hash its words and its items."""
+class Windows:
+    """The distinct windows of one length: sorted hashes, the first word of each, and its items (from, to)."""
 
-    lengths: list[int]
-    hashes: dict[int, np.ndarray]
-    filters: dict[int, np.ndarray]
-    windows: dict[int, list[tuple[bytes, list[int]]]]
-    items: list[str]
+    hashes: np.ndarray
+    shift: np.uint64
+    bits: np.ndarray
+    word: np.ndarray
+    first_item: np.ndarray
+    items: np.ndarray
 
 
-def word_lists(texts: list[str | None]) -> list[list[bytes]]:
-    """The normalised words of each text, as bytes."""
-    buf, offsets = scan.texts_of(pa.array(texts, pa.large_string()))
-    buf = scan.LOWER[buf]
-    starts, ends = scan.spans(buf, offsets, scan.ALNUM)
-    raw, first = buf.tobytes(), np.searchsorted(starts, offsets)
-    return [[raw[s:e] for s, e in zip(starts[a:b], ends[a:b], strict=True)] for a, b in zip(first[:-1], first[1:], strict=True)]
+@dataclass
+class Index:
+    """A block of items: their words' bytes, each word's start and end, and the windows by length."""
+
+    raw: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    windows: dict[int, Windows]
+    names: list[str]
+
+    @property
+    def nbytes(self) -> int:
+        parts = [self.raw, self.starts, self.ends, *(x for w in self.windows.values() for x in (w.hashes, w.bits, w.word, w.first_item, w.items))]
+        return sum(x.nbytes for x in parts) + sum(len(x) + 50 for x in self.names)
 
 
 def window_hashes(word_hashes: np.ndarray, n: int, sums: np.ndarray | None = None) -> np.ndarray:
@@ -67,61 +88,123 @@ def word_sums(word_hashes: np.ndarray) -> np.ndarray:
     return sums
 
 
+def equal_words(a: tuple[np.ndarray, np.ndarray, np.ndarray], p: np.ndarray, b: tuple[np.ndarray, np.ndarray, np.ndarray], q: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n words from p[i] on of ``a`` (bytes, starts, ends) are those from q[i] on of ``b``."""
+    ok = np.ones(len(p), bool)
+    for at in range(0, len(p), VERIFIED):
+        own = np.arange(at, min(at + VERIFIED, len(p)))
+        for j in range(n):  # the hits that are left lose those that differ in this word
+            x, y = p[own] + j, q[own] + j
+            size = a[2][x] - a[1][x]
+            same = size == b[2][y] - b[1][y]
+            own, size, x, y = own[same], size[same], a[1][x[same]], b[1][y[same]]
+            if not len(own):
+                break
+            differ = a[0][scan.ranges(x, size)] != b[0][scan.ranges(y, size)]
+            ok_here = np.add.reduceat(differ, np.cumsum(size) - size) == 0  # words have a byte at least
+            own = own[ok_here]
+        good = np.zeros(min(at + VERIFIED, len(p)) - at, bool)
+        good[own - at] = True
+        ok[at : at + VERIFIED] = good
+    return ok
+
+
 def build(items: list[tuple[str | None, str | None]], n: int = N) -> Index:
     """The index of (item id as a string, text) rows."""
-    by: dict[int, dict[bytes, set[int]]] = {}
-    ids = sorted({i or "" for i, _ in items})
-    place = {x: k for k, x in enumerate(ids)}
-    for (item, _), words in zip(items, word_lists([t for _, t in items]), strict=True):
-        size = min(n, len(words))
-        for p in range(len(words) - size + 1 if size else 0):
-            by.setdefault(size, {}).setdefault(b" ".join(words[p : p + size]), set()).add(place[item or ""])
-    index = Index(sorted(by), {}, {}, {}, ids)
-    for size, grams in by.items():
-        keys = list(grams)
-        buf = np.frombuffer(b" ".join(keys), np.uint8)
-        starts, ends = scan.spans(buf, np.array([0, len(buf)]), scan.ALNUM)
-        h = window_hashes(scan.substring(scan.prefix_sums(buf), starts, ends), size)[::size]
-        order = np.argsort(h, kind="stable")
-        index.hashes[size] = h[order]
-        index.windows[size] = [(keys[i], sorted(grams[keys[i]])) for i in order]
-        index.filters[size] = np.zeros(1 << BITS, bool)
-        index.filters[size][h >> np.uint64(64 - BITS)] = True
+    buf, offsets = scan.texts_of(pa.array([t for _, t in items], pa.large_string()))
+    buf = scan.LOWER[buf]
+    starts, ends, h, first = scan.words(buf, offsets, scan.ALNUM)
+    names = sorted({i or "" for i, _ in items})
+    place = {x: k for k, x in enumerate(names)}
+    item = np.array([place[i or ""] for i, _ in items], np.int64)
+    size, sums, index = np.diff(first), word_sums(h), Index(buf, starts, ends, {}, names)
+    for k in sorted({int(x) for x in np.unique(np.minimum(size, n)) if x}):
+        rows = np.flatnonzero(size >= n if k == n else size == k)
+        per = size[rows] - k + 1
+        word, owner = scan.ranges(first[rows], per), np.repeat(item[rows], per)
+        value = window_hashes(h, k, sums)[word]
+        order = np.lexsort((owner, value))
+        word, owner, value = word[order], owner[order], value[order]
+        new = np.r_[True, value[1:] != value[:-1]]
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        own = (buf, starts, ends)
+        odd = ~equal_words(own, word, own, word[lead], k)  # other words of an equal hash: windows of their own
+        again = ~new & ~odd & np.r_[False, owner[1:] == owner[:-1]]
+        if odd.any():
+            order = np.lexsort((np.where(odd, np.arange(len(odd)) + 1, 0), value))
+            word, owner, value, odd, again = word[order], owner[order], value[order], odd[order], again[order]
+            new = np.r_[True, (value[1:] != value[:-1])] | odd
+        keep = ~again | new
+        word, owner, value, new = word[keep], owner[keep], value[keep], new[keep]
+        at = np.flatnonzero(new)
+        bits = int(min(BITS, max(10, np.ceil(np.log2(16 * len(at))))))
+        table = np.zeros(1 << bits, bool)
+        shift = np.uint64(64 - bits)
+        table[value[at] >> shift] = True
+        index.windows[k] = Windows(value[at], shift, np.packbits(table), word[at], np.append(at, len(owner)), owner)
     return index
 
 
-def hits(index: Index, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, set[int]]]:
-    """Word starts and ends, the first word of each text, a flag per word, and the items by text."""
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0
+
+
+def hits(index: Index, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Word starts and ends, the first word of each text, a flag per word, and the distinct pairs (text, item) by text."""
     starts, ends, h, first = scan.words(buf, offsets, scan.ALNUM)
-    change, items, raw = np.zeros(len(h) + 1, np.int64), {}, None
-    sums = word_sums(h)
-    for size in index.lengths:
-        w = window_hashes(h, size, sums)
-        at = np.flatnonzero(index.filters[size][w >> np.uint64(64 - BITS)])
-        if not len(at):
-            continue
-        known, i = index.hashes[size], np.searchsorted(index.hashes[size], w[at])
-        ok = known[np.minimum(i, len(known) - 1)] == w[at]
+    change, pairs = np.zeros(len(h) + 1, np.int64), [np.zeros(0, np.int64)]
+    sums, n_names = word_sums(h), max(len(index.names), 1)
+    for size, w in index.windows.items():
+        own = window_hashes(h, size, sums)
+        at = np.flatnonzero(_set(w.bits, own >> w.shift))
+        lo, hi = np.searchsorted(w.hashes, own[at], "left"), np.searchsorted(w.hashes, own[at], "right")
+        at, which = np.repeat(at, hi - lo), scan.ranges(lo, hi - lo)
         text = np.searchsorted(first, at, "right") - 1
-        ok &= at + size <= first[text + 1]
-        raw = buf.tobytes() if raw is None else raw
-        for p, k, t in zip(at[ok].tolist(), i[ok].tolist(), text[ok].tolist(), strict=True):
-            words = b" ".join(raw[s:e] for s, e in zip(starts[p : p + size].tolist(), ends[p : p + size].tolist(), strict=True))
-            while k < len(known) and known[k] == w[p]:  # all windows of this hash, of which one at most has these words
-                if index.windows[size][k][0] == words:
-                    change[p] += 1
-                    change[p + size] -= 1
-                    items.setdefault(t, set()).update(index.windows[size][k][1])
-                k += 1
-    return starts, ends, first, np.cumsum(change[:-1]) > 0, items
-
-
-def blocks(benchmark: DataFrame, item: str, text: str, most: int) -> list[list[tuple[str | None, str | None]]]:
-    """The items in blocks of about ``most`` bytes of text; one pass over the documents for each."""
-    b = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
-    size = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-size // most) or 1
-    return [[(r["i"], r["t"]) for r in (b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else b).toLocalIterator()] for k in range(n)]
+        ok = at + size <= first[text + 1]
+        at, which, text = at[ok], which[ok], text[ok]
+        ok = equal_words((buf, starts, ends), at, (index.raw, index.starts, index.ends), w.word[which], size)
+        at, which, text = at[ok], which[ok], text[ok]
+        np.add.at(change, at, 1)
+        np.add.at(change, at + size, -1)
+        once = np.unique(text * len(w.hashes) + which)
+        text, which = once // len(w.hashes), once % len(w.hashes)
+        count = w.first_item[which + 1] - w.first_item[which]
+        pairs.append(np.unique(np.repeat(text, count) * n_names + w.items[scan.ranges(w.first_item[which], count)]))
+    found = np.unique(np.concatenate(pairs))
+    return starts, ends, first, np.cumsum(change[:-1]) > 0, (found // n_names, found % n_names)
+
+
+def parts(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """(i, t, n): the distinct parts of the items, as words joined by blanks, and their bytes."""
+    ship(benchmark.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in scan.pieces_of(batches, "t"):
+            buf, offsets = scan.texts_of(b.column("t"))
+            buf = scan.LOWER[buf]
+            starts, ends = scan.spans(buf, offsets, scan.ALNUM)
+            raw, first, names = buf.tobytes(), np.searchsorted(starts, offsets).tolist(), b.column("i").to_pylist()
+            for name, lo, hi in zip(names, first[:-1], first[1:], strict=True):
+                for at in range(lo, max(hi - N + 1, lo + 1) if hi > lo else lo, PART_WORDS):
+                    to = min(at + PART_WORDS + N - 1, hi)
+                    words = b" ".join(raw[s:e] for s, e in zip(starts[at:to].tolist(), ends[at:to].tolist(), strict=True)).decode()
+                    yield pa.RecordBatch.from_pydict({"i": pa.array([name], pa.string()), "t": pa.array([words], pa.string()), "n": pa.array([len(words)], pa.int64())})
+
+    return benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).mapInArrow(run, "i string, t string, n long").distinct()
+
+
+def blocks(benchmark: DataFrame, item: str, text: str, most: int) -> tuple[int, Callable[[int], list[tuple[str | None, str | None]]]]:
+    """The number of blocks, and a function that collects the items of one of them."""
+    own = checkpointed(parts(benchmark, item, text))
+    total = own.agg(F.sum("n")).first()[0] or 0
+    n = -(-total // most) or 1
+    block = lambda k: F.pmod(F.xxhash64("i", "t"), F.lit(k))
+    while n > 1:  # a block that came out too large by chance
+        largest = own.groupBy(block(n).alias("b")).agg(F.sum("n").alias("s"), F.count("*").alias("k")).agg(F.max(F.when(F.col("k") > 1, F.col("s")))).first()[0]
+        if (largest or 0) <= 2 * most:
+            break
+        n *= 2
+    return n, lambda k: [(r["i"], r["t"]) for r in (own.where(block(n) == k) if n > 1 else own).select("i", "t").collect()]
 
 
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -131,10 +214,6 @@ def _digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _rule(n_hit: int, n_words: int) -> bool:
-    return n_hit > 0 and 20 * n_hit >= n_words
-
-
 def hit_runs(flag: np.ndarray, first: np.ndarray) -> list[list[int]]:
     """Start and end, in words, of each run of hit words of each text."""
     total = np.concatenate([[0], np.cumsum(flag)])
@@ -146,103 +225,160 @@ def hit_runs(flag: np.ndarray, first: np.ndarray) -> list[list[int]]:
     return runs
 
 
-def _one_pass(index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
-    """Per row: its other columns, the counts, the runs of hit words and the items."""
+def _counted(flag: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(flag)])
+    return total[first[1:]] - total[first[:-1]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in scan.pieces_of(batches, "_text"):
-            original, offsets = scan.texts_of(b.column("_text"))
-            _, _, first, flag, items = hits(index.value, scan.LOWER[original], offsets)
-            total = np.concatenate([[0], np.cumsum(flag)])
-            names = index.value.items
-            found = [[names[i] for i in items.get(t, ())] for t in range(len(first) - 1)]
-            own = {c: b.column(c) for c in b.schema.names if c != "_text"}
-            yield pa.RecordBatch.from_pydict(
-                own | {"n_words": pa.array(np.diff(first)), "n_hit": pa.array(total[first[1:]] - total[first[:-1]]), "runs": pa.array(hit_runs(flag, first), pa.list_(pa.int64())), "items": pa.array(found, pa.list_(pa.string()))}
-            )
 
-    return run
+def _contaminated(n_hit: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def _passes(own: DataFrame, n: int, block: Callable[[int], list], schema: str, run: Callable) -> DataFrame:
+    """The rows that ``run`` makes of ``own`` (rows with a text _text) under each block's index, written pass by pass."""
+    spark, out = own.sparkSession, None
+    for k in range(n):
+        index = spark.sparkContext.broadcast(build(block(k)))
+        part = checkpointed(own.mapInArrow(run(index), schema))
+        index.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _hits_only(rest: str) -> Callable:
+    """Rows with hits: the column ``rest``, n_words, the runs of hit words and the items."""
+
+    def of(index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in scan.pieces_of(batches, "_text"):
+                buf, offsets = scan.texts_of(b.column("_text"))
+                _, _, first, flag, (text, item) = hits(index.value, scan.LOWER[buf], offsets)
+                cut, names, runs = np.searchsorted(text, np.arange(len(first))), index.value.names, hit_runs(flag, first)
+                items = [[names[i] for i in item[s:e]] for s, e in zip(cut[:-1], cut[1:], strict=True)]
+                out = {rest: b.column(rest), "n_words": pa.array(np.diff(first)), "runs": pa.array(runs, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_pydict(out).filter(pa.array(_counted(flag, first) > 0))
+
+        return run
+
+    return of
+
+
+def _merged_hits(runs: str) -> Column:
+    """The number of words in the union of runs (start, end, start, end, ...)."""
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(runs) - 2, F.lit(2)), lambda i: F.struct(F.get(runs, i).alias("s"), F.get(runs, i + 1).alias("e"))))
+    zero = F.lit(0).cast("long")
+    step = lambda a, x: F.struct(F.greatest(a["to"], x["e"]).alias("to"), (a["n"] + F.greatest(zero, x["e"] - F.greatest(a["to"], x["s"]))).alias("n"))
+    return F.aggregate(pairs, F.struct(zero.alias("to"), zero.alias("n")), step, lambda a: a["n"])
+
+
+def _union_by(found: DataFrame, *by: str) -> DataFrame:
+    """(by, n_words, runs, items, n_hit): the hits of all passes, equal rows once."""
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    out = found.groupBy(*by).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("runs")).alias("runs"), items.alias("items"))
+    return out.withColumn("n_hit", _merged_hits("runs"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", most: int = MOST_BYTES) -> DataFrame:
     """One row per document: its key and SCHEMA."""
     spark = docs.sparkSession
     ship(spark)
-    own = docs.select(F.col(key).alias(key), F.col(text).alias("_text"))
-    kind = own.schema[key].dataType.simpleString()
-    parts = blocks(benchmark, item, item_text, most)
-    if len(parts) == 1:
-        index = spark.sparkContext.broadcast(build(parts[0]))
+    own = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text"))
+    kind = own.schema["_k"].dataType.simpleString()
+    n, block = blocks(benchmark, item, item_text, most)
+    if n == 1:
+        index = spark.sparkContext.broadcast(build(block(0)))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _one_pass(index)(batches):
-                items, hit, n = b.column("items").to_pylist(), b.column("n_hit").to_pylist(), b.column("n_words").to_pylist()
-                empty = _digest([])
-                yield pa.RecordBatch.from_pydict(
-                    {key: b.column(key), "n_words": b.column("n_words"), "n_hit": b.column("n_hit"), "n_items": pa.array([len(x) for x in items], pa.int64()), "items_sha256": pa.array([_digest(x) if x else empty for x in items]), "contaminated": pa.array([_rule(h, w) for h, w in zip(hit, n, strict=True)])}
-                )
-
-        return own.mapInArrow(whole, f"`{key}` {kind}, {SCHEMA}")
+            empty = _digest([])
+            for b in scan.pieces_of(batches, "_text"):
+                buf, offsets = scan.texts_of(b.column("_text"))
+                _, _, first, flag, (of, which) = hits(index.value, scan.LOWER[buf], offsets)
+                n_hit, n_words = _counted(flag, first), np.diff(first)
+                cut, names, shas = np.searchsorted(of, np.arange(len(first))), index.value.names, [empty] * b.num_rows
+                for t in np.flatnonzero(np.diff(cut)):
+                    shas[t] = _digest([names[i] for i in which[cut[t] : cut[t + 1]]])
+                yield pa.RecordBatch.from_pydict({"_k": b.column("_k"), "n_words": pa.array(n_words), "n_hit": pa.array(n_hit), "n_items": pa.array(np.diff(cut)), "items_sha256": pa.array(shas, pa.string()), "contaminated": pa.array(_contaminated(n_hit, n_words))})
+
+        return own.mapInArrow(whole, f"_k {kind}, {SCHEMA}").withColumnRenamed("_k", key)
+
     # several passes: hits are merged by (key, text), which identifies a row and its copies
-    own = own.withColumn("_same", F.md5(F.coalesce("_text", F.lit(""))))
-    passes = [own.mapInArrow(_one_pass(spark.sparkContext.broadcast(build(p))), f"`{key}` {kind}, _same string, n_words long, n_hit long, runs array<long>, items array<string>") for p in parts]
-    some = passes[0].where("n_hit > 0")
-    for p in passes[1:]:
-        some = some.unionByName(p.where("n_hit > 0"))
-    flat = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
-    merged = some.groupBy(F.col(key).alias("_k"), "_same").agg(flat.alias("items"), F.flatten(F.collect_set("runs")).alias("runs"))
-    pairs = F.array_sort(F.transform(F.filter(F.transform("runs", lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("s"), F.get("runs", i + 1).alias("e")))), lambda x: x.isNotNull()), lambda x: x))
-    start = F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n"))
-    step = lambda a, x: F.struct(F.greatest(a["to"], x["e"]).alias("to"), (a["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(a["to"], x["s"]))).alias("n"))
-    merged = merged.withColumn("_h", F.aggregate(pairs, start, step, lambda a: a["n"]))
-    base = passes[0].select(key, "_same", "n_words")
-    out = base.join(merged, (base["_same"] == merged["_same"]) & base[key].eqNullSafe(merged["_k"]), "left").select(base[key], "n_words", F.coalesce("_h", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return out.select(key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in scan.pieces_of(batches, "_text"):
+            buf, offsets = scan.texts_of(b.column("_text"))
+            starts, _ = scan.spans(scan.LOWER[buf], offsets, scan.ALNUM)
+            yield pa.RecordBatch.from_pydict({"_id": b.column("_id"), "n_words": pa.array(np.diff(np.searchsorted(starts, offsets)))})
+
+    own = own.select(F.struct("_k", F.sha2(F.coalesce("_text", F.lit("")), 256).alias("same")).alias("_id"), "_text")
+    name = f"struct<_k:{kind},same:string>"
+    merged = _union_by(_passes(own, n, block, f"_id {name}, n_words long, runs array<long>, items array<string>", _hits_only("_id")), "_id").select(F.col("_id").alias("_hit"), "n_hit", "items")
+    base = own.mapInArrow(counted, f"_id {name}, n_words long")
+    on = (base["_id.same"] == merged["_hit.same"]) & base["_id._k"].eqNullSafe(merged["_hit._k"])
+    out = base.join(merged, on, "left").select(F.col("_id._k").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select(F.col(key), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def without_runs(texts: list[str], runs: list[list[int] | None]) -> list[str]:
+    """The texts without the words of the runs (start, end, start, end, ...; overlapping ones too) and what is between them."""
+    out = list(texts)
+    for t, own in enumerate(runs):
+        if not own:
+            continue
+        raw = np.frombuffer(texts[t].encode(), np.uint8)
+        starts, ends = scan.spans(scan.LOWER[raw], np.array([0, len(raw)]), scan.ALNUM)
+        gone = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(gone, own[::2], 1)
+        np.add.at(gone, own[1::2], -1)
+        runs_of = hit_runs(np.cumsum(gone[:-1]) > 0, np.array([0, len(starts)]))[0]
+        at, kept = 0, []
+        for s, e in zip(runs_of[::2], runs_of[1::2], strict=True):
+            kept.append(raw[at : starts[s]].tobytes())
+            at = ends[e - 1]
+        out[t] = b"".join([*kept, raw[at:].tobytes()]).decode()
+    return out
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, how: str = "documents", text: str = "text", item: str = "item_id", item_text: str = "text", most: int = MOST_BYTES) -> DataFrame:
     """``docs`` without contaminated documents ("documents") or without the hit words ("spans"); the same columns."""
+    if how not in ("documents", "spans"):
+        raise ValueError(f"how must be documents or spans, not {how!r}")
     spark = docs.sparkSession
     ship(spark)
-    if how == "documents":
-        parts = blocks(benchmark, item, item_text, most)
-        indices = [spark.sparkContext.broadcast(build(p)) for p in parts]
+    n, block = blocks(benchmark, item, item_text, most)
+    if n == 1:
+        index = spark.sparkContext.broadcast(build(block(0)))
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in scan.pieces_of(batches, text):
                 buf, offsets = scan.texts_of(b.column(text))
-                flag, first = None, None
-                for index in indices:  # a word is hit if any block hits it
-                    _, _, first, own, _ = hits(index.value, scan.LOWER[buf], offsets)
-                    flag = own if flag is None else flag | own
-                total = np.concatenate([[0], np.cumsum(flag)])
-                n_hit = total[first[1:]] - total[first[:-1]]
-                yield b.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= np.diff(first)))))
+                _, _, first, flag, _ = hits(index.value, scan.LOWER[buf], offsets)
+                if how == "documents":
+                    yield b.filter(pa.array(~_contaminated(_counted(flag, first), np.diff(first))))
+                elif not flag.any():
+                    yield b
+                else:
+                    place = b.schema.get_field_index(text)
+                    yield b.set_column(place, b.schema.field(place), pa.array(without_runs(b.column(place).to_pylist(), hit_runs(flag, first)), b.schema.field(place).type))
 
         return docs.mapInArrow(clean, docs.schema)
-    if how != "spans":
-        raise ValueError(f"how must be documents or spans, not {how!r}")
-    indices = [spark.sparkContext.broadcast(build(p)) for p in blocks(benchmark, item, item_text, most)]
+    # several passes: what hits a text depends on the text alone, so hits are merged by its digest
+    same = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
+    own = docs.select(same.alias("_same"), F.col(f"`{text}`").alias("_text"))
+    merged = _union_by(_passes(own, n, block, "_same string, n_words long, runs array<long>, items array<string>", _hits_only("_same")), "_same")
+    mark = fresh(docs, "_same")
+    if how == "documents":
+        dirty = merged.where("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("_same").alias(mark))
+        return docs.join(dirty, same == F.col(mark), "left_anti")
+    dirty = merged.select(F.col("_same").alias(mark), F.struct("runs").alias(f"{mark}_runs"))
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), same.alias("own")).join(dirty, F.col("own") == F.col(mark), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in scan.pieces_of(batches, text):
-            original, offsets = scan.texts_of(b.column(text))
-            flag, found = None, None
-            for index in indices:
-                found = hits(index.value, scan.LOWER[original], offsets)
-                flag = found[3] if flag is None else flag | found[3]
-            starts, ends, first = found[:3]
-            raw, texts = original.tobytes(), b.column(text).to_pylist()
-            for t, runs in enumerate(hit_runs(flag, first)):
-                if runs:
-                    at, out = offsets[t], []
-                    for s, e in zip(runs[::2], runs[1::2], strict=True):
-                        out.append(raw[at : starts[first[t] + s]])
-                        at = ends[first[t] + e - 1]
-                    texts[t] = b"".join([*out, raw[at : offsets[t + 1]]]).decode()
-            yield b.set_column(b.schema.get_field_index(text), b.schema.field(text), pa.array(texts, b.schema.field(text).type))
-
-    return docs.mapInArrow(cut, docs.schema)
+        for b in batches:
+            runs = b.column("runs").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(without_runs(b.column("t").to_pylist(), runs), pa.string()), b.column("row")], ["t", "row"])
+
+    kind = joined.schema["row"].dataType.simpleString()
+    out = joined.select(F.col("row")[text].alias("t"), F.col(f"{mark}_runs.runs").alias("runs"), "row").mapInArrow(cut, f"t string, row {kind}")
+    return out.select(*[F.col("t").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
