@@ -11,18 +11,24 @@
    the key's smallest member form a canopy named by it; a member that is not near it joins
    the canopy together with each partner it is near.  Every near pair is thus in a canopy.
    Keys with more than TILE members are cut into tiles and compared tile by tile.
-4. The texts of canopy members, and only these, are read again, and every pair of a canopy is
-   confirmed on the full sets (in tiles of bounded size).  A spanning forest of the links of
-   each canopy goes on: no link between different components is lost, no group is expanded
-   into rows of pairs.
+4. The texts of canopy members, and only these, are read again.  First every member is confirmed on the full
+   sets against its canopy's pivots: the smallest member, and PIVOTS more in a canopy of several
+   tiles.  So a group of copies of one text costs a star, not all its pairs.  Members that are now
+   in the component of their canopy's smallest member need not be compared with each other;
+   all others meet every member of their canopy in tiles of at most SET_TILE sets a side.  No link
+   between different components is lost, and no group is expanded into rows of pairs.
 5. Components are found by contraction (components.py).
 
+A group of n different near copies none of which is 0.75 similar to a pivot still costs n * n / SET_TILE sets.
+
 Nothing is collected to the driver; the parts that are used twice are checkpointed.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; a document of
 fewer words than five has one shingle, its whole sequence; rows that share a key are one
 document, linked if any of its texts is; a row with a null key is linked with nothing, has a null
-component and is kept; an empty table gives an empty result; other columns are ignored.
+component and is kept; an empty table gives an empty result; other columns are ignored, whatever their
+names (``deduplicated`` keeps them).  Ties do not arise: components and pivots are named by the smallest key.
+Very long texts are one row of a batch of their own: memory is about 40 bytes a byte of the longest text.
 """
 
 from __future__ import annotations
@@ -31,12 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import minhash, scan
-from .components import components
+from .components import components, dealt_join, salts
 from .folders import checkpointed
 from .native_spans import fresh
 from ..shipping import ship
@@ -46,6 +51,9 @@ CHUNKS = 18
 MOST_FAR = 58
 TILE = 4096
 SET_TILE = 512
+PIVOTS = 4
+#: Places (about 80 bytes each) that are broadcast to the texts; more are joined.
+FEW_PLACES = 100_000
 #: A pair is linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -169,26 +177,73 @@ def _canopies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["c", "x"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (x, t, places): the set of each text, once for every tile pair of every canopy it is in."""
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (x, t, places): the set of each text, once for each group (c, i, j) of its places."""
+    names = ["c", "i", "j", "later", "x", "s"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
     for b in scan.pieces_of(batches, "t", 1 << 20):
         value, first = minhash.shingle_sets(b.column("t"))
-        c, i, j, x, s = [], [], [], [], []
+        rows: list[tuple] = []
+        held = 0
         for k, (doc, places) in enumerate(zip(b.column("x").to_pylist(), b.column("places").to_pylist(), strict=True)):
             raw = value[first[k] : first[k + 1]].tobytes()
             for p in places:
-                own = doc % p["tiles"]
-                for other in range(p["tiles"]):
-                    for col, v in zip((c, i, j, x, s), (p["c"], min(own, other), max(own, other), doc, raw), strict=True):
-                        col.append(v)
-            if len(x) >= 512:
-                yield _set_batch(c, i, j, x, s)
-                c, i, j, x, s = [], [], [], [], []
-        yield _set_batch(c, i, j, x, s)
+                for i, j, lead in _groups(p, doc):
+                    rows.append((p["c"], i, j, not lead, doc, raw))
+                    held += len(raw)
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _set_batch(c: list, i: list, j: list, x: list, s: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(x, pa.int64()), pa.array(s, pa.binary())], ["c", "i", "j", "x", "s"])
+def _groups(p: dict, doc: int) -> Iterator[tuple[int, int, bool]]:
+    """The groups (i, j) of one place, and whether the document is what the group's others are compared with.
+
+    A place of a star (``left`` is -1): pivot k meets the members in tiles (k, tile).  Else: tiles 0 .. left - 1
+    hold the members that are left over, tiles left .. tiles - 1 the settled ones; only pairs of tiles with a left-over one meet.
+    """
+    own, tiles, left = p["tile"], p["tiles"], p["left"]
+    if left < 0:
+        for k, pivot in enumerate(p["pivots"]):
+            if pivot == doc:
+                for i in range(tiles):
+                    yield k, i, True
+            else:
+                yield k, own, False
+    elif own < left:
+        for other in range(tiles):
+            yield min(own, other), max(own, other), False
+    else:
+        for other in range(left):
+            yield other, own, False
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each group's pivot with the others, rows sorted by group and with the pivot's sets in front."""
+    group, pivot, leads = None, None, []
+    for b in batches:
+        left, right = [], []
+        cols = [b.column(k).to_pylist() for k in range(5)]
+        for c, i, j, later, x, s in zip(*cols, b.column(5), strict=True):
+            own = np.frombuffer(s.as_py(), np.uint64)
+            if group != (c, i, j):
+                group, pivot, leads = (c, i, j), None, []
+            if not later:  # a key with several texts has several sets
+                pivot = x
+                leads.append(own)
+            elif any(_similar(lead, own) for lead in leads):
+                left.append(pivot)
+                right.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    if not len(a) or not len(b):
+        return False
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
 def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -254,44 +309,94 @@ def candidates(reps: DataFrame) -> DataFrame:
     return given.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_canopies, "c long, x long").distinct()
 
 
-def links(docs: DataFrame, canopies: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Confirmed links (a, b): a spanning forest of each canopy's (of each pair of its tiles)."""
-    canopies = checkpointed(canopies)
-    tiles = canopies.groupBy(F.col("c").alias("k")).agg(F.ceil(F.count("*") / SET_TILE).cast("int").alias("tiles"))
-    # the second key makes Spark deal both sides out anew, so that it can split a large canopy
-    places = canopies.join(tiles, (F.col("c") == F.col("k")) & (F.col("c") % 1 == F.col("k") % 1)).groupBy("x").agg(F.collect_list(F.struct("c", "tiles")).alias("places"))
-    texts = docs.select(F.col(key).cast("long").alias("x"), F.col(text).alias("t")).join(places, "x")
-    sets = texts.mapInArrow(_sets, "c long, i int, j int, x long, s binary")
-    return sets.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "x").mapInArrow(_links, "a long, b long")
+_PLACE = "struct<c:bigint,tile:int,tiles:int,left:int,pivots:array<bigint>>"
+
+
+def _read_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(c, i, j, later, x, s): the sets of the texts at their places; docs (x, t), places (x, place)."""
+    places = checkpointed(places)
+    n = places.count()
+    by = places.groupBy("x").agg(F.collect_list("place").alias("places"))
+    if n <= FEW_PLACES:
+        by = F.broadcast(by)
+    return docs.join(by, "x").mapInArrow(_dealt, "c long, i int, j int, later boolean, x long, s binary") if n else None
+
+
+def _tile(size: Column) -> Column:
+    return F.ceil(size / SET_TILE).cast("int")
+
+
+def star_links(docs: DataFrame, canopies: DataFrame, parts: int) -> DataFrame | None:
+    """Confirmed links of each canopy's members with its pivots; None if there are no canopies."""
+    salted = [F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("h"), "x")).alias(f"p{k}") for k in range(1, PIVOTS + 1)]
+    sizes = canopies.groupBy("c").agg(F.count("*").alias("n"), F.min("x").alias("head"), *salted).withColumn("tiles", _tile(F.col("n")))
+    more = F.array_except(F.array_distinct(F.array(*[F.col(f"p{k}.x") for k in range(1, PIVOTS + 1)])), F.array("head"))
+    pivots = F.when(F.col("tiles") > 1, F.concat(F.array("head"), more)).otherwise(F.array("head"))
+    dealt = dealt_join(canopies, sizes.select("c", "tiles", pivots.alias("pivots")), ["c"], parts)
+    place = F.struct("c", F.pmod(F.xxhash64("x"), "tiles").cast("int").alias("tile"), "tiles", F.lit(-1).alias("left"), "pivots").cast(_PLACE)
+    sets = _read_sets(docs, dealt.select("x", place.alias("place")))
+    return sets.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "later", "x").mapInArrow(_stars, "a long, b long") if sets else None
+
+
+def rest_links(docs: DataFrame, canopies: DataFrame, component: DataFrame, parts: int) -> DataFrame | None:
+    """Links of the members that are not in the component of their canopy's smallest member, with all others of the canopy;
+    None if there are no such members."""
+    comp = component.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    own = canopies.join(comp, F.col("x") == F.col("_n"), "left").select("c", "x", F.coalesce("_c", "x").alias("k"))
+    heads = own.groupBy("c").agg(F.min(F.struct("x", "k")).alias("h"))
+    # the smallest member has met all others
+    own = dealt_join(own, heads, ["c"], parts).where("x <> h.x").withColumn("settled", F.col("k") == F.col("h.k"))
+    sizes = own.groupBy("c").agg(F.count_if(~F.col("settled")).alias("free"), F.count("*").alias("n")).where("free > 0 and n > 1")
+    sizes = sizes.select("c", _tile(F.col("free")).alias("left"), (_tile(F.col("free")) + _tile(F.col("n") - F.col("free"))).alias("tiles"))
+    dealt = dealt_join(own.select("c", "x", "settled"), sizes, ["c"], parts)
+    at = F.xxhash64("x")
+    tile = F.when(F.col("settled"), F.col("left") + F.pmod(at, F.greatest(F.col("tiles") - F.col("left"), F.lit(1)))).otherwise(F.pmod(at, "left"))
+    place = F.struct("c", tile.cast("int").alias("tile"), "tiles", "left", F.array().cast("array<bigint>").alias("pivots")).cast(_PLACE)
+    sets = _read_sets(docs, dealt.select("x", place.alias("place")))
+    return sets.select("c", "i", "j", "x", "s").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "x").mapInArrow(_links, "a long, b long") if sets else None
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row of ``docs``."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     base = checkpointed(described(docs, text, key))
     some = base.where("n > 0 and d is not null")
     reps = checkpointed(some.groupBy("f1", "f2", "n").agg(F.min(F.struct("d", "sig")).alias("m")).select("f1", "f2", "n", F.col("m.d").alias("rep"), F.col("m.sig").alias("sig")))
-    found = links(docs, candidates(reps), text, key)
+    canopies = checkpointed(candidates(reps))
+    texts = docs.select(F.col(key).cast("long").alias("x"), F.col(text).alias("t"))
+    parts = salts(canopies.count())
+    star = star_links(texts, canopies, parts)
+    found = spark.createDataFrame([], "a long, b long") if star is None else checkpointed(star)
+    rest = None if star is None else rest_links(texts, canopies, components(found), parts)
+    if rest is not None:
+        found = found.unionByName(rest)
     # rows that share a key are one document: its classes are linked
     multi = some.groupBy("d").agg(F.count("*").alias("k")).where("k > 1").select("d")
     same = some.join(multi, "d").join(reps.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select(F.col("d").alias("a"), F.col("rep").alias("b"))
     comp = components(found.unionByName(same))
-    classes = reps.select("f1", "f2", "n", "rep").join(comp, reps["rep"] == comp["node"], "left").select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.col("n").alias("c3"), F.coalesce("component", "rep").alias("component"), (F.col("n") % 1).alias("z"))
-    on = (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")) & (F.col("n") == F.col("c3")) & (F.col("n") % 1 == F.col("z"))
-    out = base.select("d", "n", "f1", "f2").join(classes, on, "left").withColumn("component_id", F.when(F.col("d").isNotNull(), F.coalesce("component", "d")))
+    classes = reps.select("f1", "f2", "n", "rep").join(comp, reps["rep"] == comp["node"], "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
+    out = dealt_join(base.select("d", "n", "f1", "f2"), classes, ["f1", "f2", "n"], salts(base.count()), "left")
+    out = out.withColumn("component_id", F.when(F.col("d").isNotNull(), F.coalesce("component", "d")))
     return out.select(F.col("d").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("d").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each group of near duplicates: of its document with the smallest key.  Same columns.
 
-    Of several rows with that key, one stays (the first by text); rows with a null key all stay.
+    Of several rows with that key, one stays, the first by text (null first) and then by the other columns, so rows that
+    remain equal are equal throughout; rows with a null key all stay.
     """
-    name, rank = fresh(docs, "_kept"), fresh(docs, "_rank")
+    name = fresh(docs, "_kept")
     kept = near_duplicates(docs, text, key).where(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias(name)).distinct()
-    own = docs.join(kept, F.col(f"`{key}`") == F.col(name), "left_semi")
-    first = own.withColumn(rank, F.row_number().over(W.partitionBy(key).orderBy(text))).where(F.col(rank) == 1).drop(rank)
-    return first.unionByName(docs.where(F.col(f"`{key}`").isNull()))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    plain = lambda f: not any(k in f.dataType.simpleString() for k in ("map<", "variant", "interval"))
+    rest = [F.col(f"`{f.name}`") if plain(f) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema.fields if f.name not in (text, key)]
+    order = F.struct(F.col(f"`{text}`").alias("t"), *[c.alias(f"r{k}") for k, c in enumerate(rest)])
+    # reduced before the shuffle, so that a key with very many rows is one row a task
+    one = docs.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias(name)).agg(F.min_by(F.struct(*own), order).alias("row"))
+    one = one.join(kept, name, "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return one.unionByName(docs.where(F.col(f"`{key}`").isNull()))
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
