@@ -2,9 +2,10 @@
 
 The index holds short texts ("segments"), each ended by a mark that no UTF-8 text contains and that
 counts as different for every segment.  Kept are the runs of the transform (character, first
-row, image of that row under the LF mapping), the text positions at both ends of each run, the
-segments' bytes, and for each block of rows that agree on ``depth`` bytes the least label among
-them.  Queries are streamed from their right ends, all together, one byte a round: inside a run
+row, image of that row under the LF mapping), the text positions at both ends of each run, and for
+each block of rows that agree on ``depth`` bytes the least label among them: all of these follow the number of
+runs or blocks.  The segments' bytes are kept as they are, a byte each, to compare matches.  While it is built, the
+index needs about 60 bytes a byte of text (ranks and rows of all suffixes).  Queries are streamed from their right ends, all together, one byte a round: inside a run
 of its byte a query follows LF; elsewhere it jumps to the nearest run of its byte above or below,
 whichever end agrees longer with the current match, and goes on from there.
 """
@@ -59,6 +60,11 @@ def suffix_ranks(text: np.ndarray, to_mark: np.ndarray) -> np.ndarray:
     return rank
 
 
+def words_at(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place on, the first in the lowest byte (zeros after the end), as a view of the text: no memory of its own."""
+    return np.ndarray((len(text),), "<u8", np.concatenate([text, np.zeros(8, np.uint8)]), strides=(1,))
+
+
 class RunIndex:
     def __init__(self, text: np.ndarray, lengths: np.ndarray, labels: np.ndarray, depth: int) -> None:
         """``text``: the segments, one after the other; ``labels``: one number for each."""
@@ -86,7 +92,7 @@ class RunIndex:
         before[by] = np.cumsum(size[by]) - size[by]
         self.image = before  # the runs of each byte stand together, bytes in order: the sums are C and rank at once
         self.by_char = self.char[by] * len(start) + by
-        self.words = packed(self.text)
+        self.words = words_at(self.text)
         # blocks of rows that agree on depth bytes within their segments
         long = to_mark[rows] >= depth
         same = long[1:] & long[:-1] & self._agree(rows[1:], rows[:-1], depth)
@@ -100,7 +106,7 @@ class RunIndex:
             at = np.flatnonzero(ok)
             diff = self.words[np.minimum(a[at] + k, len(self.words) - 1)] ^ self.words[np.minimum(b[at] + k, len(self.words) - 1)]
             rest = min(8, depth - k)
-            ok[at] = (diff >> np.uint64(8 * (8 - rest))) == 0
+            ok[at] = (diff << np.uint64(8 * (8 - rest))) == 0
         return ok
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -114,7 +120,7 @@ class RunIndex:
             diff = self.words[np.minimum(x, len(self.words) - 1)] ^ self.words[np.minimum(y, len(self.words) - 1)]
             equal = np.zeros(len(at), np.int64)
             for s in range(8):
-                equal += (diff >> np.uint64(8 * (7 - s))) == 0
+                equal += (diff << np.uint64(8 * (7 - s))) == 0
             out[at] = np.where(inside, np.minimum(k + equal, most[at]), k)
             at = at[inside & (equal == 8) & (out[at] < most[at])]
         return out

@@ -5,10 +5,13 @@ smallest hash of the K-byte strings in it, its anchor; equal windows have equal
 neighbouring windows mostly share one, so they form short segments.
 
 1. Each shard sends the distinct anchors it holds (6 bytes each) to buckets by anchor, with a mark
-   on those that several of its documents hold.  A bucket answers, a bit for each, which
-   anchors more than one document holds.  All other windows occur once.
+   on those that several of its documents hold, and on those that MANY different segments of it have.
+   A bucket answers, two bits for each, which anchors more than one document holds, and which of
+   them are hot: held by very many shards, or with many segments in one.  All other windows occur once.
 2. Each shard sends its distinct segments of shared anchors to the buckets, with the smallest and
-   largest key that holds them.  Equal segments become one.  An anchor with several different
+   largest key that holds them.  The segments of hot anchors are cut into their windows, which are dealt by
+   their own hashes, so that what is common to very many documents, with different text around it, is spread
+   over all buckets.  Equal segments become one.  An anchor with several different
    segments needs the index: per bucket a run-length compressed Burrows-Wheeler transform
    with sampled run ends (run_index.py) over all its segments but the one that starts
    last, through which all of them are streamed.  The matching statistics give every window
@@ -16,13 +19,19 @@ neighbouring windows mostly share one, so they form short segments.
 3. The shards get, for each segment, its windows' smallest keys, and mark what to remove.
 
 All three steps read one shuffle of the texts (the exchange is reused).  A window that very many
-documents share is one row for each shard, whatever their number, so no task gathers a group.
-Shards and buckets are counted from the bytes of the corpus, so tasks stay of one size.
+documents share is one row for each shard, whatever their number; an anchor of a bucket has at most
+4096 shards (with SHARD_BYTES; in proportion else) with fewer than MANY segments each, or those of one
+shard.  So no task gathers a group.  (Lower limits cost traffic: with 64 shards common phrases of 0.5 GB already send 1.7 times
+the bytes, since a window has LENGTH bytes of its own.)
+A shard and a bucket have SHARD_BYTES of text each; from 32 GB on they grow with the square root of the
+corpus, up to MOST_SHARD_BYTES, so that what a shard has for a bucket does not become a few bytes.
 
 Defined cases: a null or empty text has no bytes and nothing to remove; texts of fewer than LENGTH
 bytes lose nothing; rows with one key are one document, whose texts do not remove each
 other's strings; a row with a null key is neither searched nor a source; repeated rows have equal
-results; an empty table gives an empty result; other columns are ignored.
+results; an empty table gives an empty result; other columns are ignored, whatever their names.  Very long texts
+are worked on as pieces of their own: memory is about 100 bytes a byte of the longest text.  Ties do not
+arise: of equal strings those of the smallest key stay, all of them.
 """
 
 from __future__ import annotations
@@ -43,7 +52,12 @@ from ..shipping import ship
 LENGTH = 50
 K = 20
 SHARD_BYTES = 4 << 20
+MOST_SHARD_BYTES = 128 << 20
+#: Text bytes that a shard has for a bucket, at least, as long as shards may grow.
+PAIR_BYTES = 512
 LEAST_SHARDS = 64
+#: Different segments of one anchor in one shard from which on the anchor is hot, if other shards have it too.
+MANY = 256
 MOST_WINDOWS = 64
 NONE = np.iinfo(np.int64).max
 
@@ -114,16 +128,28 @@ def _by_bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return (anchor % np.uint64(buckets)).astype(np.int64)
 
 
-def _distinct_anchors(anchor: np.ndarray, key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, anchor and whether several keys hold it, sorted by bucket and anchor."""
+@dataclass
+class Anchors:
+    """The distinct anchors of a shard, by bucket and anchor."""
+
+    bucket: np.ndarray
+    anchor: np.ndarray
+    several: np.ndarray  # whether several keys hold it
+    many: np.ndarray  # whether MANY different segments have it
+
+
+def _distinct_anchors(anchor: np.ndarray, key: np.ndarray, content: np.ndarray, buckets: int) -> Anchors:
     order = np.argsort(anchor)
-    anchor, key = anchor[order], key[order]
+    anchor, key, content = anchor[order], key[order], content[order]
     start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, np.int64)
     several = np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start) if len(start) else np.zeros(0, bool)
+    size, many = np.diff(np.append(start, len(anchor))), np.zeros(len(start), bool)
+    for k in np.flatnonzero(size >= MANY):
+        many[k] = len(np.unique(content[start[k] : start[k] + size[k]])) >= MANY
     anchor = anchor[start]
     bucket = _by_bucket(anchor, buckets)
     order = np.argsort(bucket, kind="stable")
-    return bucket[order], anchor[order], several[order]
+    return Anchors(bucket[order], anchor[order], several[order], many[order])
 
 
 def _cuts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,76 +165,101 @@ def _short(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
 
 
+def _bits(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    return pa.array([np.packbits(x[s:e]).tobytes() for s, e in zip(start, end, strict=True)], pa.binary())
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n)
+
+
 def _anchors(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         found = [_keyed(*piece) for piece in _pieces(table)]
-        anchor = np.concatenate([s.anchor for s, _ in found]) if found else np.zeros(0, np.uint64)
-        key = np.concatenate([k for _, k in found]) if found else np.zeros(0, np.int64)
-        bucket, anchor, several = _distinct_anchors(anchor, key, buckets)
-        start, end = _cuts(bucket)
+        all_of = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        own = _distinct_anchors(all_of([s.anchor for s, _ in found], np.uint64), all_of([k for _, k in found], np.int64), all_of([s.content for s, _ in found], np.uint64), buckets)
+        start, end = _cuts(own.bucket)
         return pa.table(
             {
-                "bucket": pa.array(bucket[start], pa.int64()),
+                "bucket": pa.array(own.bucket[start], pa.int64()),
                 "shard": pa.array(np.full(len(start), table["shard"][0].as_py()), pa.int64()),
-                "h": pa.array([_short(anchor[s:e]) for s, e in zip(start, end, strict=True)], pa.binary()),
-                "several": pa.array([np.packbits(several[s:e]).tobytes() for s, e in zip(start, end, strict=True)], pa.binary()),
+                "h": pa.array([_short(own.anchor[s:e]) for s, e in zip(start, end, strict=True)], pa.binary()),
+                "several": _bits(own.several, start, end),
+                "many": _bits(own.many, start, end),
             }
         )
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """For each shard's anchors of a bucket: a bit for those that several documents hold."""
-    raw, marks = table["h"].to_pylist(), table["several"].to_pylist()
-    size = np.array([len(x) // 6 for x in raw])
-    whole = np.zeros((int(size.sum()), 8), np.uint8)
-    whole[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
-    several = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(marks, size, strict=True)]).astype(np.int64)
-    _, of = np.unique(whole.view("<u8").ravel(), return_inverse=True)
-    shared = (np.bincount(of, 1 + several) > 1)[of]
-    ends = np.cumsum(size)
-    return pa.table({"shard": table["shard"], "bucket": table["bucket"], "bits": pa.array([np.packbits(shared[e - n : e]).tobytes() for n, e in zip(size, ends, strict=True)], pa.binary())})
+def _shared(hot_shards: int) -> Callable[[pa.Table], pa.Table]:
+    """For each shard's anchors of a bucket: a bit for those that several documents hold, and one for the hot ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        raw = table["h"].to_pylist()
+        size = np.array([len(x) // 6 for x in raw])
+        whole = np.zeros((int(size.sum()), 8), np.uint8)
+        whole[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+        several, many = (np.concatenate([_unpacked(m, n) for m, n in zip(table[c].to_pylist(), size, strict=True)]).astype(np.int64) for c in ("several", "many"))
+        _, of = np.unique(whole.view("<u8").ravel(), return_inverse=True)
+        shards = np.bincount(of)
+        shared = shards + np.bincount(of, several) > 1
+        hot = (shards > hot_shards) | ((shards > 1) & (np.bincount(of, many) > 0))
+        end = np.cumsum(size)
+        return pa.table({"shard": table["shard"], "bucket": table["bucket"], "bits": _bits(shared[of], end - size, end), "hot": _bits(hot[of], end - size, end)})
+
+    return run
 
 
 def _send(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The distinct segments with shared anchors, by bucket."""
+    """The distinct segments with shared anchors, by bucket; of hot anchors the distinct windows."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         pieces = [(p[2], *_keyed(*p)) for p in _pieces(texts)] if texts.num_rows else []
         if not pieces:
             return _sent([], [], [], [], [], 0)
-        anchor, key = np.concatenate([s.anchor for _, s, _ in pieces]), np.concatenate([k for _, _, k in pieces])
-        bucket, distinct, _ = _distinct_anchors(anchor, key, buckets)
-        start, end = _cuts(bucket)
-        shared = np.zeros(len(distinct), bool)
-        bits = dict(zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True))
+        anchor, key, content, windows, place = (np.concatenate(x) for x in zip(*[(s.anchor, k, s.content, s.windows, s.start) for _, s, k in pieces], strict=True))
+        piece = np.repeat(np.arange(len(pieces)), [len(s.start) for _, s, _ in pieces])
+        own = _distinct_anchors(anchor, key, content, buckets)
+        start, end = _cuts(own.bucket)
+        shared, hot = np.zeros(len(own.anchor), bool), np.zeros(len(own.anchor), bool)
+        given = {b: (x, y) for b, x, y in zip(*(answers[c].to_pylist() for c in ("bucket", "bits", "hot")), strict=True)}
         for s, e in zip(start, end, strict=True):
-            shared[s:e] = np.unpackbits(np.frombuffer(bits[int(bucket[s])], np.uint8), count=e - s)
-        chosen = np.sort(distinct[shared])
-        i = np.searchsorted(chosen, anchor)
-        take = np.flatnonzero(chosen[np.minimum(i, len(chosen) - 1)] == anchor) if len(chosen) else np.zeros(0, np.int64)
-        content, windows = np.concatenate([s.content for _, s, _ in pieces])[take], np.concatenate([s.windows for _, s, _ in pieces])[take]
-        anchor, key = anchor[take], key[take]
-        piece = np.repeat(np.arange(len(pieces)), [len(s.start) for _, s, _ in pieces])[take]
-        place = np.concatenate([s.start for _, s, _ in pieces])[take]
-        order = np.lexsort((content, _by_bucket(anchor, buckets)))
-        if not len(order):
+            shared[s:e], hot[s:e] = (_unpacked(x, e - s) for x in given[int(own.bucket[s])])
+        within = lambda chosen: np.isin(anchor, chosen)
+        take = np.flatnonzero(within(own.anchor[shared & ~hot]))
+        deal = anchor[take]
+        anchor_hot = own.anchor[shared & hot]
+        rows = [x[take] for x in (key, content, windows, place, piece)]
+        cut = np.flatnonzero(within(anchor_hot)) if len(anchor_hot) else anchor_hot
+        if len(cut):
+            at = np.repeat(cut, windows[cut])
+            begin = place[at] + scan.ranges(np.zeros(len(cut), np.int64), windows[cut])
+            value = np.empty(len(at), np.uint64)
+            for k, (buf, _, _) in enumerate(pieces):
+                mine = piece[at] == k
+                if mine.any():
+                    value[mine] = scan.substring(scan.prefix_sums(buf), begin[mine], begin[mine] + LENGTH)
+            rows = [np.concatenate(x) for x in zip(rows, (key[at], value, np.ones(len(at), np.int64), begin, piece[at]), strict=True)]
+            deal = np.concatenate([deal, value])
+        key, content, windows, place, piece = rows
+        if not len(key):
             return _sent([], [], [], [], [], 0)
-        first = np.flatnonzero(np.r_[True, content[order][1:] != content[order][:-1]])
+        bucket = _by_bucket(deal, buckets)
+        order = np.lexsort((content, bucket))
+        first = np.flatnonzero(np.r_[True, (content[order][1:] != content[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])])
         lo, hi, one = np.minimum.reduceat(key[order], first), np.maximum.reduceat(key[order], first), order[first]
-        start, end = _cuts(_by_bucket(anchor[one], buckets))
+        start, end = _cuts(bucket[one])
         size = windows[one] + LENGTH - 1
         out_at = np.cumsum(size) - size
         raw = np.empty(int(size.sum()), np.uint8)
         for k, (buf, _, _) in enumerate(pieces):
-            own = np.flatnonzero(piece[one] == k)
-            raw[scan.ranges(out_at[own], size[own])] = buf[scan.ranges(place[one[own]], size[own])]
+            mine = np.flatnonzero(piece[one] == k)
+            raw[scan.ranges(out_at[mine], size[mine])] = buf[scan.ranges(place[one[mine]], size[mine])]
         edge = np.r_[out_at, len(raw)]
         cols = [[], [], [], [], []]
         for s, e in zip(start.tolist(), end.tolist(), strict=True):
-            own = one[s:e]
-            for c, v in zip(cols, (int(_by_bucket(anchor[own[:1]], buckets)[0]), windows[own].astype(np.uint8), lo[s:e], hi[s:e], raw[edge[s] : edge[e]]), strict=True):
+            for c, v in zip(cols, (int(bucket[one[s]]), windows[one[s:e]].astype(np.uint8), lo[s:e], hi[s:e], raw[edge[s] : edge[e]]), strict=True):
                 c.append(v if isinstance(v, int) else v.tobytes())
         return _sent(*cols, texts["shard"][0].as_py())
 
@@ -259,7 +310,8 @@ def smallest_holders(anchor: np.ndarray, windows: np.ndarray, content: np.ndarra
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For each shard of a bucket: (content, first window, end, smallest key) where some holder's key is larger."""
+    """For each shard of a bucket: (content, first window, end, smallest key) where some holder's key is larger, and
+    the anchors of those that are one window."""
     col = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
     windows = col("windows", np.uint8).astype(np.int64)
     lo, hi, raw = col("lo", np.int64), col("hi", np.int64), col("raw", np.uint8)
@@ -278,7 +330,9 @@ def _answer(table: pa.Table) -> pa.Table:
     out_shard, s = shard[row[start]], table["shard"].to_pylist()
     cuts = np.searchsorted(out_shard, np.arange(len(per) + 1))
     parts = {"content": content[row[start]], "a": place[start].astype(np.uint8), "b": (place[end] + 1).astype(np.uint8), "key": key[start]}
-    return pa.table({"shard": pa.array(s, pa.int64()), **{k: pa.array([v[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for k, v in parts.items()}})
+    single, anchors = windows[row[start]] == 1, anchor[row[start]]
+    alone = [np.unique(anchors[x:y][single[x:y]]).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"shard": pa.array(s, pa.int64()), **{k: pa.array([v[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for k, v in parts.items()}, "alone": pa.array(alone, pa.binary())})
 
 
 def _finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -286,9 +340,17 @@ def _finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
     content, a, b, key = col("content", np.uint64), col("a", np.uint8), col("b", np.uint8), col("key", np.int64)
     order = np.argsort(content)
     content, a, b, key = content[order], a[order].astype(np.int64), b[order].astype(np.int64), key[order]
+    alone = np.unique(col("alone", np.uint64))  # anchors whose windows were asked about one by one
     out: dict[str, list] = {k: [] for k in ("d", "n_bytes", "n_removed", "runs", "kept_sha256")}
     for keys, there, buf, offsets in _pieces(texts):
         s, own = _keyed(keys, there, buf, offsets)
+        cut = np.flatnonzero(np.isin(s.anchor, alone) & (s.windows > 1)) if len(alone) else np.zeros(0, np.int64)
+        if len(cut):
+            at = np.repeat(cut, s.windows[cut])
+            begin = s.start[at] + scan.ranges(np.zeros(len(cut), np.int64), s.windows[cut])
+            value = scan.substring(scan.prefix_sums(buf), begin, begin + LENGTH)
+            s = Segments(np.r_[s.text, s.text[at]], np.r_[s.start, begin], np.r_[s.windows, np.ones(len(at), np.int64)], np.r_[s.anchor, s.anchor[at]], np.r_[s.content, value])
+            own = np.r_[own, own[at]]
         lo, hi = np.searchsorted(content, s.content, "left"), np.searchsorted(content, s.content, "right")
         which, answer = np.repeat(np.arange(len(lo)), hi - lo), scan.ranges(lo, hi - lo)
         ok = key[answer] < own[which]
@@ -311,17 +373,19 @@ def _finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({"d": pa.array(out["d"], pa.int64()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "runs": pa.array(out["runs"], pa.list_(pa.int64())), "kept_sha256": pa.array(out["kept_sha256"], pa.string())})
 
 
-def repeated_strings(docs: DataFrame, text: str = "text", key: str = "doc_id", shard_bytes: int = SHARD_BYTES, least_shards: int = LEAST_SHARDS) -> DataFrame:
+def repeated_strings(docs: DataFrame, text: str = "text", key: str = "doc_id", shard_bytes: int = SHARD_BYTES, least_shards: int = LEAST_SHARDS, hot_shards: int | None = None) -> DataFrame:
     """One row per row of ``docs``: key, n_bytes, n_removed, runs (start and end of each removed run, in bytes), kept_sha256."""
     ship(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    n = max(least_shards, -(-total // shard_bytes))
+    size = max(shard_bytes, min(MOST_SHARD_BYTES, int((total * PAIR_BYTES) ** 0.5)))
+    n = max(least_shards, -(-total // size))
+    hot = size >> 10 if hot_shards is None else hot_shards
     d, t = F.col(key).cast("long"), F.col(text)
     x = docs.select(d.alias("d"), t.alias("t"), F.pmod(F.when(d.isNull(), F.xxhash64(t)).otherwise(F.xxhash64(d)), F.lit(n)).cast("long").alias("shard"))
-    anchors = x.groupBy("shard").applyInArrow(_anchors(n), "bucket long, shard long, h binary, several binary")
-    shared = anchors.groupBy("bucket").applyInArrow(_shared, "shard long, bucket long, bits binary")
+    anchors = x.groupBy("shard").applyInArrow(_anchors(n), "bucket long, shard long, h binary, several binary, many binary")
+    shared = anchors.groupBy("bucket").applyInArrow(_shared(hot), "shard long, bucket long, bits binary, hot binary")
     sent = x.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send(n), _SENT)
-    answers = sent.groupBy("bucket").applyInArrow(_answer, "shard long, content binary, a binary, b binary, key binary")
+    answers = sent.groupBy("bucket").applyInArrow(_answer, "shard long, content binary, a binary, b binary, key binary, alone binary")
     out = x.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_finish, "d long, n_bytes long, n_removed long, runs array<long>, kept_sha256 string")
     return out.withColumnRenamed("d", key)
 

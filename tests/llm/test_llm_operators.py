@@ -431,6 +431,32 @@ def test_suffix_dedup(spark, docs, rows, tmp_path):
     assert suffix_dedup.repeated_strings(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_a_hot_phrase(spark, monkeypatch):
+    """A phrase that all documents share between different texts: its windows are spread, none of its groups is large."""
+    rng, phrase = random.Random(13), "a phrase that everyone has in common, word for word."
+    rows = [(d, "".join(rng.choice("abcdefghij ") for _ in range(rng.randint(30, 60))) + phrase[: rng.choice([22, 40, 52])] + "".join(rng.choice("abcdefghij ") for _ in range(40))) for d in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = brute_removed(rows)
+    assert sum(k[2] > 0 for k in want) > 300
+    for hot in (3, 10**6):  # hot by the number of shards, and by the segments in one
+        out = suffix_dedup.repeated_strings(df, least_shards=8, hot_shards=hot)
+        assert collected(out.withColumn("n_spans", (F.size("runs") / 2).cast("long")), *cols) == want
+    # the segments that a bucket gets of one anchor
+    shards = [[(d, t) for d, t in rows if d % 8 == k] for k in range(8)]
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "MANY", 16)
+    tables = [pa.table({"d": pa.array([d for d, _ in own]), "t": pa.array([t for _, t in own]), "shard": pa.array([k] * len(own))}) for k, own in enumerate(shards)]
+    anchors = pa.concat_tables([suffix_dedup._anchors(64)(t) for t in tables])
+    asked = pa.concat_tables([suffix_dedup._shared(100)(anchors.filter(pa.compute.equal(anchors["bucket"], b))) for b in sorted(set(anchors["bucket"].to_pylist()))])
+    sent = pa.concat_tables([suffix_dedup._send(64)(t, asked.filter(pa.compute.equal(asked["shard"], k))) for k, t in enumerate(tables)])
+    size = Counter()
+    for b, w in zip(sent["bucket"].to_pylist(), sent["windows"].to_pylist(), strict=True):
+        size[b] += len(w)
+    assert len(size) > 40 and max(size.values()) < 4 * sum(size.values()) / 64
+
+
 def test_quality_classifier(spark):
     """Held-out accuracy, and the linear-time score against the sum over all pairs."""
     rng, rows, labels = random.Random(2), [], []
