@@ -12,8 +12,9 @@ Every distinct unit's ids are checked against the sentencepiece library in the s
 (``verify="texts"``: every whole text); a difference raises.  Decoding is the library's.
 
 Defined cases: a null text counts as empty: only the begin and end ids, decoded to "".  Other columns
-and null keys pass through; repeated rows have equal results; an empty table gives an empty
-result.  Batches are cut to bounded size by bytes, so a long text is a batch of its own.  The
+and null keys pass through, but those with the names of added ones (``ids`` and ``decoded``, or those of the digests)
+are replaced; repeated rows have equal results; an empty table gives an empty
+result; pairs of equal score are merged from the left.  Batches are cut to bounded size by bytes, so a long text is a batch of its own.  The
 model travels to the workers by broadcast (its file is of fixed size), so only the driver reads it.
 """
 
@@ -81,6 +82,7 @@ class Agenda:
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
         self.made = np.array([pairs[k][1] for k in self.keys.tolist()], np.int32)
+        self.pairs = {k: (int(r), i) for k, (r, i) in pairs.items()}
         self.loose = np.array([ord(c) for c in loose], np.int64)
         self.n = n
         self.byte0 = self.sp.piece_to_id("<0x00>")
@@ -142,10 +144,8 @@ class Agenda:
                 before[after[i]] = i
             for x in (before[i], i):
                 y = after[x] if x >= 0 else -1
-                if y >= 0:
-                    r, made_ = self.look(np.array([s[x]]), np.array([s[y]]))
-                    if r[0] != NEVER:
-                        heapq.heappush(heap, (int(r[0]), x, s[x], s[y], int(made_[0])))
+                if y >= 0 and s[x] >= 0 and s[y] >= 0 and (pair := self.pairs.get(s[x] * self.size + s[y])):
+                    heapq.heappush(heap, (pair[0], x, s[x], s[y], pair[1]))
         return np.array([x for x, g in zip(s, gone, strict=True) if not g], np.int32)
 
     def ids(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
