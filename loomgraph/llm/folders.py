@@ -1,4 +1,4 @@
-"""The shared folder for checkpoints: the session's own, else (in tests) a temporary one."""
+"""The shared folder for checkpoints: the session's own, else (in local sessions, as in tests) a temporary one."""
 
 from __future__ import annotations
 
@@ -8,13 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; where it is unset, one of our own."""
+    """The folder that the session names in spark.checkpoint.dir.  Where it is unset, a local session gets one of our
+    own; on a cluster, whose machines share no such folder, that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints_"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints_"))
     return sc.getCheckpointDir()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file, in whatever store it is."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there; its lineage ends."""
     shared(df.sparkSession)
