@@ -7,6 +7,8 @@ match's place in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,11 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def of_kind(kind: int) -> Callable[[Column], Column]:
+    """A test of spans; a function of one argument, since filter() gives functions of two the place as well."""
+    return lambda x: x["kind"] == kind
+
+
 def listed(spans: Column, kinds: list[str]) -> Column:
     """kind:start:end of each span, by start and then by the order of ``kinds``, comma-joined."""
     names = F.array(*[F.lit(k) for k in kinds])
@@ -67,3 +74,11 @@ def ordered(*arrays: Column) -> Column:
     key = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["s"].alias("s"))
     back = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["s"].alias("s"))
     return F.transform(F.sort_array(F.transform(F.concat(*arrays), key)), back)
+
+
+def places_sql(patterns: list[str]) -> str:
+    """CTEs d (doc_id, t) and y (doc_id, t, kind, s, start): all matches of each pattern in the whole texts, by the gaps between them."""
+    rows = ", ".join("(%d, '%s')" % (k, p.replace("'", "''")) for k, p in enumerate(patterns))
+    return f"""d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p(kind, rx) AS (VALUES {rows}),
+x AS (SELECT doc_id, t, kind, i, hits[i] AS s, length(gaps[i]) AS g FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, t, kind, regexp_extract_all(t, rx) AS hits, string_split_regex(t, rx) AS gaps FROM d, p))),
+y AS (SELECT doc_id, t, kind, s, CAST(sum(g + length(s)) OVER (PARTITION BY doc_id, kind ORDER BY i) - length(s) AS BIGINT) AS start FROM x)"""

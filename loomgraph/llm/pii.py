@@ -7,8 +7,8 @@ Base spans are always reported; context only moves their score.
 
 Only DataFrame functions, within the row, no shuffle.  Defined cases: a null or empty text has
 no spans; repeated rows have equal results; null keys pass through; an empty table gives an
-empty result; input columns with the names of added ones are replaced.  Whole texts are
-scanned; the patterns use possessive repeats, so very long runs need neither quadratic time
+empty result; input columns with the names of added ones are replaced.  Ties: spans that start at one place are listed by
+kind and then by end; all are reported.  Whole texts are scanned; the patterns use possessive repeats, so very long runs need neither quadratic time
 nor deep recursion.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .native_spans import SPAN, found, fresh, listed, ordered, packed, unpacked
+from .native_spans import SPAN, found, fresh, listed, of_kind, ordered, packed, places_sql, unpacked
 
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE = 4
@@ -112,7 +112,26 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     docs = docs.withColumn("_base", F.filter("pii", lambda x: x["kind"] < BASE))
-    counts = {f"n_{k}": F.size(F.filter("_base", lambda x, i=i: x["kind"] == i)).cast("long") for i, k in enumerate(KINDS[:BASE])}
+    counts = {f"n_{k}": F.size(F.filter("_base", of_kind(i))).cast("long") for i, k in enumerate(KINDS[:BASE])}
     return docs.select(
         "doc_id", *[c.alias(k) for k, c in counts.items()], F.sha2(listed(F.col("_base"), KINDS), 256).alias("base_sha256"), listed(F.col("pii"), KINDS).alias("spans"), F.coalesce(F.array_max(F.transform("pii", lambda x: x["score"])), F.lit(0.0)).alias("top_score")
     )
+
+
+_KIND = "CASE kind " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(KINDS)) + " END"
+_CONTEXT = "CASE kind " + " ".join(f"WHEN {k} THEN '(?i)(^|[^\\pL\\p{{Nd}}_])({w})'" for k, w in enumerate(CONTEXT)) + " END"
+# an IBAN stands between characters that are no letters or digits: "_", which \b takes for one, is masked (the lengths stay)
+_IBAN = r"\b[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?\b"
+_RX = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([ -]?[0-9])+", r"\+[0-9][ ().0-9-]+[0-9]", _IBAN, "[0-9-]+"]
+ORACLE = f"""WITH {places_sql(_RX).replace("regexp_extract_all(t, rx)", "regexp_extract_all(m, rx)").replace("string_split_regex(t, rx)", "string_split_regex(m, rx)").replace("FROM d, p)", "FROM (SELECT *, CASE WHEN kind = 4 THEN replace(t, '_', '-') ELSE t END AS m FROM d, p))")},
+n AS (SELECT *, start + length(s) AS stop, regexp_replace(s, '[^0-9]', '', 'g') AS n, replace(s, ' ', '') AS c FROM y),
+v AS (SELECT *, CASE kind WHEN 0 THEN true WHEN 1 THEN regexp_full_match(s, '{_PART}(\\.{_PART}){{3}}')
+  WHEN 2 THEN length(n) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(n), i, 1) AS INT) WHEN CAST(substr(reverse(n), i, 1) AS INT) > 4 THEN 2 * CAST(substr(reverse(n), i, 1) AS INT) - 9 ELSE 2 * CAST(substr(reverse(n), i, 1) AS INT) END)) % 10 = 0
+  WHEN 3 THEN length(n) BETWEEN 9 AND 15
+  WHEN 4 THEN list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(substr(c, 5) || substr(c, 1, 4), ''), lambda h: CASE WHEN ascii(h) >= 65 THEN CAST(ascii(h) - 55 AS VARCHAR) ELSE h END), ''), ''), lambda h: TRY_CAST(h AS INT)), lambda a, b: (a * 10 + b) % 97) = 1
+  ELSE regexp_full_match(s, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AND NOT regexp_matches(s, '^(000|666|9)|^....00|0000$') END AS ok FROM n),
+r AS (SELECT *, least(CAST(1 AS DOUBLE), CAST([{", ".join(map(str, SCORES))}][kind + 1] AS DOUBLE) + CASE WHEN regexp_matches(substr(t, greatest(start - {NEAR}, 0) + 1, least(start, {NEAR})), {_CONTEXT}) THEN CAST({BOOST} AS DOUBLE) ELSE 0 END) AS score FROM v WHERE ok),
+a AS (SELECT doc_id, kind, start, stop, score, {_KIND} || ':' || start || ':' || stop AS x FROM r WHERE kind < {BASE} OR score >= {THRESHOLD}),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{KINDS[k]}" for k in range(BASE))}, string_agg(x, ',' ORDER BY start, kind, stop) FILTER (WHERE kind < {BASE}) AS b, string_agg(x, ',' ORDER BY start, kind, stop) AS spans, max(score) AS top_score FROM a GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"CAST(coalesce(n_{KINDS[k]}, 0) AS BIGINT) AS n_{KINDS[k]}" for k in range(BASE))}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(top_score, CAST(0 AS DOUBLE)) AS top_score FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""

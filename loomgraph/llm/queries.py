@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.ORACLE, "op3_near_dup": near_dup.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op7_suffix_dedup": suffix_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
+    return {"op1_license_scan": license_scan.ORACLE, "op2_secrets": secrets_scan.oracle(), "op8_pii": pii.ORACLE, "op3_near_dup": near_dup.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op7_suffix_dedup": suffix_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE}

@@ -9,17 +9,21 @@ Both models are trained from labelled samples (``samples`` or a caller's own tab
 Only DataFrame functions, within the row, no shuffle; the trained table has at most 70 x 70
 entries whatever the input.  Defined cases: a null or empty text has no spans; repeated rows have
 equal results; null keys pass through; an empty table gives an empty result; input columns with
-the names of added ones are replaced.
+the names of added ones are replaced.  Ties: spans that start at one place are listed by kind.  Very long
+texts and runs take time in proportion to their length: the patterns' repeats are possessive.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .native_spans import found, listed, ordered, packed, unpacked
+from .native_spans import found, listed, of_kind, ordered, packed, places_sql, unpacked
 
 KINDS = ["assign", "access", "hex", "markov"]
 BASE = 3
@@ -68,15 +72,18 @@ def trained(samples: DataFrame) -> Column:
     s = samples.select("random", chars.alias("c"))
     pairs = s.select("random", F.explode(F.transform("c", lambda c, i: F.when(F.get("c", i + 1).isNotNull(), F.instr(F.lit(ALPHABET), c) * WIDTH + F.instr(F.lit(ALPHABET), F.get("c", i + 1))))).alias("p"))
     counts = pairs.where("p is not null").groupBy("p").agg(F.count_if("random").alias("r"), F.count_if(~F.col("random")).alias("o"))
-    table = [(0.0, 0.0)] * (WIDTH * WIDTH)
-    for row in counts.collect():  # at most WIDTH * WIDTH rows
-        table[row["p"]] = (row["r"], row["o"])
+    found = {row["p"]: (row["r"], row["o"]) for row in counts.collect()}  # at most WIDTH * WIDTH rows
+    return F.split(F.lit(",".join(ratios(found))), ",").cast("array<double>")
+
+
+def ratios(counts: dict[int, tuple[int, int]]) -> list[str]:
+    """log P(next | char) of random strings over that of identifiers, for all pairs, from (random, ordinary) counts by pair."""
     values = []
     for a in range(WIDTH):
-        own = table[a * WIDTH : (a + 1) * WIDTH]
+        own = [counts.get(a * WIDTH + b, (0, 0)) for b in range(WIDTH)]
         sums = [sum(x[k] for x in own) for k in (0, 1)]
         values += [math.log((r + 0.5) / (sums[0] + 0.5 * WIDTH)) - math.log((o + 0.5) / (sums[1] + 0.5 * WIDTH)) for r, o in own]
-    return F.split(F.lit(",".join(f"{v:.4f}" for v in values)), ",").cast("array<double>")
+    return [f"{v:.4f}" for v in values]
 
 
 def llr(s: Column, table: Column) -> Column:
@@ -106,5 +113,45 @@ def with_spans(df: DataFrame, text: str = "text", into: str = "secrets", model:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     docs = docs.withColumn("_base", F.filter("secrets", lambda x: x["kind"] < BASE))
-    counts = {f"n_{k}": F.size(F.filter("_base", lambda x, i=i: x["kind"] == i)).cast("long") for i, k in enumerate(KINDS[:BASE])}
+    counts = {f"n_{k}": F.size(F.filter("_base", of_kind(i))).cast("long") for i, k in enumerate(KINDS[:BASE])}
     return docs.select("doc_id", *[c.alias(k) for k, c in counts.items()], F.sha2(listed(F.col("_base"), KINDS), 256).alias("base_sha256"), listed(F.col("secrets"), KINDS).alias("spans"))
+
+
+def plain_samples(n: int = 4000) -> list[tuple[str, bool]]:
+    """``samples`` restated without Spark, for the SQL."""
+    import xxhash
+
+    def pick(i: int, k: int) -> str:
+        first = xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)
+        h = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), first)
+        return PARTS[(h - (1 << 64) if h >> 63 else h) % len(PARTS)]
+
+    out = []
+    for i in range(n):
+        raw = hashlib.sha256(str(i).encode()).hexdigest()
+        out.append((base64.b64encode(bytes.fromhex(raw)).decode() if i % 2 == 0 else raw, True))
+        a, b, c = (pick(i, k) for k in (1, 2, 3))
+        plain = [f"{a}_{b}_{c}", a + b.capitalize() + c.capitalize(), f"{a}-{b}-{c}", f"{a}_{b}".upper()][i % 4]
+        out.append((plain + [f"_{i % 97}", f"-v{i % 10}", ""][i % 3], False))
+    return out
+
+
+def oracle() -> str:
+    """The query in SQL; the trained table is a constant there."""
+    counts: Counter[tuple[int, bool]] = Counter()
+    for s, random in plain_samples():
+        code = [ALPHABET.find(c) + 1 for c in s]
+        counts.update((a * WIDTH + b, random) for a, b in zip(code[:-1], code[1:], strict=True))
+    table = ", ".join(ratios({p: (counts[p, True], counts[p, False]) for p, _ in counts}))
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)"""
+    names = "CASE kind " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(KINDS)) + " END"
+    quoted = assign.replace("'", "''")
+    return f"""WITH {places_sql([assign, "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_=-]+"])},
+tab AS (SELECT CAST([{table}] AS DOUBLE[]) AS v),
+n AS (SELECT *, start + length(s) AS stop FROM y WHERE CASE kind WHEN 0 THEN length(regexp_extract(s, '{quoted}', 1)) >= 8 WHEN 1 THEN length(s) >= 16 WHEN 2 THEN length(s) >= 32 ELSE length(s) >= 20 AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') END),
+m AS (SELECT n.*, list_sum(list_transform(range(1, length(s)), lambda i: v[instr('{ALPHABET}', substr(s, i, 1)) * {WIDTH} + instr('{ALPHABET}', substr(s, i + 1, 1)) + 1])) / (length(s) - 1) AS llr FROM n, tab
+  WHERE kind = {BASE} AND NOT EXISTS (SELECT 1 FROM n b WHERE b.doc_id = n.doc_id AND b.kind < {BASE} AND b.start < n.stop AND n.start < b.stop)),
+a AS (SELECT doc_id, kind, start, {names} || ':' || start || ':' || stop AS x FROM (SELECT doc_id, kind, start, stop FROM n WHERE kind < {BASE} UNION ALL SELECT doc_id, kind, start, stop FROM m WHERE llr >= {PER_CHAR})),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{KINDS[k]}" for k in range(BASE))}, string_agg(x, ',' ORDER BY start, kind) FILTER (WHERE kind < {BASE}) AS b, string_agg(x, ',' ORDER BY start, kind) AS spans FROM a GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"CAST(coalesce(n_{KINDS[k]}, 0) AS BIGINT) AS n_{KINDS[k]}" for k in range(BASE))}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
