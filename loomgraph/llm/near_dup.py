@@ -52,8 +52,10 @@ MOST_FAR = 58
 TILE = 4096
 SET_TILE = 512
 PIVOTS = 4
+#: A canopy's members are dealt into so many parts at least.
+LEAST_SALTS = 16
 #: Places (about 80 bytes each) that are broadcast to the texts; more are joined.
-FEW_PLACES = 100_000
+FEW_PLACES = 1 << 15
 #: A pair is linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -365,7 +367,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     reps = checkpointed(some.groupBy("f1", "f2", "n").agg(F.min(F.struct("d", "sig")).alias("m")).select("f1", "f2", "n", F.col("m.d").alias("rep"), F.col("m.sig").alias("sig")))
     canopies = checkpointed(candidates(reps))
     texts = docs.select(F.col(key).cast("long").alias("x"), F.col(text).alias("t"))
-    parts = salts(canopies.count())
+    parts = max(LEAST_SALTS, salts(canopies.count()))
     star = star_links(texts, canopies, parts)
     found = spark.createDataFrame([], "a long, b long") if star is None else checkpointed(star)
     rest = None if star is None else rest_links(texts, canopies, components(found), parts)
