@@ -11,12 +11,13 @@
    the key's smallest member form a canopy named by it; a member that is not near it joins
    the canopy together with each partner it is near.  Every near pair is thus in a canopy.
    Keys with more than TILE members are cut into tiles and compared tile by tile.
-4. The texts of canopy members, and only these, are read again.  First every member is confirmed on the full
-   sets against its canopy's pivots: the smallest member, and PIVOTS more in a canopy of several
-   tiles.  So a group of copies of one text costs a star, not all its pairs.  Members that are now
-   in the component of their canopy's smallest member need not be compared with each other;
-   all others meet every member of their canopy in tiles of at most SET_TILE sets a side.  No link
-   between different components is lost, and no group is expanded into rows of pairs.
+4. The texts of canopy members, and only these, are read again.  A canopy of at most SET_TILE members is one
+   group: if all are confirmed on the full sets against its smallest member, that is its star of links, else
+   all its pairs are compared.  The members of a larger canopy are first confirmed, in tiles, against its
+   smallest member and PIVOTS more, so that a group of copies of one text costs a star.  Those that are
+   then in the component of the smallest member need not be compared with each other; all others
+   meet every member of their canopy in pairs of tiles.  No link between different components is
+   lost, and no group is expanded into rows of pairs.
 5. Components are found by contraction (components.py).
 
 A group of n different near copies none of which is 0.75 similar to a pivot still costs n * n / SET_TILE sets.
@@ -50,8 +51,9 @@ INDEXED = 64
 CHUNKS = 18
 MOST_FAR = 58
 TILE = 4096
-SET_TILE = 512
+SET_TILE = 256
 PIVOTS = 4
+WHOLE = -1
 #: A canopy's members are dealt into so many parts at least.
 LEAST_SALTS = 16
 #: Places (about 80 bytes each) that are broadcast to the texts; more are joined.
@@ -203,13 +205,15 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _groups(p: dict, doc: int) -> Iterator[tuple[int, int, bool]]:
     """The groups (i, j) of one place, and whether the document is what the group's others are compared with.
 
-    A place of a star (``left`` is -1): pivot k meets the members in tiles (k, tile).  Else: tiles 0 .. left - 1
+    A place of a star (``left`` is -1): pivot k meets the members in tiles (k, tile); a canopy of one tile is group WHOLE.  Else: tiles 0 .. left - 1
     hold the members that are left over, tiles left .. tiles - 1 the settled ones; only pairs of tiles with a left-over one meet.
     """
     own, tiles, left = p["tile"], p["tiles"], p["left"]
     if left < 0:
         for k, pivot in enumerate(p["pivots"]):
-            if pivot == doc:
+            if tiles == 1:
+                yield WHOLE, 0, pivot == doc
+            elif pivot == doc:
                 for i in range(tiles):
                     yield k, i, True
             else:
@@ -223,22 +227,38 @@ def _groups(p: dict, doc: int) -> Iterator[tuple[int, int, bool]]:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of each group's pivot with the others, rows sorted by group and with the pivot's sets in front."""
-    group, pivot, leads = None, None, []
+    """Links (a, b), rows sorted by group and with the pivot's sets in front: those of each pivot with the others of its
+    tile; of a WHOLE canopy a spanning forest of all its links."""
+    group, pivot, leads, held, star = None, None, [], [], True
     for b in batches:
-        left, right = [], []
+        links: list[tuple[int, int]] = []
         cols = [b.column(k).to_pylist() for k in range(5)]
         for c, i, j, later, x, s in zip(*cols, b.column(5), strict=True):
             own = np.frombuffer(s.as_py(), np.uint64)
             if group != (c, i, j):
-                group, pivot, leads = (c, i, j), None, []
+                links += _whole(held, star)
+                group, pivot, leads, held, star = (c, i, j), None, [], [], True
+            near = False
             if not later:  # a key with several texts has several sets
                 pivot = x
                 leads.append(own)
             elif any(_similar(lead, own) for lead in leads):
-                left.append(pivot)
-                right.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                near = True
+                links.append((pivot, x))
+            if i == WHOLE:
+                star &= near or not later
+                held.append((x, own))
+        yield _link_batch(links)
+    yield _link_batch(_whole(held, star))
+
+
+def _whole(held: list[tuple[int, np.ndarray]], star: bool) -> list[tuple[int, int]]:
+    """The links of a canopy's sets, unless they are a star, whose links are known."""
+    return [] if star else [(held[p][0], held[q][0]) for p, q in forest([s for _, s in held])]
+
+
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -341,14 +361,14 @@ def star_links(docs: DataFrame, canopies: DataFrame, parts: int) -> DataFrame |
 
 
 def rest_links(docs: DataFrame, canopies: DataFrame, component: DataFrame, parts: int) -> DataFrame | None:
-    """Links of the members that are not in the component of their canopy's smallest member, with all others of the canopy;
-    None if there are no such members."""
+    """Links of the members of canopies of several tiles that are not in the component of their canopy's smallest member,
+    with all others of the canopy; None if there are no such members."""
     comp = component.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     own = canopies.join(comp, F.col("x") == F.col("_n"), "left").select("c", "x", F.coalesce("_c", "x").alias("k"))
     heads = own.groupBy("c").agg(F.min(F.struct("x", "k")).alias("h"))
     # the smallest member has met all others
     own = dealt_join(own, heads, ["c"], parts).where("x <> h.x").withColumn("settled", F.col("k") == F.col("h.k"))
-    sizes = own.groupBy("c").agg(F.count_if(~F.col("settled")).alias("free"), F.count("*").alias("n")).where("free > 0 and n > 1")
+    sizes = own.groupBy("c").agg(F.count_if(~F.col("settled")).alias("free"), F.count("*").alias("n")).where(f"free > 0 and n >= {SET_TILE}")  # smaller ones have been compared whole
     sizes = sizes.select("c", _tile(F.col("free")).alias("left"), (_tile(F.col("free")) + _tile(F.col("n") - F.col("free"))).alias("tiles"))
     dealt = dealt_join(own.select("c", "x", "settled"), sizes, ["c"], parts)
     at = F.xxhash64("x")
@@ -370,7 +390,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     parts = max(LEAST_SALTS, salts(canopies.count()))
     star = star_links(texts, canopies, parts)
     found = spark.createDataFrame([], "a long, b long") if star is None else checkpointed(star)
-    rest = None if star is None else rest_links(texts, canopies, components(found), parts)
+    largest = canopies.groupBy("c").count().agg(F.max("count")).first()[0] or 0
+    rest = rest_links(texts, canopies, components(found), parts) if largest > SET_TILE else None
     if rest is not None:
         found = found.unionByName(rest)
     # rows that share a key are one document: its classes are linked
