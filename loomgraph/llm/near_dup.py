@@ -56,7 +56,7 @@ PIVOTS = 4
 WHOLE = -1
 #: A canopy's members are dealt into so many parts at least.
 LEAST_SALTS = 16
-#: Places (about 80 bytes each) that are broadcast to the texts; more are joined.
+#: Places (about 80 bytes each) of the second round, of large canopies alone, that are broadcast to the texts; more are joined.
 FEW_PLACES = 1 << 15
 #: A pair is linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -334,12 +334,13 @@ def candidates(reps: DataFrame) -> DataFrame:
 _PLACE = "struct<c:bigint,tile:int,tiles:int,left:int,pivots:array<bigint>>"
 
 
-def _read_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(c, i, j, later, x, s): the sets of the texts at their places; docs (x, t), places (x, place)."""
+def _read_sets(docs: DataFrame, places: DataFrame, few: int = 0) -> DataFrame | None:
+    """(c, i, j, later, x, s): the sets of the texts at their places; docs (x, t), places (x, place), which are broadcast if
+    they are no more than ``few``; None if there are none."""
     places = checkpointed(places)
     n = places.count()
     by = places.groupBy("x").agg(F.collect_list("place").alias("places"))
-    if n <= FEW_PLACES:
+    if n <= few:
         by = F.broadcast(by)
     return docs.join(by, "x").mapInArrow(_dealt, "c long, i int, j int, later boolean, x long, s binary") if n else None
 
@@ -374,7 +375,7 @@ def rest_links(docs: DataFrame, canopies: DataFrame, component: DataFrame, parts
     at = F.xxhash64("x")
     tile = F.when(F.col("settled"), F.col("left") + F.pmod(at, F.greatest(F.col("tiles") - F.col("left"), F.lit(1)))).otherwise(F.pmod(at, "left"))
     place = F.struct("c", tile.cast("int").alias("tile"), "tiles", "left", F.array().cast("array<bigint>").alias("pivots")).cast(_PLACE)
-    sets = _read_sets(docs, dealt.select("x", place.alias("place")))
+    sets = _read_sets(docs, dealt.select("x", place.alias("place")), FEW_PLACES)
     return sets.select("c", "i", "j", "x", "s").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "x").mapInArrow(_links, "a long, b long") if sets else None
 
 
@@ -412,13 +413,14 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """
     name = fresh(docs, "_kept")
     kept = near_duplicates(docs, text, key).where(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias(name)).distinct()
-    own = [F.col(f"`{c}`") for c in docs.columns]
     plain = lambda f: not any(k in f.dataType.simpleString() for k in ("map<", "variant", "interval"))
-    rest = [F.col(f"`{f.name}`") if plain(f) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema.fields if f.name not in (text, key)]
-    order = F.struct(F.col(f"`{text}`").alias("t"), *[c.alias(f"r{k}") for k, c in enumerate(rest)])
+    fields = sorted((f for f in docs.schema.fields if f.name != key), key=lambda f: (f.name != text, not plain(f)))
+    rest = [F.col(f"`{f.name}`") if plain(f) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in fields]
+    row, order = F.struct(*[F.col(f"`{f.name}`") for f in fields]), F.struct(*[c.alias(f"r{k}") for k, c in enumerate(rest)])
+    first = F.min(row) if all(plain(f) for f in fields) else F.min_by(row, order)
     # reduced before the shuffle, so that a key with very many rows is one row a task
-    one = docs.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias(name)).agg(F.min_by(F.struct(*own), order).alias("row"))
-    one = one.join(kept, name, "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    one = docs.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias(name)).agg(first.alias("row"))
+    one = one.join(kept, name, "left_semi").select(*[F.col(name).alias(c) if c == key else F.col("row")[c].alias(c) for c in docs.columns])
     return one.unionByName(docs.where(F.col(f"`{key}`").isNull()))
 
 
