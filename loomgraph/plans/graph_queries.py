@@ -279,9 +279,9 @@ def relation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", T.sentence(kind, node_id("part ", "l_partkey"), node_id("supplier ", "l_suppkey")).alias("sentence"))
 
 
-@query("name_lists", "WITH g AS (SELECT n_regionkey, list(n_name ORDER BY n_name) AS l FROM nation WHERE n_nationkey < 12 GROUP BY n_regionkey) SELECT n_regionkey, CASE WHEN len(l) = 1 THEN l[1] WHEN len(l) = 2 THEN l[1] || ' and ' || l[2] ELSE array_to_string(l[1:len(l) - 1], ', ') || ', and ' || l[len(l)] END AS names FROM g")
+@query("name_lists", "WITH g AS (SELECT n_regionkey, list(n_name ORDER BY n_name) AS l FROM nation GROUP BY n_regionkey) SELECT n_regionkey, CASE WHEN len(l) = 1 THEN l[1] WHEN len(l) = 2 THEN l[1] || ' and ' || l[2] ELSE array_to_string(l[1:len(l) - 1], ', ') || ', and ' || l[len(l)] END AS names FROM g")
 def name_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").where("n_nationkey < 12").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("l")).select("n_regionkey", T.join_names(F.col("l")).alias("names"))
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("l")).select("n_regionkey", T.join_names(F.col("l")).alias("names"))
 
 
 @query(
