@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Fixed value: the error of a chunk whose document is not known.
+UNKNOWN_DOCUMENT = "Chunk references unknown document_id: "
+
 
 def outcomes(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, outcome): tp, fp or fn for each distinct key of either side, by one full outer join."""
@@ -63,10 +66,10 @@ def path_complete(evidence: DataFrame, hops: DataFrame) -> DataFrame:
     return out.select("q", hit.alias("path_complete"))
 
 
-def coverage(expected: DataFrame, observed: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def coverage(expected: DataFrame, observed: DataFrame, aliases: DataFrame | None = None, widen_observed: bool = True) -> DataFrame:
     """(q, hits, total, coverage): expected (q, item) found among observed (q, item), names or any of their aliases equal.
 
-    ``aliases``: (g, item), the groups of names that count as one.
+    ``aliases``: (g, item), the groups of names that count as one; ``widen_observed``: for the observed names too.
     """
     e = expected.select("q", T.light(F.col("item")).alias("item")).where("item <> ''")
     o = observed.select("q", T.light(F.col("item")).alias("item")).where("item <> ''").distinct()
@@ -79,7 +82,7 @@ def coverage(expected: DataFrame, observed: DataFrame, aliases: DataFrame | None
         return rows.select(*keep, F.col("item").alias("v")).unionByName(other).distinct()
 
     e = e.groupBy("q", "item").agg(F.count("*").alias("times"))
-    hit = widened(e, ["q", "item"]).join(widened(o, ["q"]).select(F.col("q").alias("_q"), F.col("v").alias("_v")), (F.col("q") == F.col("_q")) & (F.col("v") == F.col("_v"))).select("q", "item").distinct().withColumn("hit", F.lit(1))
+    hit = widened(e, ["q", "item"]).join((widened(o, ["q"]) if widen_observed else o.withColumnRenamed("item", "v")).select(F.col("q").alias("_q"), F.col("v").alias("_v")), (F.col("q") == F.col("_q")) & (F.col("v") == F.col("_v"))).select("q", "item").distinct().withColumn("hit", F.lit(1))
     return e.join(hit, ["q", "item"], "left").groupBy("q").agg(F.sum(F.col("times") * F.coalesce("hit", F.lit(0))).alias("hits"), F.sum("times").alias("total")).withColumn("coverage", F.round(F.col("hits") / F.col("total"), 6))
 
 
@@ -165,3 +168,24 @@ def assembled(documents: DataFrame, chunks: DataFrame, key: str = "doc") -> Data
     """One nested row per document with its chunks in order."""
     each = chunks.groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_list(F.struct(*[c for c in chunks.columns if c != key]))).alias("chunks"))
     return documents.join(each, F.col(key) == F.col("_k"), "left").drop("_k")
+
+
+def chunk_results(chunks: DataFrame, documents: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(chunk_id, document_id, pmcid, status, entity_count, relationship_count, rejected_candidate_count, model_call_count, error).
+
+    Chunks (chunk_id, document_id, pmcid) with the outcome of their extraction (chunk_id, the four counts, error): a chunk of an
+    unknown document is an error and has no ids but its own; one that was not extracted yet is pending; counts are those of "ok" alone.
+    """
+    known = documents.select(F.col("document_id").alias("_d")).distinct()
+    counts = ["entity_count", "relationship_count", "rejected_candidate_count", "model_call_count"]
+    own = extracted.select(F.col("chunk_id").alias("_c"), *[F.col(c).cast("long").alias(c) for c in counts], F.coalesce("error", F.lit("")).alias("_e"))
+    rows = chunks.select("chunk_id", "document_id", "pmcid").join(known, F.col("document_id") == F.col("_d"), "left").join(own, F.col("chunk_id") == F.col("_c"), "left")
+    lost = F.col("_d").isNull()
+    status = F.when(lost, "error").when(F.col("_c").isNull(), "pending").when(F.col("_e") != "", "error").otherwise("ok")
+    error = F.when(lost, F.concat(F.lit(UNKNOWN_DOCUMENT), F.coalesce("document_id", F.lit("")))).otherwise(F.coalesce("_e", F.lit("")))
+    return rows.select("chunk_id", *[F.when(~lost, F.col(c)).alias(c) for c in ("document_id", "pmcid")], status.alias("status"), *[F.when(status == "ok", F.col(c)).alias(c) for c in counts], error.alias("error"))
+
+
+def result_counts(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(chunk_count, success_count, error_count) of results with a status, per bucket if asked for."""
+    return results.groupBy(*(by or [])).agg(F.count("*").alias("chunk_count"), F.count_if(F.col("status") == "ok").alias("success_count"), F.count_if(F.col("status") == "error").alias("error_count"))

@@ -175,6 +175,27 @@ def top_paths(paths: DataFrame, n: int) -> DataFrame:
     return paths.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
 
 
+def evidence_rows(records: DataFrame, record: str = "record") -> DataFrame:
+    """Evidence from loose records (a map of texts): missing text is "", a number that is none its default, an edge without an id gets
+    one from its ends, type and chunk.  Columns but the record stay."""
+    text = lambda k: F.coalesce(F.element_at(record, k), F.lit(""))
+    number = lambda k, kind: F.trim(F.element_at(record, k)).try_cast(kind)
+    made = T.key_of("evidence:", text("sourceName"), text("relationshipType"), text("targetName"), text("chunkId"))
+    plain = {"source_name": "sourceName", "relationship_type": "relationshipType", "target_name": "targetName", "evidence_text": "evidenceText", "source_pmcid": "sourcePmcid", "source_pmid": "sourcePmid", "chunk_id": "chunkId", "document_id": "documentId", "document_title": "documentTitle", "path_id": "pathId", "source_url": "sourceUrl", "graph_run_id": "graphRunId"}
+    return records.select(
+        *[c for c in records.columns if c != record], F.coalesce(F.nullif(text("relationshipId"), F.lit("")), made).alias("id"), *[text(k).alias(n) for n, k in plain.items()],
+        number("confidence", "double").alias("confidence"), F.coalesce(number("pathStep", "int"), F.lit(1)).alias("path_step"), F.coalesce(number("pathLength", "int"), F.lit(1)).alias("path_length"),
+        F.coalesce(number("matchScore", "double"), F.lit(0.0)).alias("match_score"), F.coalesce(F.nullif(text("evidenceKind"), F.lit("")), F.lit("graph")).alias("evidence_kind"),
+    )
+
+
+def edge_records(edges: DataFrame, props: str = "props", keep: list[str] | None = None) -> DataFrame:
+    """(record, and the columns to keep): edges (id, type, src_name, dst_name, props) as loose records; the evidence is the first of three properties that is set."""
+    p = lambda *names: F.coalesce(*[F.element_at(props, n) for n in names], F.lit(""))
+    named = {"relationshipId": F.coalesce(F.element_at(props, "id"), F.col("id")), "sourceName": F.coalesce("src_name", F.lit("")), "relationshipType": F.col("type"), "targetName": F.coalesce("dst_name", F.lit("")), "evidenceText": p("evidence", "evidence_text", "evidenceText"), "confidence": F.element_at(props, "confidence"), "sourcePmcid": p("source_pmcid"), "sourcePmid": p("source_pmid"), "chunkId": p("chunk_id"), "graphRunId": p("graph_run_id")}
+    return edges.select(*(keep or []), F.create_map(*[x for k, v in named.items() for x in (F.lit(k), v)]).alias("record"))
+
+
 def budgets(limit: int) -> tuple[int, int]:
     """Evidence for definitions (a third, three at most) and for the graph."""
     d = max(0, min(3, limit // 3))
