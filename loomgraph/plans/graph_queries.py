@@ -238,12 +238,48 @@ def top_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_paths(_scored(spark, sf_dir, False), 12).select("q", F.get("rels", F.lit(0)).alias("rel"), "score", "rank")
 
 
-@query("packed_evidence")
+_RELATED = " OR ".join("type = '" + t + "' AND (" + " OR ".join(f"contains(n, '{c}')" for c in cues) + ")" for t, cues in dims.RELEVANCE_CUES.items())
+_LIPIDS = " OR ".join(f"contains(n, '{c}')" for c in dims.LIPID_CUES)
+#: One- and two-step paths with their scores and order; then the greedy choice, a path a round.
+_PATHS_SQL = f"""WITH RECURSIVE {GRAPH_SQL}, {_ANCHORS_SQL}, np AS (SELECT id FROM nodes WHERE label <> 'Paper'),
+path AS (SELECT a.q, [p.id] AS rels FROM anchor a JOIN want ON want.q = a.q JOIN plain p ON (p.src = a.id OR p.dst = a.id) AND (len(types) = 0 OR list_contains(types, p.type))
+  UNION SELECT a.q, [f.id, g.id] FROM anchor a JOIN want ON want.q = a.q AND wants_path JOIN sym f ON f.u = a.id JOIN sym g ON g.u = f.v WHERE f.id <> g.id AND g.v <> a.id AND f.v IN (SELECT id FROM np) AND g.v IN (SELECT id FROM np) AND (len(types) = 0 OR list_contains(types, f.type) OR list_contains(types, g.type))),
+told AS (SELECT term.q, n, list(t) AS ts, least(count(*), 6) AS k FROM term JOIN qn ON qn.q = term.q GROUP BY term.q, n),
+fact AS (SELECT *, least(1.0, len(list_filter(ts, lambda t: contains(said, t))) / k) AS ov, CASE WHEN {_RELATED} THEN 1.0 ELSE 0.0 END AS rel FROM (
+  SELECT d.q, d.edge, p.type, coalesce(p.confidence, 0) AS c, {_PLAIN.format("s.name || ' ' || t.name")} AS ends, {_PLAIN.format("s.name || ' ' || t.name || ' ' || p.type")} AS said, s.label = 'Drug' OR t.label = 'Drug' AS drug, told.n, ts, k
+  FROM (SELECT DISTINCT q, unnest(rels) AS edge FROM path) d JOIN plain p ON p.id = d.edge JOIN nodes s ON s.id = p.src JOIN nodes t ON t.id = p.dst JOIN told ON told.q = d.q)),
+scores AS (SELECT x.q, x.rels, greatest(a.c, b.c) AS best, round(0.20 * least(1.0, len(list_filter(a.ts, lambda t: contains(concat_ws(' ', a.ends, b.ends), t))) / a.k) + 0.30 + 0.25 * greatest(a.ov, b.ov) + 0.15 * greatest(a.rel, b.rel)
+  + 0.15 * CASE WHEN a.lipids AND a.type = 'ASSOCIATED_WITH' AND coalesce(b.type, a.type) = a.type THEN -0.5 ELSE 0.0 END + 0.10 * least(a.c, b.c) + CASE WHEN b.q IS NULL THEN 0.03 ELSE 0.08 END + CASE WHEN b.q IS NULL OR NOT contains(a.n, 'drug') THEN 0.0 WHEN a.drug OR b.drug THEN 0.25 ELSE -0.10 END, 6) AS score
+  FROM path x JOIN (SELECT *, {_LIPIDS} AS lipids FROM fact) a ON a.q = x.q AND a.edge = x.rels[1] LEFT JOIN fact b ON b.q = x.q AND b.edge = x.rels[2]),
+rk AS (SELECT q, rels, score, 'path:' || sha1(array_to_string(rels, '|')) AS path_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, best DESC, len(rels), 'path:' || sha1(array_to_string(rels, '|'))) AS r FROM scores),
+pk AS (SELECT DISTINCT q, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS used, 0 AS m FROM rk
+  UNION ALL SELECT q, r, used, m FROM (SELECT pk.q, rk.r, list_concat(pk.used, rk.rels) AS used, pk.m + 1 AS m, row_number() OVER (PARTITION BY pk.q ORDER BY rk.r) AS o FROM pk JOIN rk ON rk.q = pk.q AND rk.r > pk.r AND NOT list_has_any(pk.used, rk.rels) AND len(pk.used) + len(rk.rels) <= 9) WHERE o = 1),
+chosen AS (SELECT rk.q, path_id, rels, score, m AS rank FROM pk JOIN rk ON rk.q = pk.q AND rk.r = pk.r WHERE m > 0)
+"""
+
+
+@query("all_path_scores", _PATHS_SQL + "SELECT q, len(rels) AS length, score, count(*) AS n FROM scores GROUP BY q, len(rels), score")
+def all_path_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, True).groupBy("q", "length", "score").agg(F.count("*").alias("n"))
+
+
+@query("packed_evidence", _PATHS_SQL + "SELECT q, path_id, array_to_string(rels, '|') AS rels, len(rels) AS length, score, rank FROM chosen")
 def packed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.packed(_scored(spark, sf_dir, True), R.budgets(12)[1]).select("q", "path_id", F.array_join("rels", "|").alias("rels"), "length", "score", "rank")
 
 
-@query("answers")
+_TOLD = "CASE " + " ".join("WHEN type IN (" + ", ".join(f"'{x}'" for x in types) + ") THEN " + f"replace(replace(replace('{text}', '{{s}}', s), '{{t}}', t), '{{r}}', type)" for types, text in dims.SENTENCES[:-1])
+_TOLD += f" ELSE replace(replace(replace('{dims.SENTENCES[-1][1]}', '{{s}}', s), '{{t}}', t), '{{r}}', type) END"
+
+
+@query(
+    "answers",
+    _PATHS_SQL
+    + f""", step AS (SELECT q, rank * 10 + i AS pos, rels[i] AS edge FROM chosen, (VALUES (1), (2)) v(i) WHERE i <= len(rels)),
+ev AS (SELECT step.q, pos, p.type, s.name AS s, t.name AS t, p.confidence FROM step JOIN plain p ON p.id = edge JOIN nodes s ON s.id = p.src JOIN nodes t ON t.id = p.dst),
+one AS (SELECT *, row_number() OVER (PARTITION BY q, {_PLAIN.format("s")}, type, {_PLAIN.format("t")} ORDER BY pos) AS o FROM ev)
+SELECT questions.q, coalesce(string_agg({_TOLD}, ' ' ORDER BY pos), '{dims.ABSTAINED}') AS answer, CASE WHEN count(pos) = 0 THEN 'abstained' ELSE 'summary' END AS mode, coalesce(min(confidence), 0.0) AS confidence, count(pos) = 0 AS abstained FROM questions LEFT JOIN one ON one.q = questions.q AND o = 1 GROUP BY questions.q""",
+)
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions answered from their packed paths, without a model."""
     e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
