@@ -88,10 +88,11 @@ LIPID_CUES = ["lipid", "biomarker", "cholesterol", "triglyceride", "drug"]
 DEFINITION_CUES = ["what is", "define", "definition", "meaning"]
 
 #: Words that never start a graph search.
-STOP_TERMS = (
-    "and associated biomarker biomarkers condition connect connected connects cholesterol cure cures definition does drug graph hop path relationship relationships reduce reduces "
-    "retrieved risk the through lipid treatment using what which with"
-).split() + ["what condition is hypertriglyceridemia associated with"]
+STOP_TERMS = [
+    "and", "associated", "biomarker", "biomarkers", "condition", "connect", "connected", "connects", "cholesterol", "cure", "cures", "definition",
+    "does", "drug", "graph", "hop", "path", "relationship", "relationships", "reduce", "reduces", "retrieved", "risk", "the", "through", "lipid",
+    "treatment", "using", "what", "which", "with", "what condition is hypertriglyceridemia associated with",
+]
 #: Words that do not count when a fact is compared by its words.
 FACT_STOPWORDS = ["a", "an", "and", "are", "as", "is", "may", "of", "the", "to", "with"]
 

@@ -57,8 +57,10 @@ def prune(runs: DataFrame, pattern: str | None = None, incomplete: bool = False,
     if profile is not None:
         test = test & (F.col("profile") == profile)
     safe = F.col("pinned") | F.col("active")
-    cand = runs.where(test & ~safe).withColumn("_r", F.row_number().over(W.orderBy(F.desc("created"), "run")))
-    return cand.select("run", F.when(F.col("_r") <= keep_latest, "protected").otherwise("selected").alias("action")).unionByName(runs.where(test & safe).select("run", F.lit("protected").alias("action")))
+    cand = runs.where(test & ~safe)
+    latest = cand.orderBy(F.desc("created"), "run").limit(max(keep_latest, 0)).select(F.col("run").alias("_kept"))
+    cand = cand.join(latest, F.col("run") == F.col("_kept"), "left")
+    return cand.select("run", F.when(F.col("_kept").isNotNull(), "protected").otherwise("selected").alias("action")).unionByName(runs.where(test & safe).select("run", F.lit("protected").alias("action")))
 
 
 def report(title: str, row: dict) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..functions.order import numbered
 
 PASSAGES = "array<struct<infons:map<string,string>,offset:int,text:string>>"
 
@@ -45,15 +46,15 @@ def distinct_ids(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """(id, pos): normal ids, each once at its first place; an id that is none, or a negative limit, raises."""
     if limit is not None and limit < 0:
         raise ValueError("the limit must not be negative")
-    each = rows.select("pos", T.paper_id(F.col("value")).alias("id")).groupBy("id").agg(F.min("pos").alias("first")).orderBy("first")
-    each = each.limit(limit) if limit is not None else each
-    return each.select("id", F.row_number().over(W.orderBy("first")).alias("pos"))
+    each = rows.select("pos", T.paper_id(F.col("value")).alias("id")).groupBy("id").agg(F.min("pos").alias("first"))
+    each = each.orderBy("first").limit(limit) if limit is not None else each
+    return numbered(each, F.col("first"), "pos").select("id", "pos")
 
 
 def question_records(rows: DataFrame, prefix: str = "q") -> DataFrame:
     """(id, question, facts, entities, relationships, metadata) from (pos, value) JSON records, ids made up where absent."""
     j = F.from_json("value", "map<string,string>")
-    out = rows.withColumn("j", j).withColumn("n", F.row_number().over(W.orderBy("pos")))
+    out = numbered(rows.withColumn("j", j), F.col("pos"), "n")
     get = lambda *names: T.first_of(*[F.element_at("j", n) for n in names])
     known = ["id", "question", "message", "input", "expected_facts", "expected_entities", "expected_relationships", "answer"]
     lists = lambda n: F.coalesce(F.from_json(F.element_at("j", n), "array<string>"), F.array().cast("array<string>"))
