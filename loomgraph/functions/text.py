@@ -1,11 +1,7 @@
-"""Scalar text functions as column expressions; the exact Unicode forms are vectorised UDFs."""
+"""Scalar text functions as column expressions."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,27 +20,20 @@ def collapse(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
-def normalize_term(c: Column) -> Column:
-    """Lower case, punctuation to blanks, runs of blanks, hyphens and underscores to one blank.
+def folded(c: Column) -> Column:
+    """Compatibility forms composed and full case folding, by the Unicode library that Spark itself collates with.
 
-    Equal to ``normalize_term_exact`` on ASCII text; that one also folds compatibility forms.
+    ASCII text, for which both are ``lower``, does not leave generated code.
     """
-    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[‐‑–]", "-")
-    return F.btrim(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\w\s-]", " "), r"(?U)[-_\s]+", " "))
-
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    full = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), full).otherwise(F.lower(c))
 
-def normalize_term_exact(c: Column) -> Column:
-    """Compatibility forms and full case folding, which Spark lacks, in Arrow batches."""
 
-    def fold(text: str | None) -> str:
-        t = unicodedata.normalize("NFKC", text or "").casefold()
-        t = re.sub("[‐‑–]", "-", t)
-        return re.sub(r"[-_\s]+", " ", re.sub(r"[^\w\s-]", " ", t)).strip()
-
-    def run(s: pd.Series) -> pd.Series:  # nested, so that it is shipped by value
-        return s.map(fold, na_action=None)
-
-    return F.pandas_udf(run, "string")(c)
+def normalize_term(c: Column) -> Column:
+    """Compatibility forms and case folded, punctuation to blanks, runs of blanks, hyphens and underscores to one blank."""
+    t = F.regexp_replace(folded(F.coalesce(c, F.lit(""))), "[‐‑–]", "-")
+    return F.btrim(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f-]", " "), r"(?U)[-_\s\x1c-\x1f]+", " "))
 
 
 def slug(c: Column) -> Column:

@@ -59,8 +59,8 @@ def normalized_mentions(mentions: DataFrame, aliases: DataFrame, semantic: DataF
 
     ``semantic``: (mention, canonical, similarity), already cut by its threshold (see ``nearest``).
     """
-    a = F.broadcast(aliases.select(F.col("type").alias("_ty"), "alias", F.col("name").alias("_by_alias")))  # terminology: a file of fixed size
-    out = mentions.join(a, (F.col("type") == F.col("_ty")) & (T.normalize_term(F.col("text")) == F.col("alias")), "left")
+    a = aliases.select(F.col("type").alias("_ty"), F.col("alias").alias("_a"), F.col("name").alias("_by_alias"))
+    out = mentions.withColumn("_key", T.normalize_term(F.col("text"))).join(a, (F.col("type") == F.col("_ty")) & (F.col("_key") == F.col("_a")), "left")
     if semantic is not None:
         out = out.join(semantic.select(F.col("mention").alias("_m"), "canonical", "similarity"), F.col("mention") == F.col("_m"), "left")
     else:

@@ -49,6 +49,25 @@ def loaded(nodes: DataFrame, run: str, source: str, at: str) -> DataFrame:
     return nodes.withColumns({**{c: F.nullif(c, F.lit("")) for c in ("pmid", "doi") if c in nodes.columns}, "graph_run_id": F.lit(run), "graph_source": F.lit(source), "graph_loaded_at": F.lit(at)})
 
 
+#: The properties that a loaded edge should carry.
+EDGE_FIELDS = ["id", "evidence", "confidence", "source_pmcid", "chunk_id"]
+
+
+def load_report(nodes: DataFrame, edges: DataFrame, run: str, source: str, at: str, file: str = "file") -> DataFrame:
+    """One row: run, source, time; the files that nodes and edges come from, entities (nodes that are no papers) and relationships
+    (no mentions) by file, as each file upserts its own; and how many edges have all of ``EDGE_FIELDS``, a missing one counted by field."""
+    files = nodes.select(file).unionByName(edges.select(file)).agg(F.count_distinct(file).alias("files"))
+    found = nodes.where("label <> 'Paper'").select(file, "id").distinct().agg(F.count("*").alias("entities"))
+    plain = edges.where("type <> 'MENTIONS'")
+    has = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) != "" if c in edges.columns else F.lit(False) for c in EDGE_FIELDS}
+    whole = F.lit(True)
+    for test in has.values():
+        whole = whole & test
+    told = plain.agg(F.count_distinct(file, "id").alias("relationships"), F.count_if(whole).alias("complete"), *[F.count_if(~test).alias(f"missing_{c}") for c, test in has.items()])
+    out = files.withColumn("_k", F.lit(1)).join(found.withColumn("_k", F.lit(1)), "_k").join(told.withColumn("_k", F.lit(1)), "_k").drop("_k")  # one row each
+    return out.select(F.lit(run).alias("graph_run_id"), F.lit(source).alias("graph_source"), F.lit(at).alias("loaded_at"), *out.columns)
+
+
 def unique_violations(nodes: DataFrame, column: str) -> DataFrame:
     """Values that a unique key column holds more than once; nulls do not count."""
     return nodes.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).where("n > 1")

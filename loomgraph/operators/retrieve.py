@@ -63,19 +63,33 @@ def anchors(questions: DataFrame, nodes: DataFrame, limit: int = ANCHORS) -> Dat
     return hits.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= limit).select("q", "id", "hits")
 
 
-def containing(questions: DataFrame, names: DataFrame, limit: int = ANCHORS) -> DataFrame:
-    """Fallback anchors (q, id): a name equal to, inside or around a term.
+def name_pairs(names: DataFrame, terms: DataFrame, width: int = 3) -> DataFrame:
+    """(columns of both): a lower-cased ``name`` that holds a ``term``, or stands in one; empty texts pair with nothing.
 
-    Names are first made distinct, and each is tested within its own row against the questions'
-    terms, a stated set held in the plan by one array.
+    Whatever a text holds begins with its first characters, at most ``width``.  So the two sides meet on such heads by
+    equality, and ``contains`` is tested on these pairs alone.
     """
-    asked = [(r["q"], r["terms"]) for r in questions.select("q", "terms").collect()]  # the stated batch of questions
-    batch = F.array(*[F.struct(F.lit(q).alias("q"), F.array(*[F.lit(t) for t in ts]).cast("array<string>").alias("terms")) for q, ts in asked])
-    d = names.where("label <> 'Paper' and name is not null").select("id", "name", batch.alias("_qs"))
-    low = F.lower("name")
-    hit = d.select("id", "name", F.explode(F.filter("_qs", lambda x: F.exists(x["terms"], lambda t: F.contains(low, t) | F.contains(t, low)))).alias("x"))
-    by = W.partitionBy("x.q").orderBy("name", "id")
-    return hit.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= limit).select("x.q", "id")
+    n = names.withColumn("_low", F.lower("name")).where("_low <> ''")
+    t = terms.withColumn("_t", F.lower("term")).where("_t <> ''")
+    head = lambda c: F.substring(c, 1, width)
+
+    def grams(c: str) -> Column:
+        """Every place's next characters, cut at each length up to ``width``: what heads may stand there."""
+        at = F.sequence(F.lit(1), F.length(c))
+        there = F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: F.substr(F.col(c), i, k)))
+        return F.explode(F.array_distinct(F.flatten(there)))
+
+    inside = n.withColumn("_h", grams("_low")).join(t.withColumn("_h", head("_t")), "_h").where(F.contains("_low", F.col("_t")))
+    around = n.withColumn("_h", head("_low")).join(t.withColumn("_h", grams("_t")), "_h").where(F.contains("_t", F.col("_low")))
+    return inside.unionByName(around).drop("_h", "_low", "_t").distinct()
+
+
+def containing(questions: DataFrame, names: DataFrame, limit: int = ANCHORS) -> DataFrame:
+    """Fallback anchors (q, id): a name equal to, inside or around a term, by name and id."""
+    asked = questions.select("q", F.explode("terms").alias("term"))
+    hit = name_pairs(names.where("label <> 'Paper'").select("id", "name"), asked).select("q", "id", "name").distinct()
+    by = W.partitionBy("q").orderBy("name", "id")
+    return hit.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= limit).select("q", "id")
 
 
 def direct_paths(starts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -110,10 +124,9 @@ def connectors(groups: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int
     return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
 
 
-def path_score(steps: Column, q: dict[str, Column], coverage: Column) -> Column:
-    """Score of a path from its steps (ends, overlap, related, confidence, type, drug) and the question's columns."""
+def path_score(steps: Column, ends: Column, q: dict[str, Column], coverage: Column) -> Column:
+    """Score of a path from its steps (overlap, related, confidence, type, drug), the names of their ends and the question's columns."""
     n = F.size(steps)
-    ends = F.array_join(F.transform(steps, lambda s: s["ends"]), " ")
     edge, related, least = F.array_max(F.transform(steps, lambda s: s["overlap"])), F.array_max(F.transform(steps, lambda s: s["related"])), F.array_min(F.transform(steps, lambda s: s["confidence"]))
     kinds = F.array_distinct(F.transform(steps, lambda s: s["type"]))
     acts = F.size(F.array_intersect(kinds, F.array(F.lit("INCREASES"), F.lit("REDUCES"))))
@@ -141,32 +154,54 @@ def scored(paths: DataFrame, edges: DataFrame, nodes: DataFrame, questions: Data
     )
     step = F.struct("pos", "ends", "overlap", "related", "confidence", "type", "drug")
     full = each.join(facts, ["q", "edge"]).groupBy("q", "rels").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    full = full.join(F.broadcast(asked), "q")
+    full = full.withColumn("ends", F.array_join(F.transform("steps", lambda s: s["ends"]), " ")).join(F.broadcast(asked), "q")
     coverage = F.lit(1.0)
     if groups is not None:
         own = groups.groupBy("q").agg(F.collect_list("values").alias("_g"))
         full = full.join(own, "q", "left")
-        ends = F.array_join(F.transform("steps", lambda s: s["ends"]), " ")
-        hit = F.size(F.filter("_g", lambda g: F.exists(g, lambda v: F.contains(ends, v))))
+        hit = F.size(F.filter("_g", lambda g: F.exists(g, lambda v: F.contains("ends", v))))
         coverage = F.when(F.coalesce(F.size("_g"), F.lit(0)) <= 0, 1.0).otherwise(hit / F.size("_g"))
-    score = path_score(F.col("steps"), {c: F.col(c) for c in ("terms", "wants_path", "wants_drug", "wants_lipids")}, coverage)
+    score = path_score(F.col("steps"), F.col("ends"), {c: F.col(c) for c in ("terms", "wants_path", "wants_drug", "wants_lipids")}, coverage)
     best = F.array_max(F.transform("steps", lambda s: s["confidence"]))
     return full.select("q", F.concat(F.lit("path:"), F.sha1(F.array_join("rels", "|"))).alias("path_id"), "rels", F.size("rels").alias("length"), score.alias("score"), best.alias("best"))
 
 
-def packed(paths: DataFrame, budget: int) -> DataFrame:
+def promising(paths: DataFrame, budget: int) -> DataFrame:
+    """The paths, of one or two steps, that greedy packing can choose: a bounded number for each question, and none lost.
+
+    A better path of the same length that was skipped would have fitted, so it shares an edge that is in use by then.  If it also
+    shares one with the chosen path, it is the other one: at most two, one a direction, for each edge in use.  Hence a chosen
+    path's rank among those of its length at either of its edges is at most m = 2 * budget + 1.  Of the paths within these
+    ranks, at most budget * m hold an edge in use, so its rank among all of its length is at most budget * m + 1.
+    """
+    m = 2 * budget + 1
+    order = [F.desc("score"), F.desc("best"), "length", "path_id"]
+    by = W.partitionBy("q", "length", "_e").orderBy(*order)
+    rest = [c for c in paths.columns if c not in ("q", "path_id")]
+    near = paths.withColumn("_e", F.explode("rels")).withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= m)
+    kept = near.groupBy("q", "path_id").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest]).where(F.col("_n") == F.size("rels")).drop("_n")
+    each = W.partitionBy("q", "length").orderBy(*order)
+    return kept.withColumn("_r", F.row_number().over(each)).where(F.col("_r") <= budget * m + 1).drop("_r")
+
+
+def packed(paths: DataFrame, budget: int, own: str | None = None) -> DataFrame:
     """Greedy packing: paths in order of score, confidence, length and id; a path that shares an edge with a chosen
-    one, or would go over the budget of steps, is skipped.  One fold per question over its sorted paths."""
+    one, or would go over the budget of steps, is skipped.  One fold per question over its ``promising`` paths.
+
+    ``own``: the column of each question's own budget, if that is less for some.
+    """
+    most = F.least(F.lit(budget), F.col(own)) if own else F.lit(budget)
     key = F.struct((-F.col("score")).alias("a"), (-F.col("best")).alias("b"), F.col("length").alias("c"), F.col("path_id").alias("d"), F.col("rels").alias("rels"), F.col("score").alias("score"))
-    each = paths.groupBy("q").agg(F.array_sort(F.collect_list(key)).alias("ps"))
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<string>").alias("ids"))
+    each = promising(paths, budget).groupBy("q").agg(F.array_sort(F.collect_list(key)).alias("ps"), F.max(most).alias("_most"))
+    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<d:string,rels:array<string>,score:double>>").alias("ids"))
 
     def step(acc: Column, p: Column) -> Column:
-        take = ~F.arrays_overlap(acc["used"], p["rels"]) & (F.size(acc["used"]) + F.size(p["rels"]) <= budget)
-        return F.when(take, F.struct(F.concat(acc["used"], p["rels"]).alias("used"), F.array_append(acc["ids"], p["d"]).alias("ids"))).otherwise(acc)
+        take = ~F.arrays_overlap(acc["used"], p["rels"]) & (F.size(acc["used"]) + F.size(p["rels"]) <= F.col("_most"))
+        row = F.struct(p["d"].alias("d"), p["rels"].alias("rels"), p["score"].alias("score"))
+        return F.when(take, F.struct(F.concat(acc["used"], p["rels"]).alias("used"), F.array_append(acc["ids"], row).alias("ids"))).otherwise(acc)
 
-    chosen = each.select("q", F.posexplode(F.aggregate("ps", start, step, lambda a: a["ids"])).alias("rank", "path_id"))
-    return chosen.join(paths, ["q", "path_id"]).select("q", "path_id", "rels", "length", "score", (F.col("rank") + 1).alias("rank"))
+    chosen = each.select("q", F.posexplode(F.aggregate("ps", start, step, lambda a: a["ids"])).alias("rank", "p"))
+    return chosen.select("q", F.col("p.d").alias("path_id"), "p.rels", F.size("p.rels").alias("length"), "p.score", (F.col("rank") + 1).alias("rank"))
 
 
 def top_paths(paths: DataFrame, n: int) -> DataFrame:
@@ -210,6 +245,52 @@ def definitions(questions: DataFrame, entries: DataFrame, limit: int) -> DataFra
     return out.select("q", T.key_of("definition:", F.col("name"), cut=16).alias("id"), "name", "definition", (1.0 + T.relevance(F.lit("DEFINITION_OF"), F.col("n"))).alias("score"), "rank")
 
 
+def connector_paths(questions: DataFrame, groups: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(q, rels): two-step paths through a drug, for questions that ask for a path and a drug and name two concepts.
+
+    ``groups``: (q, c, values) as of ``matched_groups``; stop terms name nothing, equal groups are one, and a node
+    without a name is in no group.
+    """
+    own = groups.join(questions.where("wants_path and wants_drug").select("q"), "q", "left_semi")
+    own = own.select("q", "c", F.array_sort(T.without_stop_terms(F.col("values"))).alias("values")).where(F.size("values") > 0).groupBy("q", "values").agg(F.min("c").alias("g"))
+    members = name_pairs(nodes.select("id", "name"), own.select("q", "g", F.explode("values").alias("term"))).select("q", "g", "id").distinct()
+    return connectors(members, edges, nodes).select("q", F.array("first", "second").alias("rels")).distinct()
+
+
+def evidence(questions: DataFrame, nodes: DataFrame, edges: DataFrame, concepts: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
+    """(q, pos, kind, id, path_id, path_step, path_length, match_score, source, type, target, confidence, text): the graph retriever.
+
+    ``questions`` (q, question); ``concepts`` (c, name, aliases) widen the terms and are to be covered by a path;
+    ``entries`` are the same with a definition, and of other c.  Per question: definitions take their budget first; anchors are
+    found by words, else by containment; one-step paths, two-step paths if a path is asked for, and drug connectors
+    are one set of paths, which is scored and packed into what the definitions leave.  Packed steps come first, then the
+    definitions.  A question without terms or anchors has definitions alone.
+    """
+    groups = matched_groups(analysed(questions), concepts.select("c", "name", "aliases").unionByName(entries.select("c", "name", "aliases")))
+    q = expanded_terms(analysed(questions), groups)
+    told = definitions(q, entries, budgets(limit)[0])
+    found = anchors(q, nodes).select("q", "id")
+    found = found.unionByName(containing(q.join(found, "q", "left_anti"), nodes))
+    starts = found.join(q.select("q", "types", "wants_path"), "q")
+    paths = direct_paths(starts, edges).unionByName(two_hop_paths(starts.where("wants_path"), edges, nodes))
+    paths = paths.unionByName(connector_paths(q.join(found, "q", "left_semi"), groups, edges, nodes))
+    left = q.select("q").join(told.groupBy("q").agg(F.count("*").alias("_n")), "q", "left").select("q", (F.lit(limit) - F.coalesce("_n", F.lit(0))).cast("int").alias("budget"))
+    best = packed(scored(paths, edges, nodes, q, groups).join(left, "q"), limit, "budget")
+    steps = best.select("q", "rank", "path_id", "length", "score", F.posexplode("rels").alias("step", "edge"))
+    facts = G.triples(edges.select(F.col("id").alias("edge"), "type", "src", "dst", "confidence", *([] if "evidence" not in edges.columns else ["evidence"])), nodes)
+    text = F.col("evidence") if "evidence" in edges.columns else F.lit("")
+    graph = steps.join(facts, "edge").select(
+        "q", F.lit(0).alias("_late"), (F.col("rank") * 10 + F.col("step")).alias("_at"), F.lit("graph").alias("kind"), F.col("edge").alias("id"), "path_id", (F.col("step") + 1).alias("path_step"), F.col("length").alias("path_length"),
+        F.col("score").alias("match_score"), F.col("src_name").alias("source"), "type", F.col("dst_name").alias("target"), "confidence", F.coalesce(text, F.lit("")).alias("text"),
+    )
+    more = told.select(
+        "q", F.lit(1).alias("_late"), F.col("rank").alias("_at"), F.lit("definition").alias("kind"), "id", F.lit("").alias("path_id"), F.lit(1).alias("path_step"), F.lit(1).alias("path_length"),
+        F.col("score").alias("match_score"), F.col("name").alias("source"), F.lit("DEFINITION_OF").alias("type"), F.lit("").alias("target"), F.lit(1.0).alias("confidence"), F.col("definition").alias("text"),
+    )
+    by = W.partitionBy("q").orderBy("_late", "_at")
+    return graph.unionByName(more).withColumn("pos", F.row_number().over(by)).where(F.col("pos") <= limit).drop("_late", "_at")
+
+
 def legacy(question: str, edges: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
     """Edges one of whose ends is named in the question, with their paper: by source id, else by a mention of the
     source (one row for each such paper).  Largest confidence first, nulls before all."""
@@ -237,7 +318,7 @@ def noop(questions: DataFrame, rules: list[tuple[list[str], list[str], str]]) ->
     return out
 
 
-RETRIEVERS = {"graph": scored, "graph_legacy": legacy, "noop": noop}
+RETRIEVERS = {"graph": evidence, "graph_legacy": legacy, "noop": noop}
 
 
 def get_retriever(name: str):  # noqa: ANN201

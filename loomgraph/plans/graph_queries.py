@@ -268,6 +268,54 @@ def packed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.packed(_scored(spark, sf_dir, True), R.budgets(12)[1]).select("q", "path_id", F.array_join("rels", "|").alias("rels"), "length", "score", "rank")
 
 
+#: A stated terminology: concepts to be covered, and entries with a definition.
+CONCEPTS = [(0, "red widget", ["000000003"]), (1, "Supplier 000000007", ["000000007", "the"]), (2, "nowhere at all", ["never"])]
+ENTRIES = [(10, "small ring", ["little ring"], "A ring of little size."), (11, "blue bolt", [], "A bolt that is blue."), (12, "Treat", [], "To care for.")]
+_VALUES = ", ".join(f"({c}, {[' '.join(x.lower().replace('-', ' ').split()) for x in (name, *more)]})" for c, name, more, *_ in [*CONCEPTS, *ENTRIES])
+_ENTRIES = ", ".join(f"({c}, '{name}', '{text}')" for c, name, _, text in ENTRIES)
+_LEFT = "least(greatest(12 // 3, 0), 3)"
+_EVIDENCE_SQL = (
+    _PATHS_SQL.replace(
+        "term AS (SELECT DISTINCT q, t FROM (SELECT q, unnest(string_split(n, ' ')) AS t FROM qn) WHERE length(t) >= 3 AND",
+        f"""concept(c, vals) AS (VALUES {_VALUES}), entry(c, name, definition) AS (VALUES {_ENTRIES}),
+grp AS (SELECT q, c, vals FROM qn, concept WHERE len(list_filter(vals, lambda v: contains(' ' || n || ' ', ' ' || v || ' '))) > 0),
+def AS (SELECT * FROM (SELECT q, name, definition, row_number() OVER (PARTITION BY q ORDER BY entry.c) AS o FROM grp JOIN entry ON entry.c = grp.c) WHERE o <= {_LEFT}),
+lim AS (SELECT q, 12 - (SELECT count(*) FROM def WHERE def.q = qn.q) AS budget FROM qn),
+term AS (SELECT DISTINCT q, t FROM (SELECT q, t FROM (SELECT q, unnest(string_split(n, ' ')) AS t FROM qn) WHERE length(t) >= 3 UNION ALL SELECT q, unnest(vals) FROM grp) WHERE""",
+    )
+    .replace("FROM word JOIN term ON w = t GROUP BY", "FROM word JOIN (SELECT DISTINCT q, unnest(string_split(t, ' ')) AS t FROM term) ON w = t GROUP BY")
+    .replace(
+        "path AS (SELECT a.q, [p.id]",
+        f"""member AS (SELECT DISTINCT q, c, id FROM nodes JOIN (SELECT q, c, unnest(vals) AS v FROM grp) ON name <> '' AND v NOT IN ({_STOP}) AND (contains(lower(name), v) OR contains(v, lower(name)))),
+arm AS (SELECT member.q, c, u, sym.id, coalesce(confidence, 0) AS k FROM member JOIN want ON want.q = member.q AND wants_path JOIN qn ON qn.q = member.q AND contains(n, 'drug') JOIN sym ON sym.v = member.id WHERE u LIKE 'drug:%'),
+link AS (SELECT q, [x, y] AS rels FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY total DESC, x, y) AS r FROM (SELECT a.q, a.id AS x, b.id AS y, round(a.k + b.k, 6) AS total FROM arm a JOIN arm b ON a.q = b.q AND a.u = b.u AND a.c < b.c AND a.id <> b.id)) WHERE r <= 100),
+path AS (SELECT q, rels FROM link UNION SELECT a.q, [p.id]""",
+    )
+    .replace("+ 0.30 + 0.25 *", "+ 0.30 * cov + 0.25 *")
+    .replace("CASE WHEN b.q IS NULL THEN 0.03 ELSE 0.08 END", "CASE WHEN b.q IS NULL THEN 0.03 WHEN NOT asks THEN -0.05 WHEN cov < 1 THEN -0.17 ELSE 0.08 END")
+    .replace(
+        "FROM path x JOIN (SELECT",
+        "FROM (SELECT path.*, want.wants_path AS asks, coalesce((SELECT count(*) FILTER (WHERE len(list_filter(vals, lambda v: contains(said.ends, v))) > 0) / count(*) FROM grp WHERE grp.q = path.q HAVING count(*) > 0), 1.0) AS cov FROM path JOIN want ON want.q = path.q JOIN (SELECT p.q, p.rels, concat_ws(' ', a.ends, b.ends) AS ends FROM path p JOIN fact a ON a.q = p.q AND a.edge = p.rels[1] LEFT JOIN fact b ON b.q = p.q AND b.edge = p.rels[2]) said ON said.q = path.q AND said.rels = path.rels) x JOIN (SELECT",
+    )
+    .replace("len(pk.used) + len(rk.rels) <= 9", "len(pk.used) + len(rk.rels) <= (SELECT budget FROM lim WHERE lim.q = pk.q)")
+)
+
+
+@query(
+    "graph_evidence",
+    _EVIDENCE_SQL
+    + f""", out AS (SELECT chosen.q, 0 AS late, rank * 10 + i AS o, 'graph' AS kind, rels[i] AS id, path_id, i AS path_step, len(rels) AS path_length, score AS match_score, s.name AS source, p.type, t.name AS target, p.confidence, '' AS text
+  FROM chosen JOIN (VALUES (1), (2)) v(i) ON i <= len(rels) JOIN plain p ON p.id = rels[i] JOIN nodes s ON s.id = p.src JOIN nodes t ON t.id = p.dst
+  UNION ALL SELECT q, 1, o, 'definition', 'definition:' || substring(sha1(name), 1, 16), '', 1, 1, 1.0, name, 'DEFINITION_OF', '', 1.0, definition FROM def)
+SELECT q, CAST(row_number() OVER (PARTITION BY q ORDER BY late, o) AS INT) AS pos, kind, id, path_id, path_step, path_length, match_score, source, type, target, confidence, text FROM out""",
+)
+def graph_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole graph retriever: definitions, anchors, paths, connectors, scores and packing."""
+    concepts = spark.createDataFrame(CONCEPTS, "c int, name string, aliases array<string>")
+    entries = spark.createDataFrame(ENTRIES, "c int, name string, aliases array<string>, definition string")
+    return R.evidence(questions(spark), nodes(spark, sf_dir), edges(spark, sf_dir), concepts, entries, 12)
+
+
 _TOLD = "CASE " + " ".join("WHEN type IN (" + ", ".join(f"'{x}'" for x in types) + ") THEN " + f"replace(replace(replace('{text}', '{{s}}', s), '{{t}}', t), '{{r}}', type)" for types, text in dims.SENTENCES[:-1])
 _TOLD += f" ELSE replace(replace(replace('{dims.SENTENCES[-1][1]}', '{{s}}', s), '{{t}}', t), '{{r}}', type) END"
 
@@ -315,6 +363,16 @@ def relation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", T.sentence(kind, node_id("part ", "l_partkey"), node_id("supplier ", "l_suppkey")).alias("sentence"))
 
 
+@query(
+    "load_report",
+    f"""WITH {GRAPH_SQL} SELECT 'run-1' AS graph_run_id, 'local' AS graph_source, 'then' AS loaded_at, (SELECT count(DISTINCT x) FROM (SELECT label AS x FROM nodes UNION ALL SELECT type FROM edges)) AS files, (SELECT count(*) FROM nodes WHERE label <> 'Paper') AS entities,
+count(*) AS relationships, 0 AS complete, 0 AS missing_id, count(*) AS missing_evidence, count(*) FILTER (WHERE confidence IS NULL) AS missing_confidence, count(*) FILTER (WHERE source_pmcid = '') AS missing_source_pmcid, count(*) AS missing_chunk_id FROM plain""",
+)
+def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and types stand for the files of a load."""
+    return G.load_report(nodes(spark, sf_dir).withColumn("file", F.col("label")), edges(spark, sf_dir).withColumn("file", F.col("type")), "run-1", "local", "then")
+
+
 @query("name_lists", "WITH g AS (SELECT n_regionkey, list(n_name ORDER BY n_name) AS l FROM nation GROUP BY n_regionkey) SELECT n_regionkey, CASE WHEN len(l) = 1 THEN l[1] WHEN len(l) = 2 THEN l[1] || ' and ' || l[2] ELSE array_to_string(l[1:len(l) - 1], ', ') || ', and ' || l[len(l)] END AS names FROM g")
 def name_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("l")).select("n_regionkey", T.join_names(F.col("l")).alias("names"))

@@ -56,6 +56,16 @@ def work(spark: SparkSession, folder: str, schema: str, handle: Callable[[DataFr
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def keep_manifest(spark: SparkSession, folder: str, schema: str, path: str, columns: list[str], checkpoint: str, glob: str = "*.parquet") -> None:
+    """The manifest after each batch of finished items: its rows go to a folder of the batch's own, with a header and a fixed order of
+    columns, so what is done by then can be read at any time, and a batch that is replayed writes the same folder again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select(*columns).write.mode("overwrite").option("header", True).csv(f"{path}/batch={number}")
+
+    work(spark, folder, schema, write, checkpoint, glob)
+
+
 def counts(spark: SparkSession, folder: str, schema: str, glob: str, by: str, name: str) -> DataFrame:
     """Running counts per key over a stream of progress events, as they stand when the stream is drained."""
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)

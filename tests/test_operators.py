@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,11 +32,52 @@ def test_ids_and_slugs(spark):
     assert one(spark, T.byte_size(F.col("n")), n=831744) == "812.2 KB"
 
 
+def brute_term(text):
+    t = unicodedata.normalize("NFKC", text or "").casefold()
+    t = re.sub("[‐‑–]", "-", t)
+    return re.sub(r"[-_\s]+", " ", re.sub(r"[^\w\s-]", " ", t)).strip()
+
+
 def test_normalised_terms(spark):
-    texts = ["Beta‐Blocker_use!", "  a  B-c ", "", None, "x.y,z"]
-    df = spark.createDataFrame([(t,) for t in texts], "c string").select(T.normalize_term(F.col("c")).alias("a"), T.normalize_term_exact(F.col("c")).alias("b"))
-    assert [tuple(r) for r in df.collect()] == [(x, x) for x in ("beta blocker use", "a b c", "", "", "x y z")]
-    assert one(spark, T.normalize_term_exact(F.col("c")), c="Straße ﬁn") == "strasse fin"
+    texts = ["Beta‐Blocker_use!", "  a  B-c ", "", None, "x.y,z", "Straße ﬁn", "Ｆｕｌｌ　Ｗｉｄｔｈ", "e\u0301tat ÉTAT", "ΣΟΦΟΣ ς", "x²—½ café\u00a0au", "Ångström İstanbul", "日本語 ﷺ"]
+    got = spark.createDataFrame([(t,) for t in texts], "c string").select("c", T.normalize_term(F.col("c")).alias("a"), F.transform(F.array("c"), T.normalize_term).alias("b"))
+    for r in got.collect():
+        assert r["a"] == r["b"][0] == brute_term(r["c"]), r["c"]
+    m = spark.createDataFrame([("Drug", "STRASSE")], "type string, text string")
+    a = spark.createDataFrame([("Drug", "strasse", "Straße")], "type string, alias string, name string")
+    assert extract.normalized_mentions(m, a).first()["canonical_name"] == "Straße"
+
+
+def test_name_pairs(spark):
+    names = ["Red Widget", "ring", "", None, "STRING", "a", "blue-bolt set"]
+    terms = ["ring", "widget", "red widget set", "", "a", "bolt", "in", "blue-bolt set"]
+    n = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    t = spark.createDataFrame(list(enumerate(terms)), "k int, term string")
+    want = {(i, k) for i, x in enumerate(names) for k, y in enumerate(terms) if x and y and (y in x.lower() or x.lower() in y)}
+    assert {(r["id"], r["k"]) for r in retrieve.name_pairs(n, t).collect()} == want
+
+
+def test_packing_of_crowded_paths(spark):
+    rng = random.Random(5)
+    paths = []
+    for q in range(3):
+        edges = [f"e{k}" for k in range(14)]
+        seen = {(e,) for e in edges[:9]} | {tuple(rng.sample(edges, 2)) for _ in range(150)} | {("e0", e) for e in edges[1:]}
+        paths += [(q, "p" + "|".join(p), list(p), len(p), rng.randrange(12) / 4, rng.randrange(3) / 2, 4 + q) for p in seen]
+    df = spark.createDataFrame(paths, "q int, path_id string, rels array<string>, length int, score double, best double, own int")
+
+    def greedy(q, budget):
+        used, out = [], []
+        for _, i, rels, *_ in sorted((x for x in paths if x[0] == q), key=lambda x: (-x[4], -x[5], x[3], x[1])):
+            if not set(used) & set(rels) and len(used) + len(rels) <= budget:
+                used += rels
+                out.append(i)
+        return out
+
+    for budget, own in ((1, None), (3, None), (7, None), (6, "own")):
+        got = retrieve.packed(df, budget, own).orderBy("q", "rank").collect()
+        for q in range(3):
+            assert [r["path_id"] for r in got if r["q"] == q] == greedy(q, min(budget, 4 + q) if own else budget)
 
 
 def brute_chunks(text, size, overlap):
@@ -302,6 +345,10 @@ def test_jobs(spark, tmp_path):
         j.write.mode("append").parquet(folder)
         jobs.work(spark, folder, "job_id int, status string, submitted_at int, error string", lambda b, n: seen.append(b.count()), str(tmp_path / "cp"))
     assert sum(seen) == 4
+    for k in range(2):
+        jobs.keep_manifest(spark, folder, "job_id int, status string, submitted_at int, error string", str(tmp_path / "m"), ["status", "job_id"], str(tmp_path / "cp2"))
+        done = spark.read.option("header", True).csv(str(tmp_path / "m"))
+        assert done.columns[:2] == ["status", "job_id"] and done.count() == 4
 
 
 def test_plugins(spark, monkeypatch):
