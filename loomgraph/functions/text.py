@@ -31,7 +31,16 @@ def folded(c: Column) -> Column:
 
 
 def normalize_term(c: Column) -> Column:
-    """Compatibility forms and case folded, punctuation to blanks, runs of blanks, hyphens and underscores to one blank."""
+    """Lower case, punctuation to blanks, runs of blanks, hyphens and underscores to one blank.
+
+    Equal to ``normalize_term_exact`` on ASCII text; that one also folds compatibility forms.
+    """
+    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[‐‑–]", "-")
+    return F.btrim(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\w\s-]", " "), r"(?U)[-_\s]+", " "))
+
+
+def normalize_term_exact(c: Column) -> Column:
+    """As ``normalize_term``, with compatibility forms and full case folding."""
     t = F.regexp_replace(folded(F.coalesce(c, F.lit(""))), "[‐‑–]", "-")
     return F.btrim(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f-]", " "), r"(?U)[-_\s\x1c-\x1f]+", " "))
 
