@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, near_dup, pii, quality_classifier, quality_rules, secrets_scan, sentencepiece_codec, suffix_dedup
+from . import decontaminate, hard_negatives, language_id, license_scan, near_dup, pii, quality_classifier, quality_rules, secrets_scan, sentencepiece_codec, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8_pii,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.ORACLE, "op2_secrets": secrets_scan.oracle(), "op8_pii": pii.ORACLE, "op3_near_dup": near_dup.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op7_suffix_dedup": suffix_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
+    return {"op1_license_scan": license_scan.ORACLE, "op2_secrets": secrets_scan.oracle(), "op8_pii": pii.ORACLE, "op3_near_dup": near_dup.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op7_suffix_dedup": suffix_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
