@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hard_negatives, language_id, license_scan, near_dup, pii, quality_classifier, quality_rules, secrets_scan, sentencepiece_codec, suffix_dedup
+from . import byte_bpe, decontaminate, hard_negatives, language_id, license_scan, near_dup, pii, quality_classifier, quality_rules, secrets_scan, sentencepiece_codec, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     }
 
 
