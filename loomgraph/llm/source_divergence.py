@@ -123,14 +123,14 @@ def divergence(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), p + q)
 
 
-def _cells(rows: DataFrame) -> DataFrame:
+def _cells(rows: DataFrame, block: int) -> DataFrame:
     """Rows with the language's ``many`` and a group ``g``, once for each cell (i, j), i <= j, that the group's block is in."""
-    block, last = _div(F.col("g"), F.lit(BLOCK)).cast("int"), _div(F.col("many") - 1, F.lit(BLOCK)).cast("int")
+    own, last = _div(F.col("g"), F.lit(block)).cast("int"), _div(F.col("many") - 1, F.lit(block)).cast("int")
     out = rows.withColumn("o", F.explode(F.sequence(F.lit(0), last)))
-    return out.select(*rows.columns, F.least(block, "o").alias("i"), F.greatest(block, "o").alias("j"))
+    return out.select(*rows.columns, F.least(own, "o").alias("i"), F.greatest(own, "o").alias("j"))
 
 
-def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tallied(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     """From rows (lang, many, i, j, of), a term of a cell each: (lang, a, b, c, d, m), the number of terms that group a has c
     times and group b > a has d times."""
     for whole in batches:
@@ -144,7 +144,7 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g, n = np.asarray(entry.field("g")), np.asarray(entry.field("n"))
             for k, (name, many, i, j) in enumerate(cells.tolist()):
                 mine = of.ravel()[term] == k
-                columns = _cell(term[mine], g[mine], n[mine], *[np.arange(x * BLOCK, min(x * BLOCK + BLOCK, many)) for x in (i, j)])
+                columns = _cell(term[mine], g[mine], n[mine], *[np.arange(x * block, min(x * block + block, many)) for x in (i, j)])
                 names = pa.array([lang.dictionary[name].as_py()] * len(columns[0]), pa.string())
                 yield pa.RecordBatch.from_arrays([names, *[pa.array(x, pa.int64()) for x in columns]], ["lang", "a", "b", "c", "d", "m"])
 
@@ -169,11 +169,11 @@ def _cell(term: np.ndarray, g: np.ndarray, n: np.ndarray, first: np.ndarray, sec
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
-def pair_sums(counts: DataFrame, of: DataFrame) -> DataFrame:
+def pair_sums(counts: DataFrame, of: DataFrame, block: int = BLOCK) -> DataFrame:
     """(lang, a, b, value) for every two groups a < b of a language."""
     n_of = counts.join(of.select("lang", "source", "g", "many"), ["lang", "source"]).select("lang", "term", "many", "g", "n")
-    terms = _cells(n_of).groupBy("lang", "many", "i", "j", "term").agg(F.collect_list(F.struct("g", "n")).alias("of")).drop("term")
-    joint = terms.mapInArrow(_tallied, "lang string, a long, b long, c long, d long, m long").groupBy("lang", "a", "b", "c", "d").agg(F.sum("m").alias("m"))
+    terms = _cells(n_of, block).groupBy("lang", "many", "i", "j", "term").agg(F.collect_list(F.struct("g", "n")).alias("of")).drop("term")
+    joint = terms.mapInArrow(lambda batches: _tallied(batches, block), "lang string, a long, b long, c long, d long, m long").groupBy("lang", "a", "b", "c", "d").agg(F.sum("m").alias("m"))
     side = lambda x: of.select("lang", F.col("g").cast("long").alias(x), F.col("size").alias(f"{x}_size"), "v", "many")
     f = lambda c, d: divergence(share(c, F.col("a_size"), F.col("v")), share(d, F.col("b_size"), F.col("v")))
     cells = joint.join(side("a").drop("many"), ["lang", "a"]).join(side("b").drop("v", "many"), ["lang", "b"])
@@ -181,19 +181,19 @@ def pair_sums(counts: DataFrame, of: DataFrame) -> DataFrame:
     # all pairs, dealt by the blocks of their groups; the rest of a pair's terms are in neither
     left = side("a").withColumn("g", F.col("a"))
     right = side("b").withColumn("g", F.col("b")).drop("v")
-    every = _cells(left).drop("g", "many").join(_cells(right).drop("g", "many"), ["lang", "i", "j"]).where("a < b").where(f"a div {BLOCK} = i and b div {BLOCK} = j")
+    every = _cells(left, block).drop("g", "many").join(_cells(right, block).drop("g", "many"), ["lang", "i", "j"]).where("a < b").where(f"a div {block} = i and b div {block} = j")
     every = every.join(sums, ["lang", "a", "b"], "left").fillna(0, ["sum", "m"])
     zero = F.lit(0).cast("long")
     value = F.when(F.col("v") == 0, zero).otherwise(F.col("sum") + f(zero, zero) * (F.col("v") - F.col("m")))
     return every.select("lang", "a", "b", value.alias("value"))
 
 
-def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
+def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP_TERMS, block: int = BLOCK) -> DataFrame:
     """(lang, source, part, item, value, rank): part "pair" has the divergence of each group from each other source of its
     language, part "term" the ``top`` terms that the group has more of than its language, by their share of the divergence."""
     counts = checkpointed(term_counts(docs, text, lang, source, least_docs))
     of = checkpointed(groups(docs, counts, lang, source))
-    pairs = pair_sums(counts, of)
+    pairs = pair_sums(counts, of, block)
     both = pairs.select("lang", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "value")
     named = lambda x, name: of.select("lang", F.col("g").cast("long").alias(x), F.col("source").alias(name))
     both = both.select("lang", "p.a", "p.b", "value").join(named("a", "source"), ["lang", "a"]).join(named("b", "item"), ["lang", "b"])
