@@ -217,8 +217,7 @@ def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def _distinct(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An index of each distinct run, by falling length, and for each run the place of its like in that list."""
-    h = scan.substring(scan.prefix_sums(buf), starts, starts + lengths)
-    _, one, of = np.unique(h, return_index=True, return_inverse=True)
+    one, of = scan.distinct(buf, starts, starts + lengths)
     order = np.argsort(-lengths[one], kind="stable")
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))

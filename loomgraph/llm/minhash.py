@@ -20,36 +20,43 @@ def shingle_sets(column: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
 
     A text of fewer than k words has one shingle, the whole sequence; without words it has none.
     """
+    value, _, first = described_sets(column, k)
+    return value, first
+
+
+def described_sets(column: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shingle_sets(), with a second hash of each shingle that does not depend on the first."""
     buf, offsets = scan.texts_of(column)
-    _, _, h, first = scan.words(scan.LOWER[buf], offsets, scan.NOT_SPACE)
+    buf = scan.LOWER[buf]
+    starts, ends = scan.spans(buf, offsets, scan.NOT_SPACE)
+    h, first = scan.digests(buf, starts, ends), np.searchsorted(starts, offsets)
     n = len(offsets) - 1
     count = np.diff(first)
-    full = scan.windows(h, k)
     per = np.where(count >= k, count - k + 1, 0)
-    value, text = full[scan.ranges(first[:-1], per)], np.repeat(np.arange(n), per)
+    at, text = scan.ranges(first[:-1], per), np.repeat(np.arange(n), per)
+    value, other = (scan.windows(h[:, c], k)[at] for c in (0, 1))
     short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
-        own = np.zeros(len(short), np.uint64)
+        own = np.zeros((len(short), 2), np.uint64)
         for i in range(k - 1):  # the sequence, and its length, as one hash
             has = count[short] > i
             own[has] = own[has] * np.uint64(0x9E3779B97F4A7C15) + h[first[short[has]] + i]
-        value = np.concatenate([value, scan.mix(own + count[short].astype(np.uint64))])
-        text = np.concatenate([text, short])
+        own = scan.mix(own + count[short].astype(np.uint64)[:, None])
+        value, other, text = np.concatenate([value, own[:, 0]]), np.concatenate([other, own[:, 1]]), np.concatenate([text, short])
     order = np.argsort(value)
-    value, text = value[order], text[order]
-    order = np.argsort(text.astype(np.uint16) if n <= 1 << 16 else text, kind="stable")
-    value, text = value[order], text[order]
+    order = order[np.argsort(text[order].astype(np.uint16) if n <= 1 << 16 else text[order], kind="stable")]
+    value, other, text = value[order], other[order], text[order]
     keep = np.ones(len(value), bool)
     keep[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
-    value, text = value[keep], text[keep]
-    return value, np.searchsorted(text, np.arange(n + 1))
+    value, other, text = value[keep], other[keep], text[keep]
+    return value, other, np.searchsorted(text, np.arange(n + 1))
 
 
-def fingerprints(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """128 bits of each set: equal sets, and in practice only these, have equal ones."""
+def fingerprints(value: np.ndarray, other: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """128 bits of each set, half of them from each hash of its shingles: equal sets, and in practice only these, have equal ones."""
     out = np.zeros((len(first) - 1, 2), np.uint64)
-    for i, salt in enumerate((0x1B873593A5A5A5A5, 0xCC9E2D51C3C3C3C3)):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scan.mix(value ^ np.uint64(salt)))])
+    for i, (own, salt) in enumerate(((value, 0x1B873593A5A5A5A5), (other, 0xCC9E2D51C3C3C3C3))):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scan.mix(own ^ np.uint64(salt)))])
         out[:, i] = scan.mix(sums[first[1:]] - sums[first[:-1]] + np.uint64(i) + (first[1:] - first[:-1]).astype(np.uint64) * np.uint64(3))
     return out
 

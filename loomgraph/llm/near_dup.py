@@ -1,7 +1,7 @@
 """Near-duplicate documents: b-bit MinHash signatures, a multi-index Hamming join, exact confirmation.
 
 1. One pass gives each document the size, a 128-bit fingerprint and a signature of its set of
-   word 5-grams.  Documents with equal sets are one class; only its smallest key goes on, so a
+   word 5-grams.  Words are hashed by a cryptographic digest.  Documents with equal sets are one class; only its smallest key goes on, so a
    large group of copies costs one row (combined map-side, before any shuffle).
 2. The first INDEXED values of a signature are cut into CHUNKS.  Two signatures that differ in at most
    ``2 * CHUNKS - 1`` places differ in at most one place of some chunk (pigeonhole).  So each
@@ -60,6 +60,9 @@ LEAST_SALTS = 16
 FEW_PLACES = 1 << 15
 #: A pair is linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: A set of so many shingles at most is similar to none but its equals (three of four are the smallest others): it is settled
+#: by its fingerprint, so that the 64 bits of a single shingle never decide alone.
+ALONE = 2
 
 
 def chunk_places(indexed: int = INDEXED, chunks: int = CHUNKS) -> list[list[int]]:
@@ -76,8 +79,8 @@ def described(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scan.pieces_of(batches, "t"):
-            value, first = minhash.shingle_sets(b.column("t"))
-            n, fp = np.diff(first), minhash.fingerprints(value, first).view(np.int64)
+            value, other, first = minhash.described_sets(b.column("t"))
+            n, fp = np.diff(first), minhash.fingerprints(value, other, first).view(np.int64)
             some = np.flatnonzero(n)
             sig = np.full(len(n), None, object)
             if len(some):
@@ -386,7 +389,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     base = checkpointed(described(docs, text, key))
     some = base.where("n > 0 and d is not null")
     reps = checkpointed(some.groupBy("f1", "f2", "n").agg(F.min(F.struct("d", "sig")).alias("m")).select("f1", "f2", "n", F.col("m.d").alias("rep"), F.col("m.sig").alias("sig")))
-    canopies = checkpointed(candidates(reps))
+    canopies = checkpointed(candidates(reps.where(f"n > {ALONE}")))
     texts = docs.select(F.col(key).cast("long").alias("x"), F.col(text).alias("t"))
     parts = max(LEAST_SALTS, salts(canopies.count()))
     star = star_links(texts, canopies, parts)

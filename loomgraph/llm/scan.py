@@ -3,11 +3,14 @@
 A batch of texts is one byte buffer with offsets.  Words, word hashes and window
 hashes come from whole-buffer NumPy passes, so no Python code runs per word.
 Hashes are 64-bit: a random table value per byte, summed with powers of an odd
-multiplier, then mixed.  They do not depend on the position or the batch.
+multiplier, then mixed.  They do not depend on the position or the batch.  Long texts with equal sums can
+be made on purpose, so such a hash only proposes equal strings: its users compare the bytes, or take
+``distinct`` (which does) and ``digests`` instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,6 +110,32 @@ def words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
     return starts, ends, substring(prefix_sums(buf), starts, ends), np.searchsorted(starts, offsets)
 
 
+def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct substring, and for each substring the number of its like; starts must rise, and
+    substrings not overlap.  Equality is that of the bytes (of ``buf``, an array of any type)."""
+    raw, width = np.ascontiguousarray(buf).view(np.uint8), buf.dtype.itemsize
+    if len(starts) and (starts[1:] == ends[:-1]).all():
+        own = _binary(raw, np.append(starts, ends[-1]) * width)
+    else:  # with the gaps between them, they partition the buffer
+        own = _binary(raw, np.append(np.stack([starts, ends], 1).ravel(), len(buf)) * width).take(pa.array(np.arange(0, 2 * len(starts), 2)))
+    of = np.asarray(pc.dictionary_encode(own).indices).astype(np.int64)
+    one = np.empty(int(of.max(initial=-1)) + 1, np.int64)
+    one[of[::-1]] = np.arange(len(of))[::-1]
+    return one, of
+
+
+def _binary(raw: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)])
+
+
+def digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of each substring, as two columns: a cryptographic digest, computed once for each distinct one."""
+    one, of = distinct(buf, starts, ends)
+    raw = buf.tobytes()
+    found = b"".join([hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+    return np.frombuffer(found, np.uint64).reshape(-1, 2)[of]
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k consecutive words, whatever text they are in (the caller drops those that cross texts)."""
     n = max(0, len(hashes) - k + 1)

@@ -191,9 +191,7 @@ def encode(texts: list[str], a: Agenda, verify: str = "units") -> tuple[np.ndarr
     start[offsets[:-1][sizes > 0]] = True
     first = np.flatnonzero(start)
     length = np.diff(np.append(first, len(code)))
-    sums = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(scan.mix(code.astype(np.uint64) + np.uint64(1)) * scan.powers(len(code)), out=sums[1:])
-    _, one, of = np.unique(scan.substring(sums, first, first + length), return_index=True, return_inverse=True)
+    one, of = scan.distinct(code.astype(np.uint32), first, first + length)  # equal character by character
     merged: list[np.ndarray] = []  # symbols of the distinct units, in parts
     unit_of: list[np.ndarray] = []
     sizes_of: list[np.ndarray] = []
