@@ -13,6 +13,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,kind:int,s:string>>"
+#: Entries of an array that scanned() works on at once, and characters of a text's chunks.
+BLOCK, CHUNK = 256, 1024
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, though lambdas in ``use`` mention it for each entry of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scanned(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each entry of an integer array, all earlier ones merged, from ``zero`` on; ``merge`` must be associative.
+
+    A fold that appends copies its array every time.  Here a fold runs over a block of entries, and one over the blocks, so no
+    array that grows is longer than BLOCK or the number of blocks.
+    """
+    none = F.array().cast("array<int>")
+
+    def before(own: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), none.alias("out"))
+        step = lambda a, x: F.struct(merge(a["at"], x).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+        return F.aggregate(own, first, step, lambda a: a["out"])
+
+    def cut(v: Column) -> Column:
+        places = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))).otherwise(none)
+        return F.transform(places, lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def whole(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, zero, merge))
+        return F.flatten(F.zip_with(blocks, before(sums, zero), before))
+
+    return bound(bound(values, cut), whole)
+
+
+def chunks(text: Column) -> Column:
+    """The text cut into CHUNK characters each, for part()."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def part(cut: Column, at: Column, n: Column) -> Column:
+    """``n`` characters from place ``at`` on, in time in proportion to n, not to at."""
+    first = F.floor(at / CHUNK).cast("int")
+    last = F.floor((at + F.greatest(n, F.lit(1)) - 1) / CHUNK).cast("int")
+    return F.substr(F.array_join(F.slice(cut, first + 1, last - first + 1), ""), at % CHUNK + 1, n)
 
 
 def found(text: str, pattern: str, kind: int, needs: Column | None = None) -> Column:
@@ -22,13 +65,14 @@ def found(text: str, pattern: str, kind: int, needs: Column | None = None) -> Co
     text with a match; texts that fail it are not split.
     """
     gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # the last gap has no match after it
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda x: x["hit"].isNotNull())
-    none = F.array().cast("array<int>")
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(x["gap"])).alias("out"))
-    starts = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    placed = F.zip_with(hits, starts, lambda s, at: F.struct(at.alias("start"), (at + F.length(s)).alias("end"), F.lit(kind).alias("kind"), s.alias("s")))
+
+    def placed(hits: Column) -> Column:
+        # the last gap has no match after it; the others end where the next match starts
+        lengths = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
+        ends = F.slice(scanned(lengths, F.lit(0), lambda a, x: a + x), F.lit(2), F.size(hits))
+        return F.zip_with(hits, ends, lambda s, e: F.struct((e - F.length(s)).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), s.alias("s")))
+
+    placed = bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
     there = F.regexp_like(text, F.lit(pattern)) if needs is None else needs & F.regexp_like(text, F.lit(pattern))
     return F.when(there, placed).otherwise(F.array().cast(SPAN))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .native_spans import SPAN, found, fresh, listed, of_kind, ordered, packed, places_sql, unpacked
+from .native_spans import SPAN, bound, chunks, found, fresh, listed, of_kind, ordered, packed, part, places_sql, scanned, unpacked
 
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE = 4
@@ -80,27 +80,26 @@ def with_spans(df: DataFrame, text: str = "text", into: str = "pii") -> DataFram
     words = F.array(*[F.lit(rf"(?i)\b(?:{w})") for w in CONTEXT])
     plain = F.array(*[F.lit(x) for x in SCORES])
 
-    def scored(x: Column) -> Column:
-        before = F.substr("_t", F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.least(x["start"], F.lit(NEAR)))
+    def scored(x: Column, cut: Column) -> Column:
+        before = part(cut, F.greatest(x["start"] - NEAR, F.lit(0)), F.least(x["start"], F.lit(NEAR)))
         score = F.least(F.lit(1.0), F.get(plain, x["kind"]) + F.when(F.regexp_like(before, F.get(words, x["kind"])), BOOST).otherwise(0.0))
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["s"].alias("s"), score.alias("score"))
 
-    own = own.withColumn(into, F.when(F.size("_a") > 0, F.filter(F.transform("_a", scored), lambda x: (x["kind"] < BASE) | (x["score"] >= THRESHOLD))).otherwise(F.array().cast(SPAN.replace("s:string", "s:string,score:double"))))
+    every = bound(chunks(F.col("_t")), lambda cut: F.transform("_a", lambda x: scored(x, cut)))
+    own = own.withColumn(into, F.when(F.size("_a") > 0, F.filter(every, lambda x: (x["kind"] < BASE) | (x["score"] >= THRESHOLD))).otherwise(F.array().cast(SPAN.replace("s:string", "s:string,score:double"))))
     return unpacked(own, (into,))
 
 
 def redacted(text: str, spans: str) -> Column:
     """The text with every span, overlapping ones merged, replaced by its kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = x["start"] >= a["at"]
-        part = F.array(F.substr(text, a["at"] + 1, x["start"] - a["at"]), F.get(names, x["kind"]))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(new, F.concat(a["out"], part)).otherwise(a["out"]).alias("out"))
-
-    done = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)))
-    return F.when(F.size(spans) > 0, done).otherwise(F.col(text))
+    # how far the spans before each one reach: one that starts within them is merged into them
+    reach = scanned(F.transform(spans, lambda x: x["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
+    new = lambda x, at: F.when(x["start"] >= at, F.struct(x["kind"].alias("kind"), at.alias("at"), (x["start"] - at).alias("n")))
+    kept = F.filter(F.zip_with(spans, reach, new), lambda x: x.isNotNull())
+    done = bound(chunks(F.col(text)), lambda cut: F.array_join(F.transform(kept, lambda x: F.concat(part(cut, x["at"], x["n"]), F.get(names, x["kind"]))), ""))
+    rest = F.substr(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1)
+    return F.when(F.size(spans) > 0, F.concat(done, rest)).otherwise(F.col(text))
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .native_spans import found, listed, of_kind, ordered, packed, places_sql, unpacked
+from .native_spans import bound, found, listed, of_kind, ordered, packed, places_sql, scanned, unpacked
 
 KINDS = ["assign", "access", "hex", "markov"]
 BASE = 3
@@ -106,8 +106,19 @@ def with_spans(df: DataFrame, text: str = "text", into: str = "secrets", model:
         }
     )
     own = own.withColumn("_b", ordered(F.col("_0"), F.col("_1"), F.col("_2")))
-    new = F.filter("_3", lambda x: ~F.exists("_b", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (llr(x["s"], table) >= per_char))
-    return unpacked(own.withColumn(into, F.when(F.size("_3") > 0, ordered(F.col("_b"), new)).otherwise(F.col("_b"))), (into,))
+    every = bound(ordered(F.col("_b"), F.col("_3")), lambda spans: F.filter(_clear(spans), lambda x: x["clear"] & ((x["x"]["kind"] < BASE) | (llr(x["x"]["s"], table) >= per_char))))
+    return unpacked(own.withColumn(into, F.when(F.size("_3") > 0, F.transform(every, lambda x: x["x"])).otherwise(F.col("_b"))), (into,))
+
+
+def _clear(spans: Column) -> Column:
+    """(x, clear) for each span, in order of their starts: whether it is a base span, or one that overlaps none of them."""
+    most = F.lit(2**31 - 1)
+    base = lambda x: x["kind"] < BASE
+    # how far the base spans before it reach, and where the first one after it starts
+    reach = scanned(F.transform(spans, lambda x: F.when(base(x), x["end"]).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
+    next_ = F.reverse(scanned(F.reverse(F.transform(spans, lambda x: F.when(base(x), x["start"]).otherwise(most))), most, lambda a, x: F.least(a, x)))
+    free = lambda x, z: base(x) | ((z["reach"] <= x["start"]) & (z["next"] >= x["end"]))
+    return F.zip_with(spans, F.arrays_zip(reach.alias("reach"), next_.alias("next")), lambda x, z: F.struct(x.alias("x"), free(x, z).alias("clear")))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
