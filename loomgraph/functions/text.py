@@ -20,29 +20,54 @@ def collapse(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
-def folded(c: Column) -> Column:
-    """Compatibility forms composed and full case folding, by the Unicode library that Spark itself collates with.
+def _icu(name: str, method: str, c: Column) -> Column:
+    return F.java_method(F.lit(f"com.ibm.icu.{name}"), F.lit(method), c, F.lit(True))
+
+
+def case_folded(c: Column) -> Column:
+    """Full case folding (ß and ss are one), by the Unicode library that Spark itself collates with.
 
-    ASCII text, for which both are ``lower``, does not leave generated code.
+    ASCII text, for which it is ``lower``, does not leave generated code.
     """
-    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
-    full = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), _icu("lang.UCharacter", "foldCase", c)).otherwise(F.lower(c))
+
+
+def folded(c: Column) -> Column:
+    """Full case folding of the composed compatibility form: full-width letters and ligatures are plain ones."""
+    full = _icu("lang.UCharacter", "foldCase", _icu("text.Normalizer", "compose", c))
     return F.when(c.rlike(r"[^\x00-\x7F]"), full).otherwise(F.lower(c))
 
 
 def normalize_term(c: Column) -> Column:
-    """Lower case, punctuation to blanks, runs of blanks, hyphens and underscores to one blank.
+    """Folded (compatibility forms and case), punctuation to blanks, runs of blanks, hyphens and underscores to one blank."""
+    t = F.regexp_replace(folded(F.coalesce(c, F.lit(""))), "[‐‑–]", "-")
+    return F.btrim(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f-]", " "), r"(?U)[-_\s\x1c-\x1f]+", " "))
+
 
-    Equal to ``normalize_term_exact`` on ASCII text; that one also folds compatibility forms.
+def source_span(text: Column, at: Column, n: Column, compat: bool = False) -> Column:
+    """(start, end) in ``text`` of ``n`` characters from ``at`` on in its folded form (``folded`` with ``compat``, else
+    ``case_folded``); what one character (with ``compat``: and its marks) folds to is never cut.
+
+    The text falls into runs of ASCII and single characters (with their marks), which fold apart.  One fold over their lengths
+    finds both places.  U+0001 stands between them, so one in the text counts as U+0002.
     """
-    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[‐‑–]", "-")
-    return F.btrim(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\w\s-]", " "), r"(?U)[-_\s]+", " "))
+    clean_text = F.translate(text, "\x01", "\x02")
+    apart = r"(?s)[\x00-\x7F]+(?=[\x00-\x7F]|\z)|\X" if compat else r"(?s)[\x00-\x7F]+|[^\x00-\x7F]"
+    tokens = F.regexp_extract_all(clean_text, F.lit(apart), F.lit(0))
+    made = F.split((folded if compat else case_folded)(F.array_join(tokens, "\x01")), "\x01")
+    pairs = F.zip_with(tokens, made, lambda a, b: F.struct(F.length(a).alias("own"), F.length(b).alias("made"), a.rlike(r"\A[\x00-\x7F]*\z").alias("plain")))
+    nothing = F.lit(None).cast("int")
+    to = at + n
 
+    def step(acc: Column, x: Column) -> Column:
+        plain = x["plain"]
+        start = F.when(at < acc["f"] + x["made"], acc["s"] + F.when(plain, at - acc["f"]).otherwise(0))
+        end = F.when(to <= acc["f"] + x["made"], acc["s"] + F.when(plain, to - acc["f"]).otherwise(x["own"]))
+        return F.struct((acc["s"] + x["own"]).alias("s"), (acc["f"] + x["made"]).alias("f"), F.coalesce(acc["start"], start).alias("start"), F.coalesce(acc["end"], end).alias("end"))
 
-def normalize_term_exact(c: Column) -> Column:
-    """As ``normalize_term``, with compatibility forms and full case folding."""
-    t = F.regexp_replace(folded(F.coalesce(c, F.lit(""))), "[‐‑–]", "-")
-    return F.btrim(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f-]", " "), r"(?U)[-_\s\x1c-\x1f]+", " "))
+    first = F.struct(F.lit(0).alias("s"), F.lit(0).alias("f"), nothing.alias("start"), nothing.alias("end"))
+    found = F.aggregate(pairs, first, step, lambda acc: F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), found).otherwise(F.struct(at.alias("start"), to.alias("end")))
 
 
 def slug(c: Column) -> Column:
@@ -57,8 +82,8 @@ def title_slug(c: Column) -> Column:
 
 
 def light(c: Column) -> Column:
-    """Lower case, underscores to blanks, single blanks."""
-    return F.btrim(F.regexp_replace(F.replace(F.lower(clean(c)), F.lit("_"), F.lit(" ")), r"(?U)\s+", " "))
+    """Case-folded, underscores to blanks, single blanks."""
+    return F.btrim(F.regexp_replace(F.replace(case_folded(clean(c)), F.lit("_"), F.lit(" ")), r"(?U)\s+", " "))
 
 
 def paper_id(c: Column) -> Column:
@@ -176,14 +201,17 @@ def evidence_supported(evidence: Column, chunk: Column, start: Column, end: Colu
     base = F.coalesce(chunk_start.try_cast("long"), F.lit(0))
     lo, hi = s - base, e - base
     inside = (lo >= 0) & (hi >= lo) & (hi <= F.length(chunk))
-    same = F.lower(F.substr(chunk, (lo + 1).cast("int"), (hi - lo).cast("int"))) == F.lower(evidence)
-    return (evidence != "") & (chunk != "") & (F.contains(F.lower(chunk), F.lower(evidence)) | F.coalesce(inside & same, F.lit(False)))
+    same = case_folded(F.substr(chunk, (lo + 1).cast("int"), (hi - lo).cast("int"))) == case_folded(evidence)
+    return (evidence != "") & (chunk != "") & (F.contains(case_folded(chunk), case_folded(evidence)) | F.coalesce(inside & same, F.lit(False)))
 
 
-def span_of(needle: Column, text: Column, base: Column) -> Column:
-    """(start, end) of the first occurrence, case apart, moved by ``base``; null if there is none."""
-    at = F.instr(F.lower(text), F.lower(needle)) - 1
-    return F.when((F.length(needle) > 0) & (at >= 0), F.struct((at + base).alias("start"), (at + base + F.length(needle)).alias("end")))
+def span_of(needle: Column, text: Column, base: Column, compat: bool = False) -> Column:
+    """(start, end) of the first occurrence, case apart, moved by ``base``; null if there is none.  The offsets are those in
+    the source text, also where folding lengthens it."""
+    fold = folded if compat else case_folded
+    at = F.instr(fold(text), fold(needle)) - 1
+    span = source_span(text, at, F.length(fold(needle)), compat)
+    return F.when((F.length(needle) > 0) & (at >= 0), F.struct((span["start"] + base).alias("start"), (span["end"] + base).alias("end")))
 
 
 def sentence(type_: Column, source: Column, target: Column) -> Column:

@@ -8,26 +8,7 @@ from pyspark.sql.window import Window as W
 
 from .. import dims
 from ..functions import text as T
-
-#: A lexicon of more entries is joined in blocks of this size.
-LEXICON_BLOCK = 512
-
-
-def dictionary_mentions(chunks: DataFrame, lexicon: list[tuple[str, str, str]], key: str, text: str = "text") -> DataFrame:
-    """(key, type, name, alias, start, end): first occurrence, case apart, of each (type, name, alias).
-
-    The lexicon is a stated, bounded query set held in the plan, in blocks, so rows meet it within
-    their own task: no join and no shuffle.
-    """
-    out = None
-    for at in range(0, max(1, len(lexicon)), LEXICON_BLOCK):
-        entries = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(n).alias("name"), F.lit(a).alias("alias")) for t, n, a in lexicon[at : at + LEXICON_BLOCK]])
-        low = chunks.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("_t")).withColumn("e", F.explode(F.filter(entries, lambda e: F.contains("_t", F.lower(e["alias"])))))
-        start = F.instr("_t", F.lower("e.alias")) - 1
-        part = low.select(key, F.col("e.type").alias("type"), F.col("e.name").alias("name"), F.col("e.alias").alias("alias"), start.alias("start"), (start + F.length("e.alias")).alias("end"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
+from .lexicon import dictionary_mentions as dictionary_mentions
 
 def alias_table(concepts: DataFrame) -> DataFrame:
     """(type, alias, name) from (pos, type, name, aliases); of equal aliases the later concept counts."""

@@ -22,7 +22,7 @@ def noop_extractor(chunks: DataFrame, key: str) -> DataFrame:
     return chunks.select(key, *[F.lit(None).cast(t).alias(n) for n, t in (x.split(" ") for x in MENTIONS.split(", "))]).limit(0)
 
 
-def dictionary_extractor(lexicon: list[tuple[str, str, str]]) -> Callable[[DataFrame, str], DataFrame]:
+def dictionary_extractor(lexicon: DataFrame | list[tuple[str, str, str]]) -> Callable[[DataFrame, str], DataFrame]:
     """The offline extractor: the first occurrence of each name of a lexicon."""
     return lambda chunks, key: extract.dictionary_mentions(chunks, lexicon, key)
 

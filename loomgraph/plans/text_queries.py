@@ -19,7 +19,8 @@ LEXICON = [
     ("Biomarker", "stre", "stre"), ("Biomarker", "ouer", "ouer"), ("RiskFactor", "hand", "hand"), ("RiskFactor", "asci", "asci"),
 ]
 LEXICON_SQL = "lex(type, name, alias) AS (VALUES " + ", ".join(f"('{t}', '{n}', '{a}')" for t, n, a in LEXICON) + ")"
-NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}_\s-]', ' ', 'g'), '[-_\s]+', ' ', 'g'))"
+#: Terms in SQL: composed, lower case, and ß as its folding, the one letter of the tables that folding does more to.
+NORM = r"trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g'), '[-_\s]+', ' ', 'g'))"
 CHUNKS_SQL = r"""
 c AS (
   SELECT doc_id, t, n, 0 AS s, e FROM (SELECT doc_id, t, n, CASE WHEN n > 600 AND instr(reverse(substring(t, 1, 600)), ' ') > 0 AND 600 - instr(reverse(substring(t, 1, 600)), ' ') > 360
@@ -141,6 +142,62 @@ def dictionary_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.dictionary_mentions(_docs(spark, sf_dir), LEXICON, "doc_id").select("doc_id", "type", "name", "start", "end")
 
 
+#: Marks in SQL and in Spark: letters and digits of the texts become ones that only exact folding makes plain again.
+WIDE = ("0123456789k", "０１２３４５６７８９\u212a")
+MARKED_SQL = f"marked AS (SELECT doc_id, translate(replace(replace(replace(text, 'ss', 'ß'), 'fi', 'ﬁ'), 'I', 'İ'), '{WIDE[0]}', '{WIDE[1]}') AS t FROM documents)"
+#: Their folding, and the same with U+0001 for the second letter of two that come from one.
+_PLAIN_SQL = f"lower(replace(replace(replace(translate(t, '{WIDE[1]}', '{WIDE[0]}'), 'ß', 's' || {{0}}), 'ﬁ', 'f' || {{1}}), 'İ', 'i' || {{2}}))"
+FOLDED_SQL = _PLAIN_SQL.format("'s'", "'i'", "chr(775)")
+PLACES_SQL = _PLAIN_SQL.format("chr(1)", "chr(1)", "chr(1)")
+_SOURCE = "CAST({0} - (length(substring(m, 1, {0} + 1)) - length(replace(substring(m, 1, {0} + 1), chr(1), ''))) AS INT)"
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.replace(F.replace(F.replace("text", F.lit("ss"), F.lit("ß")), F.lit("fi"), F.lit("ﬁ")), F.lit("I"), F.lit("İ"))
+    return _docs(spark, sf_dir).select("doc_id", F.translate(t, *WIDE).alias("text"))
+
+
+@query("folded_terms", rf"WITH {MARKED_SQL}, f AS (SELECT doc_id, trim(regexp_replace(regexp_replace({FOLDED_SQL}, '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g'), '[-_\s]+', ' ', 'g')) AS n FROM marked) SELECT doc_id, md5(n) AS digest, length(n) AS n_chars FROM f")
+def folded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = T.normalize_term(F.col("text"))
+    return _marked(spark, sf_dir).select("doc_id", n.alias("n")).select("doc_id", F.md5("n").alias("digest"), F.length("n").cast("long").alias("n_chars"))
+
+
+_PARTS_SQL = r"SELECT DISTINCT 'Drug' AS type, p_name AS name, unnest(list_append(string_split(p_name, ' '), p_name)) AS alias FROM part UNION SELECT DISTINCT 'Term', item_id::VARCHAR, unnest(regexp_extract_all(text, '\p{L}{4,}')) FROM benchmark"
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(type, name, alias): part names and their words, and the words of the benchmark."""
+    parts = table(spark, sf_dir, "part").select(F.lit("Drug").alias("type"), F.col("p_name").alias("name"), F.explode(F.array_append(F.split("p_name", " "), F.col("p_name"))).alias("alias"))
+    terms = table(spark, sf_dir, "benchmark").select(F.lit("Term").alias("type"), F.col("item_id").cast("string").alias("name"), F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{4,}"), F.lit(0))).alias("alias"))
+    return parts.unionByName(terms).distinct()
+
+
+@query(
+    "lexicon_mentions",
+    f"""WITH {MARKED_SQL}, lex AS ({_PARTS_SQL}), k AS (SELECT DISTINCT replace(lower(alias), 'ß', 'ss') AS f FROM lex WHERE alias <> ''),
+d AS (SELECT doc_id, {FOLDED_SQL} AS f, {PLACES_SQL} AS m FROM marked), h AS (SELECT doc_id, m, k.f, instr(d.f, k.f) - 1 AS a, instr(d.f, k.f) - 1 + length(k.f) AS b FROM d JOIN k ON contains(d.f, k.f)),
+s AS (SELECT doc_id, f, {_SOURCE.format("a")} AS start, {_SOURCE.format("(b - 1)")} + 1 AS stop FROM h)
+SELECT doc_id, type, name, alias, start, CAST(stop AS INT) AS "end" FROM s JOIN lex ON replace(lower(alias), 'ß', 'ss') = s.f""",
+)
+def lexicon_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a table in texts with compatibility forms: one scan, offsets in the source."""
+    return extract.dictionary_mentions(_marked(spark, sf_dir), _names(spark, sf_dir), "doc_id", compat=True)
+
+
+@query(
+    "source_spans",
+    rf"""WITH {MARKED_SQL}, w AS (SELECT doc_id, upper(coalesce(nullif(regexp_extract(text, '\p{{L}}{{3,}}\s*$'), ''), 'ss')) AS needle FROM documents),
+d AS (SELECT doc_id, {FOLDED_SQL} AS f, {PLACES_SQL} AS m FROM marked), h AS (SELECT doc_id, m, instr(f, k) - 1 AS a, length(k) AS n FROM d JOIN (SELECT doc_id, replace(lower(needle), 'ß', 'ss') AS k FROM w) USING (doc_id))
+SELECT doc_id, CASE WHEN a >= 0 THEN {_SOURCE.format("a")} + 7 END AS start, CASE WHEN a >= 0 THEN {_SOURCE.format("(a + n - 1)")} + 8 END AS "end" FROM h""",
+)
+def source_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's last word, in capitals, found in the marked text: offsets in the source, moved by 7."""
+    needle = F.upper(F.coalesce(F.nullif(F.regexp_extract("text", r"\p{L}{3,}\s*$", 0), F.lit("")), F.lit("ss")))
+    both = _marked(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", needle.alias("needle")), "doc_id")
+    return both.select("doc_id", T.span_of(F.col("needle"), F.col("text"), F.lit(7), compat=True).alias("x")).select("doc_id", "x.start", "x.end")
+
+
 #: Without an encoder the semantic part is 0, so the floor and the thresholds are set for the other parts.
 STANDIN = {"threshold": 0.2, "semantic_floor": 0.0}
 CANDIDATES_SQL = f"""WITH {LEXICON_SQL}, {CUES_SQL}, {LINES_SQL},
@@ -203,7 +260,7 @@ def nearest_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fact_match",
-    "WITH f(fact) AS (VALUES ('of the'), ('the and'), ('queos mente de la'), ('of onen may is the'), ('with the thing')), d AS (SELECT doc_id, trim(regexp_replace(replace(lower(text), '_', ' '), '\\s+', ' ', 'g')) AS t FROM documents), "
+    "WITH f(fact) AS (VALUES ('of the'), ('the and'), ('queos mente de la'), ('of onen may is the'), ('with the thing')), d AS (SELECT doc_id, trim(regexp_replace(replace(replace(lower(text), 'ß', 'ss'), '_', ' '), '\\s+', ' ', 'g')) AS t FROM documents), "
     "x AS (SELECT doc_id, fact, t, list_filter(string_split(fact, ' '), lambda w: w NOT IN ('a', 'an', 'and', 'are', 'as', 'is', 'may', 'of', 'the', 'to', 'with')) AS w, string_split(t, ' ') AS tw FROM d, f) "
     "SELECT doc_id, count(*) AS n_facts FROM x WHERE contains(t, fact) OR (len(w) > 0 AND list_has_all(tw, w)) GROUP BY doc_id",
 )
