@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from .. import dims
 from ..functions import text as T
 from .lexicon import dictionary_mentions as dictionary_mentions
+from .neighbours import nearest as nearest
 
 def alias_table(concepts: DataFrame) -> DataFrame:
     """(type, alias, name) from (pos, type, name, aliases); of equal aliases the later concept counts."""
@@ -23,18 +24,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (size > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size))).otherwise(F.lit(0.0))
 
 
-def nearest(queries: DataFrame, concepts: DataFrame, threshold: float = -1.0) -> DataFrame:
-    """(q, nearest, score): the concept of the same type with the largest cosine, the smaller id on ties.
-
-    ``queries`` (q, type, v) is a stated set; each meets the concepts (c, type, v) of its type, the
-    best is kept map-side first.
-    """
-    c = concepts.select("c", F.col("type").alias("_type"), F.col("v").alias("_v"))
-    met = queries.join(c, (F.col("type") == F.col("_type")) & (F.col("q") != F.col("c"))).withColumn("score", F.round(cosine(F.col("v"), F.col("_v")), 6))
-    best = met.groupBy("q").agg(F.max_by(F.struct("c", "score"), F.struct("score", -F.col("c"))).alias("b"))
-    return best.select("q", F.col("b.c").alias("nearest"), F.col("b.score").alias("score")).where(F.col("score") >= threshold)
-
-
 def normalized_mentions(mentions: DataFrame, aliases: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
     """Adds canonical_name, method and score: an alias wins, then a semantic match, else the surface form.
 
