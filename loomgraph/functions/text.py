@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,12 @@ from .. import dims
 BLANKS = " \t\n\r\x0b\x0c"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, though lambdas in ``use`` mention it for each entry of an array: the optimizer
+    copies an expression into the place that mentions it, and within a lambda that is once an entry."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean(c: Column) -> Column:
     """Missing text is "", and outer blanks do not count."""
     return F.coalesce(F.btrim(c.cast("string"), F.lit(BLANKS)), F.lit(""))
@@ -185,7 +193,7 @@ def phrase_in(phrase: Column, text: Column) -> Column:
 
 def overlap(terms: Column, text: Column) -> Column:
     """Share of the terms (six at most count) that the normalised text contains, 1.0 at most."""
-    hits = F.size(F.filter(terms, lambda t: (F.length(t) >= 3) & F.contains(text, t)))
+    hits = bound(text, lambda x: F.size(F.filter(terms, lambda t: (F.length(t) >= 3) & F.contains(x, t))))
     return F.when((F.size(terms) == 0) | (text == ""), 0.0).otherwise(F.least(F.lit(1.0), hits / F.greatest(F.lit(1), F.least(F.size(terms), F.lit(6)))))
 
 

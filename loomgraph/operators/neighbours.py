@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window as W
 
+from ..shared import kept
 from ..shipping import ship
 
 PIVOTS = 32
@@ -143,8 +144,8 @@ def nearest(queries: DataFrame, concepts: DataFrame, threshold: float = -1.0, pi
     length = F.coalesce(F.size("v"), F.lit(0))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     proper = F.coalesce((length > 0) & (square > 0) & (square < float("inf")), F.lit(False))
-    kept = lambda df, k: df.where("type is not null").select(k, "type", F.when(length > 0, length).otherwise(0).alias("n"), "v", proper.alias("proper"))
-    c, q = kept(concepts, "c"), kept(queries, "q")
+    usable = lambda df, k: df.where("type is not null").select(k, "type", F.when(length > 0, length).otherwise(0).alias("n"), "v", proper.alias("proper"))
+    c, q = usable(concepts, "c"), usable(queries, "q")
     plain_c, plain_q = c.where("proper").drop("proper"), q.where("proper").drop("proper")
 
     # pivots: vectors with the smallest hashes, a bounded number for each of a bounded number of lengths
@@ -154,17 +155,16 @@ def nearest(queries: DataFrame, concepts: DataFrame, threshold: float = -1.0, pi
         own = np.unique(np.array([[float(x) for x in r[f"v{k}"]["v"]] for k in range(pivots)]), axis=0)
         table[r["n"]] = own / np.sqrt((own * own).sum(1, keepdims=True))
 
-    # what several branches read is kept by Spark (in memory or on local disk), and made again if an executor is lost
-    placed = _placed(plain_c, table, False).persist()
-    clusters = placed.groupBy("type", "n", "p").agg(F.count("*").alias("size"), F.max("angle").alias("radius")).persist()
+    placed = kept(_placed(plain_c, table, False))
+    clusters = kept(placed.groupBy("type", "n", "p").agg(F.count("*").alias("size"), F.max("angle").alias("radius")))
     asked = _placed(plain_q, table, True)
     # what a query can find in each cluster of its type at the most
     near = asked.join(clusters, ["type", "n"]).withColumn("bound", F.cos(F.greatest(F.get("angles", "p") - F.col("radius"), F.lit(0.0))) + ROOM)
     by = W.partitionBy("q").orderBy(F.desc("bound"), "p")
-    near = near.select("q", "type", "n", "p", "bound", F.row_number().over(by).alias("r")).persist()
+    near = kept(near.select("q", "type", "n", "p", "bound", F.row_number().over(by).alias("r")))
     vectors = plain_q.select("q", "v")
     home = near.where("r = 1").select("q", "type", "n", "p")
-    found = _largest(_met(home.join(vectors, "q"), placed, clusters)).persist()
+    found = kept(_largest(_met(home.join(vectors, "q"), placed, clusters)))
     rest = near.where("r > 1").join(found.select("q", "score"), "q", "left").where("score is null or bound >= score").select("q", "type", "n", "p")
     more = _met(rest.join(vectors, "q"), placed, clusters)
     if work is not None:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from .. import dims
 from ..functions import text as T
+from ..shared import kept
 from . import graph as G
 
 ANCHORS = 25
@@ -124,8 +125,9 @@ def connectors(groups: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int
     return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
 
 
-def path_score(steps: Column, ends: Column, q: dict[str, Column], coverage: Column) -> Column:
-    """Score of a path from its steps (overlap, related, confidence, type, drug), the names of their ends and the question's columns."""
+def path_score(steps: Column, overlap: Column, q: dict[str, Column], coverage: Column) -> Column:
+    """Score of a path from its steps (overlap, related, confidence, type, drug), the overlap of the names of their ends with the
+    terms, and the question's columns.  It never falls when one of overlap and coverage rises."""
     n = F.size(steps)
     edge, related, least = F.array_max(F.transform(steps, lambda s: s["overlap"])), F.array_max(F.transform(steps, lambda s: s["related"])), F.array_min(F.transform(steps, lambda s: s["confidence"]))
     kinds = F.array_distinct(F.transform(steps, lambda s: s["type"]))
@@ -134,7 +136,36 @@ def path_score(steps: Column, ends: Column, q: dict[str, Column], coverage: Colu
     long = n > 1
     bonus = F.when(long & q["wants_path"], F.when(coverage < 1.0, 0.08 - 0.25).otherwise(0.08)).when(long, -0.05).otherwise(0.03)
     connector = F.when(long & q["wants_drug"], F.when(F.exists(steps, lambda s: s["drug"]), 0.25).otherwise(-0.10)).otherwise(0.0)
-    return F.round(0.20 * T.overlap(q["terms"], ends) + 0.30 * coverage + 0.25 * edge + 0.15 * related + 0.15 * action + 0.10 * least + bonus + connector, 6)
+    return F.round(0.20 * overlap + 0.30 * coverage + 0.25 * edge + 0.15 * related + 0.15 * action + 0.10 * least + bonus + connector, 6)
+
+
+def asked_of(questions: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """What scores take from a question, with the values of its concept groups (``_g``, empty without any)."""
+    asked = questions.select("q", "n", "terms", "types", "wants_path", "wants_drug", "wants_lipids")
+    none = F.array().cast("array<array<string>>")
+    if groups is None:
+        return asked.withColumn("_g", none)
+    own = groups.groupBy("q").agg(F.collect_list("values").alias("_g"))
+    return asked.join(own, "q", "left").withColumn("_g", F.coalesce("_g", none))
+
+
+def edge_facts(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(q, edge, fact, ends) for pairs (q, edge): what a score takes from an edge for a question.  ``fact`` also holds which of the terms (``hits``)
+    and which concept groups (``covers``) stand in the names of the edge's ends."""
+    named = edges.select(F.col("id").alias("edge"), "type", "src", "dst", "confidence", *(["evidence"] if "evidence" in edges.columns else [F.lit("").alias("evidence")]))
+    facts = G.triples(named.join(pairs.select("edge").distinct(), "edge", "left_semi"), nodes)
+    facts = pairs.select("q", "edge").distinct().join(facts, "edge").join(asked, "q")
+    places = lambda c, test: F.filter(F.transform(c, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+
+    def fact(z: Column) -> Column:
+        return F.struct(
+            F.upper("type").alias("type"), F.col("type").alias("plain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), T.overlap(F.col("terms"), z["told"]).alias("overlap"), T.relevance(F.col("type"), F.col("n")).alias("related"),
+            ((F.lower("src_label") == "drug") | (F.lower("dst_label") == "drug")).alias("drug"), places("terms", lambda t: (F.length(t) >= 3) & F.contains(z["ends"], t)).alias("hits"), places("_g", lambda g: F.exists(g, lambda v: F.contains(z["ends"], v))).alias("covers"), z["ends"].alias("ends"),
+        )
+
+    names = F.struct(T.normalize_term(F.concat_ws(" ", "src_name", "dst_name", "type", "evidence")).alias("told"), T.normalize_term(F.concat_ws(" ", "src_name", "dst_name")).alias("ends"))
+    facts = facts.select("q", "edge", T.bound(names, fact).alias("f"))
+    return facts.select("q", "edge", F.col("f").dropFields("ends").alias("fact"), "f.ends")
 
 
 def scored(paths: DataFrame, edges: DataFrame, nodes: DataFrame, questions: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -142,30 +173,72 @@ def scored(paths: DataFrame, edges: DataFrame, nodes: DataFrame, questions: Data
 
     What depends on an edge and the question alone is computed once for each such pair, not for every path.
     """
+    asked = asked_of(questions, groups)
     paths = paths.select("q", "rels").distinct()
     each = paths.select("q", "rels", F.posexplode("rels").alias("pos", "edge"))
-    asked = questions.select("q", "n", "terms", "wants_path", "wants_drug", "wants_lipids")
-    facts = G.triples(edges.select(F.col("id").alias("edge"), "type", "src", "dst", "confidence", *(["evidence"] if "evidence" in edges.columns else [F.lit("").alias("evidence")])), nodes)
-    facts = each.select("q", "edge").distinct().join(facts, "edge").join(F.broadcast(asked.select("q", "n", "terms")), "q")  # the batch of questions
-    told = T.normalize_term(F.concat_ws(" ", "src_name", "dst_name", "type", "evidence"))
-    facts = facts.select(
-        "q", "edge", F.upper("type").alias("type"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), T.normalize_term(F.concat_ws(" ", "src_name", "dst_name")).alias("ends"), T.overlap(F.col("terms"), told).alias("overlap"), T.relevance(F.col("type"), F.col("n")).alias("related"),
-        ((F.lower("src_label") == "drug") | (F.lower("dst_label") == "drug")).alias("drug"),
-    )
-    step = F.struct("pos", "ends", "overlap", "related", "confidence", "type", "drug")
+    facts = edge_facts(each, edges, nodes, asked)
+    step = F.struct("pos", "ends", *[F.col(f"fact.{c}").alias(c) for c in ("overlap", "related", "confidence", "type", "drug")])
     full = each.join(facts, ["q", "edge"]).groupBy("q", "rels").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    full = full.withColumn("ends", F.array_join(F.transform("steps", lambda s: s["ends"]), " ")).join(F.broadcast(asked), "q")
-    coverage = F.lit(1.0)
-    if groups is not None:
-        own = groups.groupBy("q").agg(F.collect_list("values").alias("_g"))
-        full = full.join(own, "q", "left")
-        hit = F.size(F.filter("_g", lambda g: F.exists(g, lambda v: F.contains("ends", v))))
-        coverage = F.when(F.coalesce(F.size("_g"), F.lit(0)) <= 0, 1.0).otherwise(hit / F.size("_g"))
-    score = path_score(F.col("steps"), F.col("ends"), {c: F.col(c) for c in ("terms", "wants_path", "wants_drug", "wants_lipids")}, coverage)
+    full = full.join(asked, "q")
+
+    def score_of(ends: Column) -> Column:
+        hit = F.size(F.filter("_g", lambda g: F.exists(g, lambda v: F.contains(ends, v))))
+        coverage = F.when(F.size("_g") == 0, 1.0).otherwise(hit / F.size("_g"))
+        return T.bound(coverage, lambda covered: path_score(F.col("steps"), T.overlap(F.col("terms"), ends), {c: F.col(c) for c in ("wants_path", "wants_drug", "wants_lipids")}, covered))
+
+    score = T.bound(F.array_join(F.transform("steps", lambda s: s["ends"]), " "), score_of)
     best = F.array_max(F.transform("steps", lambda s: s["confidence"]))
     return full.select("q", F.concat(F.lit("path:"), F.sha1(F.array_join("rels", "|"))).alias("path_id"), "rels", F.size("rels").alias("length"), score.alias("score"), best.alias("best"))
 
 
+def promising_hops(starts: DataFrame, edges: DataFrame, nodes: DataFrame, questions: DataFrame, groups: DataFrame | None, budget: int, work: list | None = None) -> DataFrame:
+    """(q, rels): of the two-step paths of ``two_hop_paths``, all that ``promising`` can keep, without scoring the others.
+
+    A path that is kept is among the first m = 2 * budget + 1 of those that begin with its first edge.  A path's score depends
+    on little of its edges: type, confidence, overlap, relevance, and which terms and groups their names hold.  So the edges at a middle
+    node fall into classes, and scores are bounded for each pair of classes: from below by the terms and groups that
+    either edge holds, from above by also granting those of several words, which may stand across the two.  For a class of first edges,
+    classes of second edges are counted by falling lower bound until m paths are there beside those that lead back; classes whose upper bound is
+    less than that are never joined.  Only what is left is listed, path by path, and scored.
+    """
+    m = 2 * budget + 1
+    asked = asked_of(questions, groups)
+    keep = G.symmetric(edges.where("type <> 'MENTIONS'").select("id", "src", "dst")).select("u", "v", "id")
+    plain = nodes.where("label <> 'Paper'").select(F.col("id").alias("_n"))
+    both = keep.join(plain, F.col("v") == F.col("_n"), "left_semi")
+    s = starts.select("q", F.col("id").alias("start")).distinct()
+    first = s.join(both, F.col("start") == F.col("u")).select("q", "start", F.col("v").alias("mid"), F.col("id").alias("edge"))
+    first = kept(first.withColumn("back", F.count("*").over(W.partitionBy("q", "start", "mid"))))
+    second = first.select("q", "mid").distinct().join(both, F.col("mid") == F.col("u")).select("q", "mid", F.col("id").alias("edge"), F.col("v").alias("finish"))
+    facts = kept(edge_facts(first.select("q", "edge").unionByName(second.select("q", "edge")), edges, nodes, asked).select("q", "edge", "fact", F.to_json("fact").alias("k")))
+    first, second = (x.join(facts, ["q", "edge"]) for x in (first, second))
+    ones = first.groupBy("q", "mid", F.col("k").alias("k1")).agg(F.first("fact").alias("f1"), F.max("back").alias("back"))
+    twos = second.groupBy("q", "mid", F.col("k").alias("k2")).agg(F.first("fact").alias("f2"), F.count("*").alias("size"))
+    pairs = ones.join(twos, ["q", "mid"]).join(asked, "q")
+    wanted = (F.size("types") == 0) | F.array_contains("types", F.col("f1.plain")) | F.array_contains("types", F.col("f2.plain"))
+    spread = lambda c, test: F.filter(F.transform(c, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+    more = lambda own, wide, on: F.size(F.array_union(own, wide)) if on else F.size(own)
+    hits, covers = F.array_union("f1.hits", "f2.hits"), F.array_union("f1.covers", "f2.covers")
+    wide_hits, wide_covers = spread("terms", lambda t: (F.length(t) >= 3) & F.contains(t, F.lit(" "))), spread("_g", lambda g: F.exists(g, lambda v: F.contains(v, F.lit(" "))))
+
+    def bound(upper: bool) -> Column:
+        overlap = F.when(F.size("terms") == 0, 0.0).otherwise(F.least(F.lit(1.0), more(hits, wide_hits, upper) / F.greatest(F.lit(1), F.least(F.size("terms"), F.lit(6)))))
+        coverage = F.when(F.size("_g") == 0, 1.0).otherwise(more(covers, wide_covers, upper) / F.size("_g"))
+        return path_score(F.array("f1", "f2"), overlap, {c: F.col(c) for c in ("wants_path", "wants_drug", "wants_lipids")}, coverage)
+
+    pairs = pairs.where(wanted).select("q", "mid", "k1", "k2", "size", "back", bound(False).alias("low"), bound(True).alias("high"))
+    by = W.partitionBy("q", "mid", "k1")
+    pairs = pairs.withColumn("seen", F.sum("size").over(by.orderBy(F.desc("low")).rangeBetween(W.unboundedPreceding, W.currentRow)))
+    pairs = pairs.withColumn("least", F.max(F.when(F.col("seen") >= m + F.col("back"), F.col("low"))).over(by))
+    pairs = pairs.where("least is null or high >= least").select("q", "mid", "k1", "k2")
+    a = first.select("q", "mid", F.col("k").alias("k1"), "start", F.col("edge").alias("e1"))
+    b = second.select("q", "mid", F.col("k").alias("k2"), "finish", F.col("edge").alias("e2"))
+    out = pairs.join(a, ["q", "mid", "k1"]).join(b, ["q", "mid", "k2"]).where("e1 <> e2 and start <> finish")
+    if work is not None:
+        work += [first, second, out]
+    return out.select("q", F.array("e1", "e2").alias("rels")).distinct()
+
+
 def promising(paths: DataFrame, budget: int) -> DataFrame:
     """The paths, of one or two steps, that greedy packing can choose: a bounded number for each question, and none lost.
 
@@ -266,14 +339,17 @@ def evidence(questions: DataFrame, nodes: DataFrame, edges: DataFrame, concepts:
     are one set of paths, which is scored and packed into what the definitions leave.  Packed steps come first, then the
     definitions.  A question without terms or anchors has definitions alone.
     """
-    groups = matched_groups(analysed(questions), concepts.select("c", "name", "aliases").unionByName(entries.select("c", "name", "aliases")))
-    q = expanded_terms(analysed(questions), groups)
-    told = definitions(q, entries, budgets(limit)[0])
-    found = anchors(q, nodes).select("q", "id")
-    found = found.unionByName(containing(q.join(found, "q", "left_anti"), nodes))
+    # the batch of questions, what is found for it, and the graph are read by every branch
+    asked = kept(analysed(questions))
+    groups = kept(matched_groups(asked, concepts.select("c", "name", "aliases").unionByName(entries.select("c", "name", "aliases"))))
+    q = kept(expanded_terms(asked, groups))
+    edges, nodes = kept(edges), kept(nodes)
+    told = kept(definitions(q, entries, budgets(limit)[0]))
+    found = kept(anchors(q, nodes).select("q", "id"))
+    found = kept(found.unionByName(containing(q.join(found, "q", "left_anti"), nodes)))
     starts = found.join(q.select("q", "types", "wants_path"), "q")
-    paths = direct_paths(starts, edges).unionByName(two_hop_paths(starts.where("wants_path"), edges, nodes))
-    paths = paths.unionByName(connector_paths(q.join(found, "q", "left_semi"), groups, edges, nodes))
+    paths = direct_paths(starts, edges).unionByName(promising_hops(starts.where("wants_path"), edges, nodes, q, groups, limit))
+    paths = kept(paths.unionByName(connector_paths(q.join(found, "q", "left_semi"), groups, edges, nodes)))
     left = q.select("q").join(told.groupBy("q").agg(F.count("*").alias("_n")), "q", "left").select("q", (F.lit(limit) - F.coalesce("_n", F.lit(0))).cast("int").alias("budget"))
     best = packed(scored(paths, edges, nodes, q, groups).join(left, "q"), limit, "budget")
     steps = best.select("q", "rank", "path_id", "length", "score", F.posexplode("rels").alias("step", "edge"))
