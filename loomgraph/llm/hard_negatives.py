@@ -212,7 +212,7 @@ def hard_negatives(rows: DataFrame, anchor: Column, key: str = "vec_id", vector:
             more = more.withColumn("p", F.lit(None).cast("array<long>"))
         names = [c for c in ("i", "l", "v", "p") if c in anchors.columns]
         both = own.select("b", "r", "kind", *names).unionByName(more.select("b", "r", "kind", *names)).withColumn("cell", F.col("b") * cuts + F.col("r"))
-        dealt = both.repartition(blocks * cuts, "cell").sortWithinPartitions("cell", "kind", "i")
+        dealt = both.repartitionById(blocks * cuts, F.col("cell").cast("int")).sortWithinPartitions("cell", "kind", "i")
         return dealt.select("cell", "kind", *names).mapInArrow(run, "a long, w int, s long, i long")
 
     anchors = one.where("is_anchor")
