@@ -94,11 +94,12 @@ def light(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.replace(case_folded(clean(c)), F.lit("_"), F.lit(" ")), r"(?U)\s+", " "))
 
 
-def paper_id(c: Column) -> Column:
-    """Upper case with PMC before the digits; anything else raises."""
+def paper_id(c: Column, where: Column | None = None) -> Column:
+    """Upper case with PMC before the digits; anything else raises, with the place ``where`` it stands if that is given."""
     u = F.upper(F.btrim(c))
     full = F.when(u.startswith("PMC"), u).otherwise(F.concat(F.lit("PMC"), u))
-    return F.when(full.rlike(r"\APMC[0-9]+\z"), full).otherwise(F.raise_error(F.concat(F.lit("not a PMC id: "), F.coalesce(c, F.lit("null")))))
+    told = F.concat(F.lit("not a PMC id: "), F.coalesce(c, F.lit("null")))
+    return F.when(full.rlike(r"\APMC[0-9]+\z"), full).otherwise(F.raise_error(told if where is None else F.concat(where, F.lit(": "), told)))
 
 
 def key_of(prefix: str, *parts: Column, cut: int | None = None) -> Column:

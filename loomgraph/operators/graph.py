@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 
@@ -168,22 +167,6 @@ def without(nodes: DataFrame, edges: DataFrame, doomed: Column) -> tuple[DataFra
     return kept, edges.join(ids, F.col("src") == F.col("_n"), "left_semi").join(ids, F.col("dst") == F.col("_n"), "left_semi")
 
 
-def cleared(nodes: DataFrame, edges: DataFrame, typed: str, active_jobs: int) -> tuple[DataFrame, DataFrame]:
-    """An empty graph; only for the typed word DELETE and with no job active."""
-    if typed != "DELETE" or active_jobs:
-        raise ValueError("clearing needs the typed word DELETE and no active job")
-    return nodes.limit(0), edges.limit(0)
-
-
 def source_runs(rows: DataFrame, column: str) -> DataFrame:
     """The distinct run ids, sorted, in one array."""
     return rows.agg(F.array_sort(F.collect_set(F.nullif(column, F.lit("")))).alias("runs"))
-
-
-def degree(edges: DataFrame) -> DataFrame:
-    return symmetric(edges).groupBy("u").agg(F.count("*").alias("degree"))
-
-
-def ranked(rows: DataFrame, by: list, into: str = "rank") -> DataFrame:  # noqa: ANN001
-    """A rank under a total order; for result sets already cut to a page."""
-    return rows.withColumn(into, F.row_number().over(W.orderBy(*by)))

@@ -140,18 +140,28 @@ def path_score(steps: Column, overlap: Column, q: dict[str, Column], coverage: C
 
 
 def asked_of(questions: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """What scores take from a question, with the values of its concept groups (``_g``, empty without any)."""
+    """What scores take from a question, with the values of its concept groups (``_g``, empty without any), and each way (i, a, b) to cut
+    a term (``_ts``) or a group's value (``_gs``) of several words in two; i is the place of the term or group."""
     asked = questions.select("q", "n", "terms", "types", "wants_path", "wants_drug", "wants_lipids")
     none = F.array().cast("array<array<string>>")
     if groups is None:
-        return asked.withColumn("_g", none)
-    own = groups.groupBy("q").agg(F.collect_list("values").alias("_g"))
-    return asked.join(own, "q", "left").withColumn("_g", F.coalesce("_g", none))
+        asked = asked.withColumn("_g", none)
+    else:
+        own = groups.groupBy("q").agg(F.collect_list("values").alias("_g"))
+        asked = asked.join(own, "q", "left").withColumn("_g", F.coalesce("_g", none))
+
+    def cuts(value: Column, i: Column) -> Column:
+        words = F.split(value, " ")
+        at = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda k: F.struct(i.alias("i"), F.array_join(F.slice(words, F.lit(1), k), " ").alias("a"), F.array_join(F.slice(words, k + 1, F.size(words)), " ").alias("b")))
+
+    return asked.withColumns({"_ts": F.flatten(F.transform("terms", cuts)), "_gs": F.flatten(F.transform("_g", lambda g, i: F.flatten(F.transform(g, lambda v: cuts(v, i)))))})
 
 
 def edge_facts(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """(q, edge, fact, ends) for pairs (q, edge): what a score takes from an edge for a question.  ``fact`` also holds which of the terms (``hits``)
-    and which concept groups (``covers``) stand in the names of the edge's ends."""
+    and which concept groups (``covers``) stand in the names of the edge's ends, and with which halves of those of several words the names
+    end or begin."""
     named = edges.select(F.col("id").alias("edge"), "type", "src", "dst", "confidence", *(["evidence"] if "evidence" in edges.columns else [F.lit("").alias("evidence")]))
     facts = G.triples(named.join(pairs.select("edge").distinct(), "edge", "left_semi"), nodes)
     facts = pairs.select("q", "edge").distinct().join(facts, "edge").join(asked, "q")
@@ -161,6 +171,7 @@ def edge_facts(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, asked: Data
         return F.struct(
             F.upper("type").alias("type"), F.col("type").alias("plain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), T.overlap(F.col("terms"), z["told"]).alias("overlap"), T.relevance(F.col("type"), F.col("n")).alias("related"),
             ((F.lower("src_label") == "drug") | (F.lower("dst_label") == "drug")).alias("drug"), places("terms", lambda t: (F.length(t) >= 3) & F.contains(z["ends"], t)).alias("hits"), places("_g", lambda g: F.exists(g, lambda v: F.contains(z["ends"], v))).alias("covers"), z["ends"].alias("ends"),
+            *[places(c, test).alias(n) for n, c, test in (("tails", "_ts", lambda x: z["ends"].endswith(x["a"])), ("heads", "_ts", lambda x: z["ends"].startswith(x["b"])), ("group_tails", "_gs", lambda x: z["ends"].endswith(x["a"])), ("group_heads", "_gs", lambda x: z["ends"].startswith(x["b"])))],
         )
 
     names = F.struct(T.normalize_term(F.concat_ws(" ", "src_name", "dst_name", "type", "evidence")).alias("told"), T.normalize_term(F.concat_ws(" ", "src_name", "dst_name")).alias("ends"))
@@ -195,11 +206,10 @@ def promising_hops(starts: DataFrame, edges: DataFrame, nodes: DataFrame, questi
     """(q, rels): of the two-step paths of ``two_hop_paths``, all that ``promising`` can keep, without scoring the others.
 
     A path that is kept is among the first m = 2 * budget + 1 of those that begin with its first edge.  A path's score depends
-    on little of its edges: type, confidence, overlap, relevance, and which terms and groups their names hold.  So the edges at a middle
-    node fall into classes, and scores are bounded for each pair of classes: from below by the terms and groups that
-    either edge holds, from above by also granting those of several words, which may stand across the two.  For a class of first edges,
-    classes of second edges are counted by falling lower bound until m paths are there beside those that lead back; classes whose upper bound is
-    less than that are never joined.  Only what is left is listed, path by path, and scored.
+    on little of its edges: type, confidence, overlap, relevance, and which terms and groups their names hold, or hold a half of
+    that the other edge's names may complete.  So the edges at a middle node fall into classes, and each pair of classes has
+    one score.  For a class of first edges, classes of second edges are counted by falling score and confidence until m paths are there
+    beside those that lead back; classes that come later are never joined.  Only what is left is listed, path by path.
     """
     m = 2 * budget + 1
     asked = asked_of(questions, groups)
@@ -216,21 +226,18 @@ def promising_hops(starts: DataFrame, edges: DataFrame, nodes: DataFrame, questi
     twos = second.groupBy("q", "mid", F.col("k").alias("k2")).agg(F.first("fact").alias("f2"), F.count("*").alias("size"))
     pairs = ones.join(twos, ["q", "mid"]).join(asked, "q")
     wanted = (F.size("types") == 0) | F.array_contains("types", F.col("f1.plain")) | F.array_contains("types", F.col("f2.plain"))
-    spread = lambda c, test: F.filter(F.transform(c, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
-    more = lambda own, wide, on: F.size(F.array_union(own, wide)) if on else F.size(own)
-    hits, covers = F.array_union("f1.hits", "f2.hits"), F.array_union("f1.covers", "f2.covers")
-    wide_hits, wide_covers = spread("terms", lambda t: (F.length(t) >= 3) & F.contains(t, F.lit(" "))), spread("_g", lambda g: F.exists(g, lambda v: F.contains(v, F.lit(" "))))
-
-    def bound(upper: bool) -> Column:
-        overlap = F.when(F.size("terms") == 0, 0.0).otherwise(F.least(F.lit(1.0), more(hits, wide_hits, upper) / F.greatest(F.lit(1), F.least(F.size("terms"), F.lit(6)))))
-        coverage = F.when(F.size("_g") == 0, 1.0).otherwise(more(covers, wide_covers, upper) / F.size("_g"))
-        return path_score(F.array("f1", "f2"), overlap, {c: F.col(c) for c in ("wants_path", "wants_drug", "wants_lipids")}, coverage)
-
-    pairs = pairs.where(wanted).select("q", "mid", "k1", "k2", "size", "back", bound(False).alias("low"), bound(True).alias("high"))
+    across = lambda cut, tails, heads: F.transform(F.array_intersect(f"f1.{tails}", f"f2.{heads}"), lambda p: F.get(cut, p)["i"])
+    hits = F.size(F.array_union(F.array_union("f1.hits", "f2.hits"), across("_ts", "tails", "heads")))
+    covers = F.size(F.array_union(F.array_union("f1.covers", "f2.covers"), across("_gs", "group_tails", "group_heads")))
+    overlap = F.when(F.size("terms") == 0, 0.0).otherwise(F.least(F.lit(1.0), hits / F.greatest(F.lit(1), F.least(F.size("terms"), F.lit(6)))))
+    coverage = F.when(F.size("_g") == 0, 1.0).otherwise(covers / F.size("_g"))
+    score = T.bound(coverage, lambda covered: path_score(F.array("f1", "f2"), overlap, {c: F.col(c) for c in ("wants_path", "wants_drug", "wants_lipids")}, covered))
+    best = F.greatest("f1.confidence", "f2.confidence")  # what paths of equal scores are ordered by
+    pairs = pairs.where(wanted).select("q", "mid", "k1", "k2", "size", "back", F.struct(score.alias("score"), best.alias("best")).alias("worth"))
     by = W.partitionBy("q", "mid", "k1")
-    pairs = pairs.withColumn("seen", F.sum("size").over(by.orderBy(F.desc("low")).rangeBetween(W.unboundedPreceding, W.currentRow)))
-    pairs = pairs.withColumn("least", F.max(F.when(F.col("seen") >= m + F.col("back"), F.col("low"))).over(by))
-    pairs = pairs.where("least is null or high >= least").select("q", "mid", "k1", "k2")
+    pairs = pairs.withColumn("seen", F.sum("size").over(by.orderBy(F.desc("worth")).rangeBetween(W.unboundedPreceding, W.currentRow)))
+    pairs = pairs.withColumn("least", F.max(F.when(F.col("seen") >= m + F.col("back"), F.col("worth"))).over(by))
+    pairs = pairs.where("least is null or worth >= least").select("q", "mid", "k1", "k2")
     a = first.select("q", "mid", F.col("k").alias("k1"), "start", F.col("edge").alias("e1"))
     b = second.select("q", "mid", F.col("k").alias("k2"), "finish", F.col("edge").alias("e2"))
     out = pairs.join(a, ["q", "mid", "k1"]).join(b, ["q", "mid", "k2"]).where("e1 <> e2 and start <> finish")

@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import text as T
 from ..operators import answer as A
 from ..operators import artifacts, evaluate, review
-from ..sources import readers, sinks
+from ..sources import readers, sinks, versions
 from ..streaming import jobs as J
-from .tables import node_id, table
+from ..streaming import progress
+from .tables import GRAPH_SQL, edges, node_id, nodes, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -294,6 +296,55 @@ def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.counts(spark, sf_dir, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string", "events.parquet", "event_type", f"job_stream_{uuid.uuid4().hex}")
 
 
+_EVENT_SQL = "e AS (SELECT user_id AS job, coalesce(props ->> '$.k', '') AS doc, ts, event_id, CASE event_type WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'view' THEN 'running' WHEN 'signup' THEN 'skipped' END AS told FROM events)"
+
+
+@query(
+    "document_progress",
+    f"""WITH {_EVENT_SQL}, s AS (SELECT job, doc, count(*) AS n, arg_max(told, (ts, event_id)) FILTER (WHERE told IS NOT NULL) AS status, min(ts) FILTER (WHERE told = 'running') AS a, max(ts) FILTER (WHERE told IN ('completed', 'skipped')) AS b FROM e GROUP BY job, doc)
+SELECT CAST(job AS VARCHAR) AS job_id, count(*) AS n_documents, CAST(sum(n) AS BIGINT) AS n_events, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped,
+  CAST(sum(epoch_us(a)) AS HUGEINT)::VARCHAR AS started, CAST(sum(epoch_us(b)) AS HUGEINT)::VARCHAR AS finished FROM s GROUP BY job""",
+)
+def document_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of documents (a property of the events) within jobs (their users), from a stream of the events."""
+    raw = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    event = F.when(F.col("event_type").isin("click", "view"), "article_started").when(F.col("event_type") == "purchase", "article_finished").when(F.col("event_type") == "signup", "article_skipped").otherwise(F.col("event_type"))
+    told = raw.select(F.col("user_id").alias("job_id"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("document"), event.alias("event"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
+    top = f"{shared.folder(spark)}/progress_{uuid.uuid4().hex}"
+    progress.follow(spark, told, f"{top}/states", f"{top}/checkpoint")
+    state = progress.states(spark, f"{top}/states")
+    total = lambda c: F.sum(F.unix_micros(c).cast("decimal(38,0)")).cast("string")
+    times = state.groupBy(F.col("job_id").alias("_j")).agg(total("started_at").alias("started"), total("finished_at").alias("finished"))
+    return progress.job_counts(state).join(times, F.col("job_id") == F.col("_j")).drop("_j")
+
+
+@query(
+    "rewritten_graph",
+    f"""WITH {GRAPH_SQL}, n AS (SELECT id, label, name FROM nodes WHERE NOT (label = 'Drug' AND name LIKE 'red%')),
+e AS (SELECT id, type, src, dst, confidence FROM edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)),
+sn AS (SELECT 'condition:' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'renamed ' || s_suppkey END AS name FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT 'sample:' || r_regionkey, r_name FROM region),
+se AS (SELECT 'sample-edge:' || r_regionkey AS id, 'ASSOCIATED_WITH' AS type, 'sample:' || r_regionkey AS src, 'riskfactor:' || r_regionkey AS dst, 0.5 AS confidence FROM region),
+n2 AS (SELECT coalesce(n.id, sn.id) AS id, n.label, coalesce(sn.name, n.name) AS name FROM n FULL JOIN sn ON n.id = sn.id), e2 AS (SELECT * FROM e UNION ALL SELECT * FROM se)
+SELECT 'node' AS kind, label AS type, count(*) AS n, CAST(sum(length(id)) + coalesce(sum(length(name)), 0) AS BIGINT) AS chars FROM n2 GROUP BY label UNION ALL SELECT 'edge', type, count(*), CAST(sum(length(id) + length(src) + length(dst)) AS BIGINT) FROM e2 GROUP BY type""",
+)
+def rewritten_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph in versioned folders after a tagged delete and a seed, each called twice."""
+    top = f"{shared.folder(spark)}/graph_{uuid.uuid4().hex}"
+    n, e = f"{top}/nodes", f"{top}/edges"
+    versions.rewrite(spark, n, "load", lambda: nodes(spark, sf_dir))
+    versions.rewrite(spark, e, "load", lambda: edges(spark, sf_dir).select("id", "type", "src", "dst", "confidence"))
+    s, r = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0"), table(spark, sf_dir, "region")
+    new = s.select(node_id("condition:", "s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, node_id("renamed ", "s_suppkey")).alias("name")).unionByName(r.select(node_id("sample:", "r_regionkey").alias("id"), F.col("r_name").alias("name")))
+    links = r.select(node_id("sample-edge:", "r_regionkey").alias("id"), F.lit("ASSOCIATED_WITH").alias("type"), node_id("sample:", "r_regionkey").alias("src"), node_id("riskfactor:", "r_regionkey").alias("dst"), F.lit(0.5).alias("confidence"))
+    for _ in range(2):  # the second time each change is there
+        versions.delete_nodes(spark, n, e, (F.col("label") == "Drug") & F.col("name").startswith("red"), "without_red")
+        versions.seed(spark, n, e, new, links, "sample")
+    a, b = versions.current(spark, n), versions.current(spark, e)
+    chars = lambda *cs: sum((F.coalesce(F.length(c), F.lit(0)) for c in cs), F.lit(0)).cast("long")
+    tally = lambda df, kind, by, *cs: df.groupBy(F.col(by).alias("type")).agg(F.count("*").alias("n"), F.sum(chars(*cs)).alias("chars")).select(F.lit(kind).alias("kind"), "type", "n", "chars")
+    return tally(a, "node", "label", "id", "name").unionByName(tally(b, "edge", "type", "id", "src", "dst"))
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")

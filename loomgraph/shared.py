@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written once and read from there: a branching plan stays small, and a lost executor costs no more than its tasks.
-
-    The folder is the one that the session names in spark.checkpoint.dir; where it is unset, a local session gets one of our own; on
-    a cluster, whose machines share no such folder, that is an error.
-    """
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir.  Where it is unset, a local session gets one of our own; on a
+    cluster, whose machines share no such folder, that is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints_"))
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once and read from there: a branching plan stays small, and a lost executor costs no more than its tasks."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -27,26 +27,43 @@ def passages(rows: DataFrame, payload: str, key: str) -> DataFrame:
 
 def articles(spark: SparkSession, path: str) -> DataFrame:
     """(path, payload): one row for each JSON file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, pos, value): the lines of text files, numbered from 1 in their file and over all files in order.
+
+    A file may be read in several splits.  Lines are ranked within their split, whose size is bounded; the numbers of
+    lines of the splits, a row for each, are summed up in order.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_at"))
+    sizes = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("file").alias("_f"), F.col("block").alias("_b"), before(W.partitionBy("file").orderBy("block")).alias("_in_file"), before(W.orderBy("file", "block")).alias("_in_all"))
+    place = F.row_number().over(W.partitionBy("file", "block").orderBy("_at"))
+    out = raw.withColumn("_r", place).join(starts, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+    return out.select("file", (F.col("_in_file") + F.col("_r")).alias("line"), (F.col("_in_all") + F.col("_r")).alias("pos"), "value")
 
 
 def id_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, value): lines of an id file; blank ones and those that start with # do not count."""
-    lines = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
-    return lines.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#")).select("pos", "value")
+    """(pos, value, file, line): lines of id files; blank ones and those that start with # do not count, but are numbered."""
+    return numbered_lines(spark, path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#")).select("pos", "value", "file", "line")
 
 
 def free_ids(rows: DataFrame, text: str) -> DataFrame:
     """(pos, value): ids in free text, split at blanks and commas; lines that start with # do not count."""
     lines = rows.select(F.posexplode(F.split(text, "\n")).alias("l", "line")).where(~F.ltrim("line").startswith("#"))
-    return lines.select("l", F.posexplode(F.split("line", r"[\s,]+")).alias("k", "value")).where("value <> ''").select((F.col("l") * 100000 + F.col("k")).alias("pos"), "value")
+    each = lines.select("l", F.posexplode(F.split("line", r"[\s,]+")).alias("k", "value")).where("value <> ''")
+    return each.select((F.shiftleft(F.col("l").cast("long"), 32) + F.col("k")).alias("pos"), "value")
 
 
 def distinct_ids(rows: DataFrame, limit: int | None = None) -> DataFrame:
-    """(id, pos): normal ids, each once at its first place; an id that is none, or a negative limit, raises."""
+    """(id, pos): normal ids, each once at its first place; an id that is none, or a negative limit, raises.  The error names the file
+    and line of an id where they are known."""
     if limit is not None and limit < 0:
         raise ValueError("the limit must not be negative")
-    each = rows.select("pos", T.paper_id(F.col("value")).alias("id")).groupBy("id").agg(F.min("pos").alias("first"))
+    where = F.concat_ws(":", "file", "line") if {"file", "line"} <= set(rows.columns) else None
+    each = rows.select("pos", T.paper_id(F.col("value"), where).alias("id")).groupBy("id").agg(F.min("pos").alias("first"))
     each = each.orderBy("first").limit(limit) if limit is not None else each
     return numbered(each, F.col("first"), "pos").select("id", "pos")
 
@@ -63,7 +80,7 @@ def question_records(rows: DataFrame, prefix: str = "q") -> DataFrame:
 
 def question_file(spark: SparkSession, path: str) -> DataFrame:
     """Questions of a JSON file (a list, or an object with ``questions``) or of a JSON-lines file."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     body = F.trim("value")
     listed = F.when(body.startswith("["), body).otherwise(F.get_json_object(body, "$.questions"))
     records = F.coalesce(F.from_json(listed, "array<string>"), F.filter(F.split(body, "\n"), lambda x: F.trim(x) != ""))
@@ -113,8 +130,22 @@ def csv_rows(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFr
 
 
 def processed(spark: SparkSession, folder: str) -> DataFrame:
-    """All processed records of a folder with the file they come from, in file order."""
-    return spark.read.option("multiLine", True).json(folder).select("*", F.col("_metadata.file_path").alias("path"))
+    """All processed records of a folder of JSON files, an object each, with the file they come from, in file order.
+
+    A folder without files, and a file that holds no object, raise.
+    """
+    bodies = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.schema_of_variant(F.try_parse_json("value")).alias("kind"))
+    told = bodies.agg(F.count("*").alias("n"), F.min(F.when(~F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False)), F.col("path"))).alias("bad")).first()
+    listed = bodies.inputFiles()
+    if not listed:
+        raise ValueError(f"no processed files in {folder}")
+    if told["n"] < len(listed):  # empty files give no rows
+        name = lambda p: p.rpartition("/")[2]
+        found = {name(r["path"]) for r in bodies.select("path").collect()}
+        told = {"bad": min(p for p in listed if name(p) not in found)}
+    if told["bad"]:
+        raise ValueError(f"not a JSON object: {told['bad']}")
+    return spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").json(folder).select("*", F.col("_metadata.file_path").alias("path")).orderBy("path")
 
 
 def text_document(title: str, text: str, spark: SparkSession) -> DataFrame:
