@@ -110,12 +110,20 @@ def concepts(spark: SparkSession, path: str, field: str = "concepts", strict: bo
 
 
 def sheets(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
-    """A workbook as a folder of CSV sheets: all text, rows of nothing but nulls left out, ``row_number`` from 2."""
+    """A workbook as a folder of CSV sheets: all text, rows of nothing but nulls left out, ``row_number`` from 2.
+
+    A sheet may be several files, which count in the order of their names; rows are ranked within their file, which one task
+    reads, and the files' sizes, a row for each, are summed up.
+    """
     out = {}
     for n in names:
         rows = csv_rows(spark, f"{folder.rstrip('/')}/{n}.csv")
         some = F.coalesce(*[F.col(f"`{c}`") for c in rows.columns]).isNotNull()
-        out[n] = rows.withColumn("row_number", F.monotonically_increasing_id() + 2).where(some)
+        own = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+        before = F.coalesce(F.sum("_n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        starts = own.groupBy("_file").agg(F.count("*").alias("_n")).select(F.col("_file").alias("_f"), before.alias("_before"))
+        placed = own.withColumn("_r", F.row_number().over(W.partitionBy("_file").orderBy("_at"))).join(starts, F.col("_file") == F.col("_f"))
+        out[n] = placed.withColumn("row_number", F.col("_before") + F.col("_r") + 1).where(some).drop("_file", "_at", "_r", "_f", "_before")
     return out
 
 

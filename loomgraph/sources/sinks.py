@@ -55,6 +55,6 @@ def write_index(rows: DataFrame, path: str) -> None:
 
 
 def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
-    """A workbook as a folder of CSV sheets."""
+    """A workbook as a folder of CSV sheets; quotes, line ends and outer blanks of cells are kept, as ``readers.sheets`` reads them."""
     for name, rows in sheets.items():
-        rows.write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/{name}.csv")
+        rows.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{folder.rstrip('/')}/{name}.csv")
