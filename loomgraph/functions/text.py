@@ -18,6 +18,19 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def sums_before(sizes: Column, block: int = 512) -> Column:
+    """For each entry of an array of whole numbers the sum of those before it.
+
+    A fold that appends copies its array for each entry, so that sums run within blocks, and over the blocks' totals.
+    """
+    step = lambda acc, x: F.struct((acc["n"] + x).alias("n"), F.concat(acc["a"], F.array(acc["n"])).alias("a"))
+    running = lambda xs: F.aggregate(xs, F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("a")), step, lambda acc: acc["a"])
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    cut = lambda xs: F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(block)), lambda k: F.slice(xs, k, F.lit(block)))
+    joined = lambda bs: F.flatten(F.zip_with(bs, running(F.transform(bs, total)), lambda xs, first: F.transform(running(xs), lambda n: n + first)))
+    return bound(F.transform(sizes, lambda x: x.cast("long")), lambda xs: bound(cut(xs), joined))
+
+
 def clean(c: Column) -> Column:
     """Missing text is "", and outer blanks do not count."""
     return F.coalesce(F.btrim(c.cast("string"), F.lit(BLANKS)), F.lit(""))

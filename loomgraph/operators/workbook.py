@@ -90,8 +90,8 @@ def _some(c: Column) -> Column:
 
 def _by(items: Column, *keys: Callable[[Column], Column]) -> Column:
     """The entries of an array by keys; ties in the order they had."""
-    places = F.array_sort(F.transform(items, lambda x, i: F.struct(*[k(x).alias(f"k{n}") for n, k in enumerate(keys)], i.alias("i"))))
-    return F.transform(places, lambda p: F.get(items, p["i"]))
+    places = lambda xs: F.array_sort(F.transform(xs, lambda x, i: F.struct(*[k(x).alias(f"k{n}") for n, k in enumerate(keys)], i.alias("i"))))
+    return T.bound(items, lambda xs: F.transform(places(xs), lambda p: F.get(xs, p["i"])))
 
 
 def _cells(name: str, **values: Column | str) -> Column:
@@ -108,9 +108,9 @@ def _parts(records: DataFrame) -> DataFrame:
     an extraction comes with its chunk (J20), found by position in the list of ids."""
     path = F.col("path") if "path" in records.columns else F.lit("")
     own = records.select(path.alias("path"), "document", "run", _by(_some(F.col("chunks")), lambda c: F.coalesce(c["order"], F.lit(0))).alias("_sorted"), _some(F.col("chunks")).alias("_chunks"), _some(F.col("extractions")).alias("_found"))
-    own = own.withColumn("_ids", F.reverse(F.transform("_chunks", lambda c: _text(c["id"]))))
-    chunk_of = lambda e: F.try_element_at("_chunks", F.nullif(-F.array_position("_ids", _text(e["chunk_id"])), F.lit(0)).cast("int"))
-    own = own.withColumn("_met", F.transform("_found", lambda e: F.struct(chunk_of(e).alias("chunk"), e.alias("extraction"))))
+    backwards = F.reverse(F.transform("_chunks", lambda c: _text(c["id"])))
+    chunk_of = lambda e, ids: F.try_element_at("_chunks", F.nullif(-F.array_position(ids, _text(e["chunk_id"])), F.lit(0)).cast("int"))
+    own = own.withColumn("_met", T.bound(backwards, lambda ids: F.transform("_found", lambda e: F.struct(chunk_of(e, ids).alias("chunk"), e.alias("extraction")))))
     met = _by(F.col("_met"), lambda m: F.coalesce(m["chunk"]["order"], F.lit(0)), lambda m: _text(m["extraction"]["chunk_id"]))
     kind = {f.name: f.dataType for f in own.schema}
     none = {"document": F.lit(None).cast(kind["document"]), "chunk": F.lit(None).cast(kind["_chunks"].elementType), "extraction": F.lit(None).cast(kind["_found"].elementType)}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, ops_queries, score_queries, text_queries
+from . import graph_queries, ops_queries, score_queries, text_queries, workbook_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return text_queries.QUERIES | graph_queries.QUERIES | ops_queries.QUERIES | score_queries.QUERIES
+    return text_queries.QUERIES | graph_queries.QUERIES | ops_queries.QUERIES | score_queries.QUERIES | workbook_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return text_queries.ORACLE | graph_queries.ORACLE | ops_queries.ORACLE | score_queries.ORACLE
+    return text_queries.ORACLE | graph_queries.ORACLE | ops_queries.ORACLE | score_queries.ORACLE | workbook_queries.ORACLE

@@ -2,9 +2,12 @@
 
 import hashlib
 import json
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from loomgraph.functions import text as T
 from loomgraph.operators import workbook
 from loomgraph.sources import readers
 
@@ -111,3 +114,23 @@ def test_no_records(spark):
 def test_one_scan_and_no_shuffle(spark, records):
     plan = workbook.rows(records)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Python" not in plan
+
+
+def test_sums_before(spark):
+    rows = [([],), ([5],), (list(range(2000)),), (None,)]
+    got = spark.createDataFrame(rows, "a array<int>").select(T.sums_before(F.col("a")).alias("s")).collect()
+    assert [r["s"] for r in got] == [[], [0], [sum(range(k)) for k in range(2000)], None]
+
+
+def test_long_records_take_time_in_proportion(spark):
+    """A record of 6,000 chunks and as many extractions, and a text of 100,000 lines."""
+    chunks = F.transform(F.sequence(F.lit(1), F.lit(6000)), lambda k: F.struct(F.concat(F.lit("c"), k).alias("id"), k.cast("int").alias("order"), F.concat(F.lit("text "), k).alias("text")))
+    found = F.transform(F.sequence(F.lit(1), F.lit(6000)), lambda k: F.struct(F.concat(F.lit("c"), k).alias("chunk_id"), F.array(F.struct(F.lit("Drug").alias("type"), F.concat(F.lit("TEXT "), k).alias("name"))).alias("entities")))
+    text = spark.range(1).select(F.to_json(F.struct(F.struct(F.lit("d").alias("id")).alias("document"), chunks.alias("chunks"), found.alias("extractions"))).alias("j"))
+    records = text.select(F.from_json("j", workbook.RECORD).alias("r")).select("r.*")
+    began = time.time()
+    got = workbook.sheet(workbook.rows(records), "gold_entities").select(F.count("*"), F.count_if(F.concat(F.lit("c"), F.substr("evidence_text", F.lit(6))) == F.col("chunk_id"))).first()
+    assert tuple(got) == (6000, 6000)
+    lines = spark.range(1).select(F.split(F.repeat(F.lit("a b\n"), F.lit(100_000)), "\n").alias("lines"))
+    assert lines.select(F.element_at(T.sums_before(F.transform("lines", F.length)), -1)).first()[0] == 300_000
+    assert time.time() - began < 60
