@@ -17,7 +17,7 @@ Defined cases: a null or empty text has no words and is never contaminated; an i
 words has no window; an item_id that is null counts as the empty id; repeated items count once;
 repeated documents each get their own, equal row; null doc_ids pass through; an empty benchmark
 leaves every document clean; windows that several items share count for each of them, whatever their
-order.  Very long texts are scanned whole, in time in proportion to their words and hits.  Other columns are ignored by
+order, and take the room of one set of items.  Very long texts are scanned whole, in time in proportion to their words and hits.  Other columns are ignored by
 ``find``, and kept by ``remove`` whatever their names.
 """
 
@@ -44,35 +44,44 @@ MOST_BYTES = 8 << 20
 BITS = 24
 #: Hits verified at once.
 VERIFIED = 1 << 14
+#: Items of texts that are named in one batch of rows.
+ITEMS = 1 << 18
 
 
 @dataclass
 class Windows:
-    """The distinct windows of one length: sorted hashes, the first word of each, and its items (from, to)."""
+    """The distinct windows of one length: sorted hashes, the first word of each, and the number of its set of items."""
 
     hashes: np.ndarray
     shift: np.uint64
     bits: np.ndarray
     word: np.ndarray
-    first_item: np.ndarray
-    items: np.ndarray
+    sets: np.ndarray
 
 
 @dataclass
 class Index:
-    """A block of items: their words' bytes, each word's start and end, and the windows by length."""
+    """A block of items: their words' bytes, each word's start and end, the windows by length, and the distinct sets of items that
+    share a window (first place, items in order of their names); sets of one item come first, by item."""
 
     raw: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     windows: dict[int, Windows]
     names: list[str]
+    first: np.ndarray
+    items: np.ndarray
 
     @property
     def nbytes(self) -> int:
-        parts = [self.raw, self.starts, self.ends, *(x for w in self.windows.values() for x in (w.hashes, w.bits, w.word, w.first_item, w.items))]
+        parts = [self.raw, self.starts, self.ends, *(x for w in self.windows.values() for x in (w.hashes, w.bits, w.word, w.sets)), self.first, self.items]
         return sum(x.nbytes for x in parts) + sum(len(x) + 50 for x in self.names)
 
+    def named(self, sets: np.ndarray) -> list[str]:
+        """The distinct items of some sets, sorted."""
+        own = [self.items[self.first[k] : self.first[k + 1]] for k in sets]
+        return [self.names[i] for i in (own[0] if len(own) == 1 else np.unique(np.concatenate(own)))]
+
 
 def window_hashes(word_hashes: np.ndarray, n: int, sums: np.ndarray | None = None) -> np.ndarray:
     """Hashes of all n consecutive words, in constant time each."""
@@ -117,7 +126,8 @@ def build(items: list[tuple[str | None, str | None]], n: int = N) -> Index:
     names = sorted({i or "" for i, _ in items})
     place = {x: k for k, x in enumerate(names)}
     item = np.array([place[i or ""] for i, _ in items], np.int64)
-    size, sums, index = np.diff(first), word_sums(h), Index(buf, starts, ends, {}, names)
+    size, sums, index = np.diff(first), word_sums(h), Index(buf, starts, ends, {}, names, np.zeros(1, np.int64), np.zeros(0, np.int64))
+    shared: dict[bytes, int] = {}  # the items of a window that has several, and the number of this set
     for k in sorted({int(x) for x in np.unique(np.minimum(size, n)) if x}):
         rows = np.flatnonzero(size >= n if k == n else size == k)
         per = size[rows] - k + 1
@@ -141,7 +151,16 @@ def build(items: list[tuple[str | None, str | None]], n: int = N) -> Index:
         table = np.zeros(1 << bits, bool)
         shift = np.uint64(64 - bits)
         table[value[at] >> shift] = True
-        index.windows[k] = Windows(value[at], shift, np.packbits(table), word[at], np.append(at, len(owner)), owner)
+        sets, to = owner[at], np.append(at[1:], len(owner))
+        for j in np.flatnonzero(to - at > 1):
+            own = owner[at[j] : to[j]]
+            own = np.unique(own) if odd.any() else own
+            if len(own) > 1:
+                sets[j] = shared.setdefault(own.tobytes(), len(names) + len(shared))
+        index.windows[k] = Windows(value[at], shift, np.packbits(table), word[at], sets)
+    several = [np.frombuffer(x, np.int64) for x in shared]
+    index.items = np.concatenate([np.arange(len(names)), *several])
+    index.first = np.concatenate([[0], np.cumsum([1] * len(names) + [len(x) for x in several])]).astype(np.int64)
     return index
 
 
@@ -150,10 +169,13 @@ def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def hits(index: Index, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Word starts and ends, the first word of each text, a flag per word, and the distinct pairs (text, item) by text."""
+    """Word starts and ends, the first word of each text, a flag per word, and the distinct pairs (text, set of items) by text.
+
+    A prompt that many items share is one set, so that no row is made for each of them.
+    """
     starts, ends, h, first = scan.words(buf, offsets, scan.ALNUM)
     change, pairs = np.zeros(len(h) + 1, np.int64), [np.zeros(0, np.int64)]
-    sums, n_names = word_sums(h), max(len(index.names), 1)
+    sums, n_sets = word_sums(h), max(len(index.first) - 1, 1)
     for size, w in index.windows.items():
         own = window_hashes(h, size, sums)
         at = np.flatnonzero(_set(w.bits, own >> w.shift))
@@ -166,12 +188,9 @@ def hits(index: Index, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
         at, which, text = at[ok], which[ok], text[ok]
         np.add.at(change, at, 1)
         np.add.at(change, at + size, -1)
-        once = np.unique(text * len(w.hashes) + which)
-        text, which = once // len(w.hashes), once % len(w.hashes)
-        count = w.first_item[which + 1] - w.first_item[which]
-        pairs.append(np.unique(np.repeat(text, count) * n_names + w.items[scan.ranges(w.first_item[which], count)]))
+        pairs.append(np.unique(text * n_sets + w.sets[which]))
     found = np.unique(np.concatenate(pairs))
-    return starts, ends, first, np.cumsum(change[:-1]) > 0, (found // n_names, found % n_names)
+    return starts, ends, first, np.cumsum(change[:-1]) > 0, (found // n_sets, found % n_sets)
 
 
 def parts(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -245,18 +264,26 @@ def _passes(own: DataFrame, n: int, block: Callable[[int], list], schema: str, r
     return out
 
 
-def _hits_only(rest: str) -> Callable:
-    """Rows with hits: the column ``rest``, n_words, the runs of hit words and the items."""
+def _hits_only(rest: str, named: bool = True) -> Callable:
+    """Rows with hits: the column ``rest``, n_words, the runs of hit words and, if ``named``, the items (else none); a batch has
+    about ITEMS of them for the most."""
 
     def of(index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in scan.pieces_of(batches, "_text"):
                 buf, offsets = scan.texts_of(b.column("_text"))
-                _, _, first, flag, (text, item) = hits(index.value, scan.LOWER[buf], offsets)
-                cut, names, runs = np.searchsorted(text, np.arange(len(first))), index.value.names, hit_runs(flag, first)
-                items = [[names[i] for i in item[s:e]] for s, e in zip(cut[:-1], cut[1:], strict=True)]
-                out = {rest: b.column(rest), "n_words": pa.array(np.diff(first)), "runs": pa.array(runs, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_pydict(out).filter(pa.array(_counted(flag, first) > 0))
+                _, _, first, flag, (text, which) = hits(index.value, scan.LOWER[buf], offsets)
+                cut, n_words, runs = np.searchsorted(text, np.arange(len(first))), np.diff(first), hit_runs(flag, first)
+                some = np.flatnonzero(_counted(flag, first) > 0)
+                pending, items = 0, []
+                for k, t in enumerate(some):
+                    items.append(index.value.named(which[cut[t] : cut[t + 1]]) if named else [])
+                    pending += len(items[-1])
+                    if pending >= ITEMS or k + 1 == len(some):
+                        at = some[k + 1 - len(items) : k + 1]
+                        out = {rest: b.column(rest).take(pa.array(at)), "n_words": pa.array(n_words[at]), "runs": pa.array([runs[x] for x in at], pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
+                        yield pa.RecordBatch.from_pydict(out)
+                        pending, items = 0, []
 
         return run
 
@@ -294,10 +321,15 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
                 buf, offsets = scan.texts_of(b.column("_text"))
                 _, _, first, flag, (of, which) = hits(index.value, scan.LOWER[buf], offsets)
                 n_hit, n_words = _counted(flag, first), np.diff(first)
-                cut, names, shas = np.searchsorted(of, np.arange(len(first))), index.value.names, [empty] * b.num_rows
+                cut, shas, n_items = np.searchsorted(of, np.arange(len(first))), [empty] * b.num_rows, np.zeros(b.num_rows, np.int64)
+                told: dict[bytes, tuple[int, str]] = {}  # of texts that meet the same sets
                 for t in np.flatnonzero(np.diff(cut)):
-                    shas[t] = _digest([names[i] for i in which[cut[t] : cut[t + 1]]])
-                yield pa.RecordBatch.from_pydict({"_k": b.column("_k"), "n_words": pa.array(n_words), "n_hit": pa.array(n_hit), "n_items": pa.array(np.diff(cut)), "items_sha256": pa.array(shas, pa.string()), "contaminated": pa.array(_contaminated(n_hit, n_words))})
+                    own = which[cut[t] : cut[t + 1]]
+                    if (same := own.tobytes()) not in told:
+                        found = index.value.named(own)
+                        told[same] = len(found), _digest(found)
+                    n_items[t], shas[t] = told[same]
+                yield pa.RecordBatch.from_pydict({"_k": b.column("_k"), "n_words": pa.array(n_words), "n_hit": pa.array(n_hit), "n_items": pa.array(n_items), "items_sha256": pa.array(shas, pa.string()), "contaminated": pa.array(_contaminated(n_hit, n_words))})
 
         return own.mapInArrow(whole, f"_k {kind}, {SCHEMA}").withColumnRenamed("_k", key)
 
@@ -363,7 +395,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, how: str = "documents", text:
     # several passes: what hits a text depends on the text alone, so hits are merged by its digest
     same = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
     own = docs.select(same.alias("_same"), F.col(f"`{text}`").alias("_text"))
-    merged = _union_by(_passes(own, n, block, "_same string, n_words long, runs array<long>, items array<string>", _hits_only("_same")), "_same")
+    merged = _union_by(_passes(own, n, block, "_same string, n_words long, runs array<long>, items array<string>", _hits_only("_same", named=False)), "_same")
     mark = fresh(docs, "_same")
     if how == "documents":
         dirty = merged.where("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("_same").alias(mark))
