@@ -1,4 +1,4 @@
-"""Queries over the silver workbook: documents as processed records, a line as a chunk, a lexicon as the extractor."""
+"""Queries over the silver workbook (documents as processed records, a line as a chunk, a lexicon as the extractor) and over model calls."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import workbook
+from ..operators import models, plugins, workbook
 from .tables import table
 from .text_queries import LEXICON, LEXICON_SQL
 
@@ -100,3 +100,16 @@ def silver_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["silver_sheets"] = silver_sheets
 ORACLE["silver_sheets"] = SILVER_SQL
+
+
+def model_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit row for each turn as a prompt: the offline model, in pools of calls; blank turns are errors without a call."""
+    turns = table(spark, sf_dir, "conversations")
+    text = F.when(F.btrim(F.coalesce("text", F.lit("")), F.lit(T.BLANKS)) != "", plugins.prompt("Turn {turn} of {role}: {text}", turn=F.col("turn"), role=F.col("role"), text=F.col("text")))
+    prompts = turns.select("conv_id", "turn", F.sha2(text, 256).alias("prompt_sha256"), text.alias("prompt"))
+    return models.calls(prompts, models.noop, ["conv_id", "turn", "prompt_sha256"], as_object=True).select("conv_id", "turn", "prompt_sha256", "answer", "status", "error", "tries")
+
+
+QUERIES["model_audit"] = model_audit
+ORACLE["model_audit"] = """WITH p AS (SELECT conv_id, turn, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' THEN 'Turn ' || turn || ' of ' || coalesce(role, '') || ': ' || text END AS prompt FROM conversations)
+SELECT conv_id, turn, sha256(prompt) AS prompt_sha256, CASE WHEN prompt IS NOT NULL THEN '{}' END AS answer, CASE WHEN prompt IS NULL THEN 'error' ELSE 'ok' END AS status, CASE WHEN prompt IS NULL THEN 'no prompt' ELSE '' END AS error, CASE WHEN prompt IS NULL THEN 0 ELSE 1 END AS tries FROM p"""
