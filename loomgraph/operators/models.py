@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 RETRIED = {408, 425, 429, 500, 502, 503, 504}
 CALLS = "answer string, status string, error string, tries int, duration_ms long"
 
@@ -135,6 +137,7 @@ def calls(prompts: DataFrame, call: Callable[[str], str], key: list[str], prompt
     """(key columns, CALLS): an audit row for each prompt; ``call`` is ``http(...)``, ``noop`` or any function of a prompt."""
     if workers < 1 or tries < 1:
         raise ValueError("workers and tries must be 1 at least")
+    ship(prompts.sparkSession)
     named = [f"_k{n}" for n in range(len(key))]
     own = prompts.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(key, named, strict=True)], F.col(f"`{prompt}`").alias("_prompt"))
     fields = [c.split()[0] for c in CALLS.split(", ")]
