@@ -26,7 +26,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = "struct<aliases:string,category:string,mesh_id:string,icd10:string,drugbank_id:string,unit:string,normal_range:string,description:string>"
 
     def extraction(c):  # noqa: ANN001, ANN202
-        met = F.filter(lexicon, lambda x: F.contains(F.lower(c["text"]), x["name"]))
+        met = T.bound(F.lower(c["text"]), lambda low: F.filter(lexicon, lambda x: F.contains(low, x["name"])))
+        return T.bound(met, lambda own: drafted(c, own))
+
+    def drafted(c, met):  # noqa: ANN001, ANN202
         of = lambda kind: F.filter(met, lambda x: x["type"] == kind)
         i = c["order"]
         said = F.when(i % 5 == 4, "").when(i % 5 == 3, F.concat(F.lit("unstated "), F.substring(c["text"], 3, 40))).otherwise(F.substring(c["text"], 3, 40))
