@@ -1,7 +1,11 @@
 """Cases that a review found, against the SQL or a plain restatement."""
 
+import unicodedata
+
 import pandas as pd
+from loomgraph.functions import text as T
 from loomgraph.plans import text_queries
+from pyspark.sql import functions as F
 
 
 def against_sql(spark, top, name, query, **tables):
@@ -22,3 +26,21 @@ def test_question_terms_keep_the_engine_stop_terms(spark, tmp_path):
     items = pd.DataFrame({"item_id": [1, 2, 3], "text": ["Which drug does reduce the risk?", "graph", "what the"]})
     got, want = against_sql(spark, tmp_path, "question_terms", text_queries.question_terms, benchmark=items)
     assert got == want == [(1, 4, "does,drug,reduce,risk"), (2, 1, "graph")]
+
+
+def test_sections_are_capitals_of_one_letter(spark, tmp_path):
+    docs = pd.DataFrame({"doc_id": [1, 2, 3, 4], "text": ["ßa\nb", "ŉ", "ᾳ x", "élan\n\nélan"]})
+    got, want = against_sql(spark, tmp_path, "chunk_passage_overlap", text_queries.chunk_passage_overlap, documents=docs)
+    by_id = {r[0]: r[3:] for r in want}
+    assert [(*r[:4], "".join(sorted(r[4]))) for r in got] == [(*r[:4], "".join(sorted(r[4]))) for r in want]  # the SQL leaves the order of sections open
+    assert by_id[1][0] == "ẞ" and got[0][4] == "ẞB" and got[3][3:] == ("É", "É")
+
+
+def test_initial_is_one_character(spark):
+    """Every letter: as many characters as before, and the same as upper where that gives one."""
+    letters = [chr(c) for c in range(0x20, 0x10000) if unicodedata.category(chr(c))[0] == "L"]
+    df = spark.createDataFrame([(c,) for c in letters], "c string").select("c", T.initial(F.col("c")).alias("a"), F.upper("c").alias("b"))
+    rows = df.collect()
+    assert all(len(a) == 1 for _, a, _ in rows)
+    assert all(a == b for _, a, b in rows if len(b) == 1)
+    assert {a for c, a, _ in rows if c in "ßᾳŉ"} == {"ẞ", "ᾼ", "ŉ"}
