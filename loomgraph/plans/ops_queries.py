@@ -314,8 +314,7 @@ def document_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     progress.follow(spark, told, f"{top}/states", f"{top}/checkpoint")
     state = progress.states(spark, f"{top}/states")
     total = lambda c: F.sum(F.unix_micros(c).cast("decimal(38,0)")).cast("string")
-    times = state.groupBy(F.col("job_id").alias("_j")).agg(total("started_at").alias("started"), total("finished_at").alias("finished"))
-    return progress.job_counts(state).join(times, F.col("job_id") == F.col("_j")).drop("_j")
+    return progress.job_counts(state, total("started_at").alias("started"), total("finished_at").alias("finished"))
 
 
 @query(

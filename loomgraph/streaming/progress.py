@@ -1,9 +1,11 @@
-"""Progress of documents from a stream of events, with state for each document.
+"""Progress of documents from a stream of events, with a state for each document.
 
 An event is (job_id, document, event, at, seq).  A document's state follows its events in the order (at, seq), in whatever order
-they come: the latest that tells a status decides it, the first start and the last end are kept, every event counts.  With a
-``timeout``, a running document that the stream's time has left behind by so much has failed.  Each batch's changed
-states go to a folder of the batch's own, so a batch that is replayed writes the same again; ``states`` reads the last of each.
+they come: the latest that tells a status decides it, the first start and the last end are kept, every event counts; an event
+without a time only counts.  So a state is a sum of what its events tell: each batch's sums go to a folder of the batch's own, a batch
+that is replayed writes the same again, and ``states`` adds the batches up.  With a ``timeout``, a running document that the
+stream's time has left behind by so much has failed.  That is no sum: the stream then keeps a state for each document (a
+Pandas frame for each that has changed, some milliseconds), a batch's changed states are written, and the last of each is read.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,6 +23,8 @@ from .jobs import INTERRUPTED
 STATUS = {"article_started": "running", "article_finished": "completed", "article_failed": "failed", "article_skipped": "skipped"}
 STATE = "status string, started long, finished long, n_events long, at long, seq long, version long"
 ROW = "job_id string, document string, status string, started_at timestamp, finished_at timestamp, n_events long, error string, version long"
+#: What a batch without a timeout tells of a document; its status is that of (at, seq).
+TOLD = "job_id string, document string, status string, at timestamp, seq long, started_at timestamp, finished_at timestamp, n_events long"
 
 
 def _row(key: tuple, s: tuple, error: str = "") -> pd.DataFrame:
@@ -56,27 +60,46 @@ def _follow(timeout_ms: int):  # noqa: ANN202
     return step
 
 
+def _latest(status: str = "status") -> Column:
+    """Of the events that tell a status, the last."""
+    return F.max(F.when(F.col("at").isNotNull() & F.col(status).isNotNull(), F.struct("at", "seq", F.col(status).alias("status"))))
+
+
+def _told(events: DataFrame) -> DataFrame:
+    """What events tell of each document."""
+    status = F.coalesce(*[F.when(F.col("event") == e, F.lit(s)) for e, s in STATUS.items()])
+    e = events.withColumn("status", status)
+    out = e.groupBy("job_id", "document").agg(_latest().alias("x"), F.min(F.when(F.col("status") == "running", F.col("at"))).alias("started_at"), F.max(F.when(F.col("status") != "running", F.col("at"))).alias("finished_at"), F.count("*").alias("n_events"))
+    return out.select("job_id", "document", "x.status", "x.at", "x.seq", "started_at", "finished_at", "n_events")
+
+
 def follow(spark: SparkSession, events: DataFrame, path: str, checkpoint: str, timeout_ms: int = 0) -> None:
     """Takes all that has arrived of a streaming table of events since the last call, and writes the states that changed."""
-    told = events.select(F.col("job_id").cast("string").alias("job_id"), F.col("document").cast("string").alias("document"), "event", "at", F.col("seq").cast("long").alias("seq"), F.unix_micros("at").alias("us"))
-    told = told.withWatermark("at", "0 seconds") if timeout_ms else told
-    kind = GroupStateTimeout.EventTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    out = told.groupBy("job_id", "document").applyInPandasWithState(_follow(timeout_ms), ROW, STATE, "update", kind)
+    rows = events.select(F.col("job_id").cast("string").alias("job_id"), F.col("document").cast("string").alias("document"), "event", F.col("at").cast("timestamp").alias("at"), F.col("seq").cast("long").alias("seq"))
+    out = rows
+    if timeout_ms:
+        told = rows.withColumn("us", F.unix_micros("at")).withWatermark("at", "0 seconds")
+        out = told.groupBy("job_id", "document").applyInPandasWithState(_follow(timeout_ms), ROW, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        (batch if timeout_ms else _told(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    mode = "update" if timeout_ms else "append"
+    out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def states(spark: SparkSession, path: str) -> DataFrame:
     """The last state of each document."""
+    if "at" in spark.read.parquet(path).columns:
+        sums = spark.read.schema(f"{TOLD}, batch long").parquet(path).groupBy("job_id", "document")
+        out = sums.agg(_latest().alias("x"), F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at"), F.sum("n_events").alias("n_events"), F.count("*").alias("version"))
+        return out.select("job_id", "document", F.coalesce("x.status", F.lit("queued")).alias("status"), "started_at", "finished_at", "n_events", F.lit("").alias("error"), "version")
     rows = spark.read.schema(f"{ROW}, batch long").parquet(path)
     rest = [c for c in rows.columns if c not in ("job_id", "document")]
     return rows.groupBy("job_id", "document").agg(F.max_by(F.struct(*rest), "version").alias("s")).select("job_id", "document", *[f"s.{c}" for c in rest if c != "batch"])
 
 
-def job_counts(state: DataFrame) -> DataFrame:
-    """(job_id, n_documents, n_events, running, completed, failed, skipped) of the documents' states."""
+def job_counts(state: DataFrame, *more: Column) -> DataFrame:
+    """(job_id, n_documents, n_events, running, completed, failed, skipped) of the documents' states, and further sums."""
     tally = [F.count_if(F.col("status") == s).alias(s) for s in ("running", "completed", "failed", "skipped")]
-    return state.groupBy("job_id").agg(F.count("*").alias("n_documents"), F.sum("n_events").alias("n_events"), *tally)
+    return state.groupBy("job_id").agg(F.count("*").alias("n_documents"), F.sum("n_events").alias("n_events"), *tally, *more)

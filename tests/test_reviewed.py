@@ -1,10 +1,12 @@
 """Cases that a review found, against the SQL or a plain restatement."""
 
+import datetime
 import unicodedata
 
 import pandas as pd
 from loomgraph.functions import text as T
 from loomgraph.plans import text_queries
+from loomgraph.streaming import progress
 from pyspark.sql import functions as F
 
 
@@ -44,3 +46,21 @@ def test_initial_is_one_character(spark):
     assert all(len(a) == 1 for _, a, _ in rows)
     assert all(a == b for _, a, b in rows if len(b) == 1)
     assert {a for c, a, _ in rows if c in "ßᾳŉ"} == {"ẞ", "ᾼ", "ŉ"}
+
+
+def test_progress_is_a_sum_of_batches(spark, tmp_path):
+    """No frame and no stored state a document without a timeout; events before 1970 tell a status, events without a time only count, and a
+    null key is a key."""
+    schema = "job_id long, document string, event string, at timestamp, seq long"
+    at = lambda s: datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=s)
+    for rows in (
+        [(1, "a", "article_finished", at(-5), 2), (1, "a", "article_started", at(-9), 1), (1, "b", "article_started", None, 3)],
+        [(None, None, "article_started", at(4), 4), (1, "a", "note", at(50), 5), (1, "a", "article_failed", at(-5), 1)],
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        progress.follow(spark, spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert not (tmp_path / "cp" / "state").exists()
+    state = progress.states(spark, f"{tmp_path}/out")
+    got = {(r["job_id"], r["document"]): (r["status"], r["started_at"], r["finished_at"], r["n_events"]) for r in state.collect()}
+    assert got == {("1", "a"): ("completed", at(-9), at(-5), 4), ("1", "b"): ("queued", None, None, 1), (None, None): ("running", at(4), None, 1)}
+    assert {r["job_id"]: r["n_events"] for r in progress.job_counts(state).collect()} == {"1": 5, None: 1}
