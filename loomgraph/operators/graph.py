@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import few, kept
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -114,6 +115,35 @@ def two_hop(starts: DataFrame, edges: DataFrame, nodes: DataFrame, types: list[s
     return out.where(F.col("first_type").isin(types) | F.col("second_type").isin(types)) if types else out
 
 
+def around(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges, each once, that have an end among ``ids`` (id).  Only these are shuffled, or aggregated by what makes them, if the ids are few."""
+    near = few(ids.select(F.col("id").alias("_a")).distinct())
+    at_dst = edges.join(near, F.col("dst") == F.col("_a"), "left_semi")
+    return edges.join(near, F.col("src") == F.col("_a"), "left_semi").unionByName(at_dst.join(near, F.col("src") == F.col("_a"), "left_anti"))
+
+
+def among(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes whose id is among ``ids`` (id)."""
+    return nodes.join(few(ids.select(F.col("id").alias("_a")).distinct()), F.col("id") == F.col("_a"), "left_semi")
+
+
+def ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("id"))
+
+
+def neighbourhood(starts: DataFrame, edges: DataFrame, nodes: DataFrame, hops: DataFrame | None = None, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The part of the graph, written once, that paths from ``starts`` (id) can hold, mentions apart: the edges at the starts, those at either end of the
+    edges at ``hops`` (id, the starts of two-step paths), the edges named by ``more`` (id), and the nodes at their ends."""
+    plain, ids = edges.where("type <> 'MENTIONS'"), starts.select("id")
+    if hops is not None:
+        ids = ids.unionByName(ends(around(plain, hops)))
+    near = around(plain, ids)
+    if more is not None:
+        near = near.unionByName(among(plain, more)).distinct()
+    near = kept(near)
+    return near, kept(among(nodes, ends(near).unionByName(starts.select("id"))))
+
+
 def incident(starts: DataFrame, edges: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Edges at either end of the starts: two equi-joins and a distinct union, never a nested loop."""
     keep = edges.where("type <> 'MENTIONS'")

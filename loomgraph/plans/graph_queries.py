@@ -11,6 +11,7 @@ from ..operators import answer as A
 from ..operators import graph as G
 from ..operators import retrieve as R
 from ..operators import validate as V
+from ..shared import kept
 from .tables import GRAPH_SQL, QUESTIONS_SQL, edges, node_id, nodes, questions, table
 
 QUERIES: dict = {}
@@ -208,13 +209,19 @@ def legacy_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.legacy(_LEGACY, edges(spark, sf_dir), n, 50)
 
 
-def _scored(spark: SparkSession, sf_dir: str, hops: bool) -> DataFrame:
+def _around(spark: SparkSession, sf_dir: str, hops: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scored paths of the questions, and the edges and nodes that they can hold."""
     q, starts = _asked(spark, sf_dir)
-    e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
+    starts = kept(starts)
+    e, n = G.neighbourhood(starts, edges(spark, sf_dir), nodes(spark, sf_dir), starts.where("wants_path") if hops else None)
     paths = R.direct_paths(starts, e)
     if hops:
         paths = paths.unionByName(R.two_hop_paths(starts.where("wants_path"), e, n)).distinct()
-    return R.scored(paths, e, n, q)
+    return R.scored(kept(paths), e, n, q), e, n
+
+
+def _scored(spark: SparkSession, sf_dir: str, hops: bool) -> DataFrame:
+    return _around(spark, sf_dir, hops)[0]
 
 
 _SCORES_SQL = f"""WITH {GRAPH_SQL}, {_ANCHORS_SQL},

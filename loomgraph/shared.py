@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of keys, counted, that may be broadcast whole: some 25 MB of ids.
+FEW = 200_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,3 +27,9 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` written once and read from there: a branching plan stays small, and a lost executor costs no more than its tasks."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys``, written once; marked for a broadcast if they are counted to be few, so that what they are joined to is not shuffled."""
+    keys = kept(keys)
+    return F.broadcast(keys) if keys.count() <= FEW else keys

@@ -1,14 +1,22 @@
 """Cases that a review found, against the SQL or a plain restatement."""
 
 import datetime
+import random
 import unicodedata
+from pathlib import Path
 
 import pandas as pd
+import pytest
+from loomgraph import shared
 from loomgraph.functions import text as T
-from loomgraph.plans import text_queries
+from loomgraph.operators import graph as G
+from loomgraph.operators import retrieve as R
+from loomgraph.plans import tables, text_queries
 from loomgraph.streaming import progress
 from pyspark.sql import functions as F
 
+SF = "/root/testdata/sf0.001"
+
 
 def against_sql(spark, top, name, query, **tables):
     """The rows of a query and of its SQL over tables written to a folder."""
@@ -64,3 +72,44 @@ def test_progress_is_a_sum_of_batches(spark, tmp_path):
     got = {(r["job_id"], r["document"]): (r["status"], r["started_at"], r["finished_at"], r["n_events"]) for r in state.collect()}
     assert got == {("1", "a"): ("completed", at(-9), at(-5), 4), ("1", "b"): ("queued", None, None, 1), (None, None): ("running", at(4), None, 1)}
     assert {r["job_id"]: r["n_events"] for r in progress.job_counts(state).collect()} == {"1": 5, None: 1}
+
+
+def small_graph(spark, seed):
+    rng = random.Random(seed)
+    names = [(f"n{k}", rng.choice(["Drug", "Condition", "Paper"]), f"name {k}") for k in range(60)]
+    ends = [n for n, _, _ in names] + [None, "gone"]
+    rows = [(f"e{k}", rng.choice(["TREATS", "ASSOCIATED_WITH", "MENTIONS"]), rng.choice(ends), rng.choice(ends), rng.choice([0.5, None])) for k in range(150)]
+    return spark.createDataFrame(names, "id string, label string, name string"), spark.createDataFrame(rows, "id string, type string, src string, dst string, confidence double")
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_neighbourhood_holds_every_path(spark, monkeypatch, limit):
+    """The same paths as over the whole graph, whether the ids are few or not, from a part of it."""
+    monkeypatch.setattr(shared, "FEW", limit)
+    n, e = small_graph(spark, 3)
+    starts = spark.createDataFrame([(1, f"n{k}", [], k < 2) for k in range(4)], "q int, id string, types array<string>, wants_path boolean")
+    hops = starts.where("wants_path")
+    near, known = G.neighbourhood(starts, e, n, hops, spark.createDataFrame([("e7",), ("e8",)], "id string"))
+    plain = {r["id"] for r in e.where("type <> 'MENTIONS'").collect()}
+    got = [r["id"] for r in near.collect()]
+    assert len(got) == len(set(got)) and set(got) < plain and {"e7", "e8"} & plain <= set(got)
+    for paths in (lambda a, b: R.direct_paths(starts, a), lambda a, b: R.two_hop_paths(hops, a, b)):
+        want = sorted((r["q"], r["rels"]) for r in paths(e, n).collect())
+        assert want and sorted((r["q"], r["rels"]) for r in paths(near, known).collect()) == want
+    asked = R.analysed(spark.createDataFrame([(1, "which path connects name 3 and name 9")], "q int, question string"))
+    two = R.two_hop_paths(hops, e, n)
+    assert sorted(map(tuple, R.scored(two, near, known, asked).collect())) == sorted(map(tuple, R.scored(two, e, n, asked).collect()))
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the test tables are not here")
+def test_edges_away_from_the_ids_are_not_aggregated(spark):
+    """Few ids are met below the aggregate that makes the edges, so what lies elsewhere is never shuffled."""
+    ids = spark.createDataFrame([("drug:1",), ("condition:2",)], "id string")
+    found = G.around(tables.edges(spark, SF).where("type <> 'MENTIONS'"), ids)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    over = [k for k, line in enumerate(lines) if "Join LeftSemi" in line]
+    below = [k for k in over if any("Aggregate" in lines[j] and depth(lines[j]) < depth(lines[k]) for j in range(k))]
+    assert len(below) >= 2 and "MENTIONS" not in "".join(lines)
+    every = tables.edges(spark, SF).where("type <> 'MENTIONS' and (src in ('drug:1', 'condition:2') or dst in ('drug:1', 'condition:2'))")
+    assert sorted(map(str, found.collect())) == sorted(map(str, every.collect())) != []
