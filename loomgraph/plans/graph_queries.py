@@ -337,8 +337,8 @@ SELECT questions.q, coalesce(string_agg({_TOLD}, ' ' ORDER BY pos), '{dims.ABSTA
 )
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions answered from their packed paths, without a model."""
-    e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
-    chosen = R.packed(_scored(spark, sf_dir, True), R.budgets(12)[1])
+    paths, e, n = _around(spark, sf_dir, True)
+    chosen = R.packed(paths, R.budgets(12)[1])
     steps = chosen.select("q", "rank", "path_id", "length", F.posexplode("rels").alias("step", "edge"))
     facts = G.triples(e.withColumnRenamed("id", "edge"), n)
     ev = steps.join(facts, "edge").select("q", (F.col("rank") * 10 + F.col("step")).alias("pos"), F.col("edge").alias("id"), F.col("src_name").alias("source"), "type", F.col("dst_name").alias("target"), F.col("dst_label").alias("target_label"), F.lit("graph").alias("kind"), "confidence")
