@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..shared import few, kept
+from ..shared import kept, sought
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -116,15 +116,14 @@ def two_hop(starts: DataFrame, edges: DataFrame, nodes: DataFrame, types: list[s
 
 
 def around(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """The edges, each once, that have an end among ``ids`` (id).  Only these are shuffled, or aggregated by what makes them, if the ids are few."""
-    near = few(ids.select(F.col("id").alias("_a")).distinct())
-    at_dst = edges.join(near, F.col("dst") == F.col("_a"), "left_semi")
-    return edges.join(near, F.col("src") == F.col("_a"), "left_semi").unionByName(at_dst.join(near, F.col("src") == F.col("_a"), "left_anti"))
+    """The edges, each once, that have an end among ``ids`` (id).  Only these (of many ids: few others) are shuffled, or aggregated by what makes them."""
+    near = sought(ids, "id")
+    return near(edges, "src").unionByName(near(near(edges, "dst"), "src", "left_anti"))
 
 
 def among(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """The nodes whose id is among ``ids`` (id)."""
-    return nodes.join(few(ids.select(F.col("id").alias("_a")).distinct()), F.col("id") == F.col("_a"), "left_semi")
+    return sought(ids, "id")(nodes, "id")
 
 
 def ends(edges: DataFrame) -> DataFrame:

@@ -113,3 +113,36 @@ def test_edges_away_from_the_ids_are_not_aggregated(spark):
     assert len(below) >= 2 and "MENTIONS" not in "".join(lines)
     every = tables.edges(spark, SF).where("type <> 'MENTIONS' and (src in ('drug:1', 'condition:2') or dst in ('drug:1', 'condition:2'))")
     assert sorted(map(str, found.collect())) == sorted(map(str, every.collect())) != []
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the test tables are not here")
+def test_many_ids_are_sifted_before_anything_is_shuffled(spark, monkeypatch):
+    """More ids than are broadcast: nearly all other edges are dropped below the aggregate that makes them, and nearly all other nodes before a shuffle."""
+    monkeypatch.setattr(shared, "FEW", 20)
+    ids = tables.nodes(spark, SF).where("label in ('Condition', 'Biomarker')").select("id")
+    assert ids.count() > 20
+    e = tables.edges(spark, SF).where("type <> 'MENTIONS'").select("id", "type", "src", "dst", "confidence")
+    few = spark.createDataFrame([(f"drug:{k}",) for k in range(25)], "id string")
+    found = G.around(e, few)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    below = [k for k, line in enumerate(lines) if "Join LeftSemi" in line and "_bits" in line and any("Aggregate" in lines[j] and depth(lines[j]) < depth(line) for j in range(k))]
+    assert len(below) >= 2
+    names = ", ".join(f"'drug:{k}'" for k in range(25))
+    assert sorted(map(str, found.collect())) == sorted(map(str, e.where(f"src in ({names}) or dst in ({names})").collect())) != []
+    n = tables.nodes(spark, SF)
+    assert sorted(map(str, G.among(n, ids).collect())) == sorted(map(str, n.where("label in ('Condition', 'Biomarker')").collect()))
+
+
+def test_sieve_drops_no_key(spark, monkeypatch):
+    """Keys of another type, null keys and repeats; at most FEW rows of bits, and few other values pass."""
+    monkeypatch.setattr(shared, "FEW", 500)
+    keys = spark.range(1000).selectExpr("cast(id * 7 as int) as k").unionByName(spark.createDataFrame([(None,), (7,)], "k int"))
+    assert shared.sieve(keys, "k").count() <= 500
+    rows = spark.range(20_000).selectExpr("id", "cast(id as string) as t").unionByName(spark.createDataFrame([(None, None)], "id long, t string"))
+    found = shared.sought(keys, "k")
+    for c in ("id", "t"):
+        assert sorted(r["id"] for r in found(rows, c).collect()) == [k * 7 for k in range(1000)]
+        assert found(rows, c, "left_anti").count() == 19_001
+    passed = rows.join(shared.sieve(keys, "k"), (shared._place(F.col("id"))[0] == F.col("_row")) & (F.getbit("_bits", shared._place(F.col("id"))[1]) == 1), "left_semi").count()
+    assert 1000 <= passed < 2000
